@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
-from dyadflow.llm import exact, urls
+from dyadflow.llm import exact, packing, phrases, urls
 from dyadflow.llm.common import table
 
 
+VOCABULARY = "word_bpe_49k.json"
+
+
+def op1_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), VOCABULARY)
+
+
+def op3_decontamination(spark, sf_dir):
+    return phrases.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_exact_dedup(spark, sf_dir):
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -15,11 +26,33 @@ def op10_url_rules(spark, sf_dir):
 
 
 def queries():
-    return {"op6_exact_dedup": op6_exact_dedup, "op10_url_rules": op10_url_rules}
+    return {"op1_packing": op1_packing, "op3_decontamination": op3_decontamination, "op6_exact_dedup": op6_exact_dedup, "op10_url_rules": op10_url_rules}
 
 
 def oracle_sql():
     return {
+        "op3_decontamination": """
+            WITH d AS (
+                SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+            b AS (
+                SELECT item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
+            win AS (
+                SELECT DISTINCT item_id, least(13, len(w)) AS n, array_to_string(w[i:i + least(13, len(w)) - 1], ' ') AS p
+                FROM b, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS t(i) WHERE len(w) > 0),
+            lens AS (SELECT DISTINCT n FROM win),
+            grams AS (
+                SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS p
+                FROM d, lens, unnest(range(1, len(w) - n + 2)) AS t(i)),
+            occ AS (SELECT doc_id, n, i, item_id FROM grams JOIN win USING (n, p)),
+            hit AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM occ, unnest(range(i, i + n)) AS t(j) GROUP BY doc_id),
+            it AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items
+                   FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM occ) GROUP BY doc_id)
+            SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+                   CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+                   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+            FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)""",
         "op6_exact_dedup": """
             WITH d AS (
                 SELECT doc_id, coalesce(length(text), 0) AS points,
