@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dyadflow.llm import exact, packing, phrases, urls
+from dyadflow.llm import exact, language, packing, phrases, quality, urls
 from dyadflow.llm.common import table
 
 
@@ -17,16 +17,31 @@ def op3_decontamination(spark, sf_dir):
     return phrases.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_quality(spark, sf_dir):
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_exact_dedup(spark, sf_dir):
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op8_language(spark, sf_dir):
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op10_url_rules(spark, sf_dir):
     return urls.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")).drop("mined_rule")
 
 
 def queries():
-    return {"op1_packing": op1_packing, "op3_decontamination": op3_decontamination, "op6_exact_dedup": op6_exact_dedup, "op10_url_rules": op10_url_rules}
+    return {
+        "op1_packing": op1_packing,
+        "op3_decontamination": op3_decontamination,
+        "op4_quality": op4_quality,
+        "op6_exact_dedup": op6_exact_dedup,
+        "op8_language": op8_language,
+        "op10_url_rules": op10_url_rules,
+    }
 
 
 def oracle_sql():
