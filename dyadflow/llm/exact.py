@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dyadflow.llm.common import id_or_last, id_or_null
+from dyadflow.llm.common import id_or_last, id_or_null, shared_dir
 
 BLANKS = "[\\x20\\x09-\\x0D]+"
 RUN = "shard int, run string, digests binary, ids array<long>, points array<long>, counts array<long>, filter binary"
@@ -139,6 +139,7 @@ def digest_groups(rows: DataFrame, shards: int, memtable_rows: int = 200_000) ->
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", memtable_rows: int = 200_000, shards: int | None = None) -> DataFrame:
     """One row per document: id, keep_id, group_size, kept, text_sha256, for the document that stays of each group of equal texts."""
     spark = docs.sparkSession
+    shared_dir(spark)
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.col(text_col)
     base = docs.select(id_or_last(id_col).alias("id"), F.coalesce(F.char_length(text), F.lit(0)).cast("long").alias("points"), normalised(text).alias("body"))
@@ -147,7 +148,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     groups = digest_groups(small, shards, memtable_rows)
     alone = small.join(groups, "digest", "left_anti").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lower(F.hex("digest")).alias("text_sha256"))
 
-    hits = base.join(groups, "digest")
+    # all texts are dealt out once; the hits among them are kept where every executor can read them again
+    hits = base.join(groups, "digest").checkpoint()
     kept = hits.where((F.col("id") == F.col("keep_id")) & (F.col("points") == F.col("keep_points"))).groupBy("digest").agg(F.first("body").alias("kept_body"))
     verified = hits.join(kept, "digest").select(
         "digest", "id", "points", F.when(F.col("body") == F.col("kept_body"), F.lit("")).otherwise(F.sha2("body", 512)).alias("other")
