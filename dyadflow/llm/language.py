@@ -188,17 +188,34 @@ def predict(model: bytes | None):
                     lang, score = classes[int(p.argmax())], float(p.max())
                 langs.append(lang)
                 scores.append(score)
-            yield batch.drop(columns=["text", "known"]).assign(lang_pred=langs, score=scores)
+            yield pd.DataFrame({"lang_pred": langs, "score": scores})
 
     return run
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 3, held_fold: int = 1, **training) -> DataFrame:
-    """One row per document: id, held_out, lang_pred, score. Rows of the fold `held_fold` are not learned from."""
-    held = F.coalesce(fold(id_col, folds) == held_fold, F.lit(False))
-    labelled = docs.where(~held).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(id_col).cast("string").alias("order"))
-    model = train(labelled, **training)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("string").alias("id"), held.alias("held_out"), text.alias("text"), text.rlike(r"\p{L}").alias("known"))
-    judged = rows.mapInPandas(predict(model), "id string, held_out boolean, lang_pred string, score double")
-    return judged.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), "held_out", "lang_pred", "score")
+def held_out(id_col: str, folds: int = 3, held_fold: int = 1) -> Column:
+    return F.coalesce(fold(id_col, folds) == held_fold, F.lit(False))
+
+
+def trained(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **training) -> bytes | None:
+    """The model, learned from the documents that are not held out."""
+    learned = docs.where(~held_out(id_col))
+    return train(learned.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(id_col).cast("string").alias("order")), **training)
+
+
+def judged(docs: DataFrame, model: bytes | None, text_col: str = "text") -> Column:
+    """struct(lang_pred, score) for each row's text."""
+    run = predict(model)
+
+    @F.pandas_udf("lang_pred string, score double")
+    def judge(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        yield from run(pd.DataFrame({"text": t.fillna(""), "known": t.fillna("").str.contains(r"[^\W\d_]", regex=True)}) for t in texts)
+
+    return judge(F.col(text_col))
+
+
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **training) -> DataFrame:
+    """One row per document: id, held_out, lang_pred, score. Held-out rows are not learned from."""
+    model = trained(docs, id_col, text_col, lang_col, **training)
+    found = docs.select(F.col(id_col), held_out(id_col).alias("held_out"), judged(docs, model, text_col).alias("found"))
+    return found.select(id_col, "held_out", "found.lang_pred", "found.score")

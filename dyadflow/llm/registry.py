@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dyadflow.llm import exact, language, packing, phrases, quality, urls
+from dyadflow.llm import bags, exact, language, lengths, packing, passages, phrases, quality, suffixes, urls
 from dyadflow.llm.common import table
 
 
@@ -13,6 +13,10 @@ def op1_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op2_token_counts(spark, sf_dir):
+    return lengths.context_limits(lengths.length_histogram(table(spark, sf_dir, "documents"), VOCABULARY))
+
+
 def op3_decontamination(spark, sf_dir):
     return phrases.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -21,14 +25,26 @@ def op4_quality(spark, sf_dir):
     return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_repeated_passages(spark, sf_dir):
+    return passages.remove_recurring(table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark, sf_dir):
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op7_near_dedup(spark, sf_dir):
+    return bags.near_classes(table(spark, sf_dir, "documents"))
+
+
 def op8_language(spark, sf_dir):
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark, sf_dir):
+    return suffixes.remove_earlier(table(spark, sf_dir, "documents"))
+
+
 def op10_url_rules(spark, sf_dir):
     return urls.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")).drop("mined_rule")
 
@@ -36,10 +52,14 @@ def op10_url_rules(spark, sf_dir):
 def queries():
     return {
         "op1_packing": op1_packing,
+        "op2_token_counts": op2_token_counts,
         "op3_decontamination": op3_decontamination,
         "op4_quality": op4_quality,
+        "op5_repeated_passages": op5_repeated_passages,
         "op6_exact_dedup": op6_exact_dedup,
+        "op7_near_dedup": op7_near_dedup,
         "op8_language": op8_language,
+        "op9_suffix_dedup": op9_suffix_dedup,
         "op10_url_rules": op10_url_rules,
     }
 
@@ -49,10 +69,10 @@ def oracle_sql():
         "op3_decontamination": """
             WITH d AS (
                 SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                       '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+                       '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM documents),
             b AS (
                 SELECT item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                       '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
+                       '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
             win AS (
                 SELECT DISTINCT item_id, least(13, len(w)) AS n, array_to_string(w[i:i + least(13, len(w)) - 1], ' ') AS p
                 FROM b, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS t(i) WHERE len(w) > 0),
