@@ -12,7 +12,7 @@ Comparisons are exact: overlap of the bags, from the texts, at `similarity` or m
 
 Words are those of `phrases`: A-Z lower-cased, ASCII other than letters and digits parts them.
 
-Defined results: a text without a word, null too, is alone in its class; null ids come last in the choice of the kept row
+Defined results: a text without a word, null too, is alone in its class (rows of one id share it); null ids come last in the choice of the kept row
 and stay null; repeated rows get a row each with equal results; an empty table gives no rows; extra columns are ignored.
 """
 
@@ -200,7 +200,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     more = apart.join(rest, "band").where((F.col("label_a") != F.col("label_b")) & sizes).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     labels = components(links.unionByName(similar(more)))
 
-    alone = F.when(F.col("words") == "", F.concat(F.lit(b"alone"), F.col("id").cast("binary"))).otherwise(F.col("digest"))
+    alone = F.when(F.col("words") == "", F.concat(F.lit(b"alone"), F.col("id").cast("string").cast("binary"))).otherwise(F.col("digest"))
     rows_of = base.select("id", F.lower(F.hex("digest")).alias("words_md5"), alone.alias("digest"))
     classed = rows_of.join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest")).checkpoint()
     classes = classed.groupBy("label").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size")).checkpoint()
