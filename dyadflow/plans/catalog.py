@@ -135,11 +135,11 @@ def estimates_pivoted(spark, sf):
     return fold.pivot_estimates(cells, "code", "est", "v", dict(enumerate(("value", "se", "low", "high", "cv", "e6", "e7"), 1)))
 
 
-@query(f"""WITH m AS (SELECT {s.Z.format('o_custkey')} AS code, month(o_orderdate) AS month, avg(o_totalprice) AS v FROM orders GROUP BY 1, 2)
-SELECT code, round(avg(v), 6) AS mean, round(sum(v), 6) AS total, round(min(v), 6) AS low, round(max(v), 6) AS high, count(v) AS n_months, count(v) = 12 AS complete FROM m GROUP BY 1""")
+@query(f"""WITH m AS (SELECT {s.Z.format('o_custkey')} AS code, month(o_orderdate) AS month, CAST(sum(floor(o_totalprice)) AS BIGINT) AS v FROM orders GROUP BY 1, 2)
+SELECT code, round(avg(v), 6) AS mean, CAST(sum(v) AS BIGINT) AS total, min(v) AS low, max(v) AS high, count(v) AS n_months, count(v) = 12 AS complete FROM m GROUP BY 1""")
 def climate_from_months(spark, sf):
-    months = s.table(spark, sf, "orders").groupBy(s.zone("o_custkey").alias("code"), F.month("o_orderdate").alias("month")).agg(F.avg("o_totalprice").alias("v"))
-    return fold.annual_from_months(months, "code", "month", "v").select("code", r("mean", 6), r("total", 6), r("low", 6), r("high", 6), "n_months", "complete")
+    months = s.table(spark, sf, "orders").groupBy(s.zone("o_custkey").alias("code"), F.month("o_orderdate").alias("month")).agg(F.sum(F.floor("o_totalprice")).alias("v"))
+    return fold.annual_from_months(months, "code", "month", "v").select("code", r("mean", 6), "total", "low", "high", "n_months", "complete")
 
 
 @query(f"SELECT {s.Z.format('p_partkey')} AS code, count(*) FILTER (p_size BETWEEN 15 AND 29) AS band, count(*) AS total, round(count(*) FILTER (p_size BETWEEN 15 AND 29) / count(*), 6) AS share FROM part GROUP BY 1")
