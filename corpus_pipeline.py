@@ -37,7 +37,7 @@ def one_of_equal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     dropped = bags.near_classes(docs).where("not kept")
-    return without(docs, dropped, {"doc_id": F.col("doc_id"), "words_md5": F.md5(bags.word_text(F.col("text")))})
+    return without(docs, dropped, {"doc_id": F.col("doc_id"), "text_hash": F.xxhash64(F.coalesce("text", F.lit("")))})
 
 
 def not_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

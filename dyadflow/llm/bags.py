@@ -18,15 +18,15 @@ and stay null; repeated rows get a row each with equal results; an empty table g
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dyadflow.llm.common import id_or_last, id_or_null, shared_dir
-from dyadflow.llm.phrases import SEPARATORS, lower_ascii
 from dyadflow.llm.repeats import Units, Windows, joined, word_hashes
 
 U = np.uint64
@@ -98,26 +98,40 @@ def band_keys(signature: np.ndarray, bands: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+#: What each byte becomes: A-Z in lower case, other letters, digits and bytes beyond ASCII as they are, all else a space.
+FOLDED = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+SIGNED = "id long, h long, digest binary, n long, bands array<long>"
+
+
+def word_text(text: str) -> bytes:
+    """The words of a text with one space between them."""
+    return b" ".join(text.encode("utf-8", "replace").translate(FOLDED).split())
+
+
 def sign(shingle: int, bands: int, rows: int):
-    """mapInPandas: (digest, words) to (digest, n, bands)."""
+    """mapInPandas: (id, h, text) to (id, h, digest, n, bands); a text without a word has no digest and no bands."""
 
-    def made(digests: list, texts: list[bytes]) -> pd.DataFrame:
-        of, element, weight = bags(texts, shingle)
-        keys = band_keys(bag_minhash(of, element, weight, len(texts), bands * rows), bands)
-        return pd.DataFrame({"digest": digests, "n": np.bincount(of, weight, len(texts)).astype(np.int64), "bands": list(keys)})
+    def made(ids: list, hashes: list, texts: list[bytes]) -> pd.DataFrame:
+        some = [i for i, t in enumerate(texts) if t]
+        of, element, weight = bags([texts[i] for i in some], shingle)
+        keys = iter(band_keys(bag_minhash(of, element, weight, len(some), bands * rows), bands)) if some else iter(())
+        counts = iter(np.bincount(of, weight, len(some)).astype(np.int64).tolist()) if some else iter(())
+        signed = [(hashlib.md5(t).digest(), next(counts), next(keys)) if t else (None, 0, np.empty(0, np.int64)) for t in texts]
+        return pd.DataFrame({"id": ids, "h": hashes, "digest": [x[0] for x in signed], "n": [x[1] for x in signed], "bands": [x[2] for x in signed]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            digests, texts, size = [], [], 0
-            for digest, text in zip(batch["digest"], batch["words"], strict=True):
-                digests.append(digest)
-                texts.append(text.encode("utf-8", "replace"))
+            ids, hashes, texts, size = [], [], [], 0
+            for doc, h, text in zip(batch["id"].tolist(), batch["h"].tolist(), batch["text"], strict=True):
+                ids.append(doc)
+                hashes.append(h)
+                texts.append(word_text(text))
                 size += len(texts[-1])
                 if size > AT_ONCE:
-                    yield made(digests, texts)
-                    digests, texts, size = [], [], 0
+                    yield made(ids, hashes, texts)
+                    ids, hashes, texts, size = [], [], [], 0
             if texts:
-                yield made(digests, texts)
+                yield made(ids, hashes, texts)
 
     return run
 
@@ -130,30 +144,21 @@ def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
 
 
 def compare(shingle: int, similarity: float):
-    """mapInPandas: pairs (a, b, words_a, words_b) to those that are similar, (a, b)."""
+    """mapInPandas: pairs (a, b, text_a, text_b) to those that are similar, (a, b)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, bag = None, None
         for batch in batches:
             keep = []
-            for b, one, two in zip(batch["b"], batch["words_a"], batch["words_b"], strict=True):
+            for b, one, two in zip(batch["b"], batch["text_a"], batch["text_b"], strict=True):
                 if b != known:
-                    known, bag = b, bags([two.encode("utf-8", "replace")], shingle)[1:]
-                keep.append(overlap(bags([one.encode("utf-8", "replace")], shingle)[1:], bag) >= similarity)
+                    known, bag = b, bags([word_text(two)], shingle)[1:]
+                keep.append(overlap(bags([word_text(one)], shingle)[1:], bag) >= similarity)
             yield batch.loc[keep, ["a", "b"]]
 
     return run
 
 
-def word_text(text: Column) -> Column:
-    """The words of a text with one space between them."""
-    return F.trim(F.regexp_replace(lower_ascii(F.coalesce(text, F.lit(""))), SEPARATORS, " "))
-
-
-def digest_of(words: Column) -> Column:
-    return F.unhex(F.md5(words))
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of all nodes of edges (a, b): the smallest node of the component, by smallest neighbours and jumps."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
@@ -170,23 +175,25 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, bands: int = 20, rows: int = 6) -> DataFrame:
-    """One row per document: id, class_id (the smallest id of its class), class_size (rows), kept, words_md5."""
+    """One row per document: id, class_id (the smallest id of its class), class_size (rows), kept, text_hash (xxhash64 of the text, null as empty)."""
     shared_dir(docs.sparkSession)
-    base = docs.select(id_or_last(id_col).alias("id"), word_text(F.col(text_col)).alias("words")).withColumn("digest", digest_of(F.col("words")))
-    signed = base.where("words <> ''").select("digest", "words").mapInPandas(sign(shingle, bands, rows), "digest binary, n long, bands array<long>").checkpoint()
-    placed = signed.select("digest", "n", F.explode("bands").alias("band"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    base = docs.select(id_or_last(id_col).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    signed = base.mapInPandas(sign(shingle, bands, rows), SIGNED).checkpoint()
+    placed = signed.where("digest IS NOT NULL").select("digest", "n", F.explode("bands").alias("band"))
     leaders = placed.groupBy("band").agg(F.min("digest").alias("leader"), F.max("digest").alias("last")).where("leader <> last").select("band", "leader").checkpoint()
     shared = placed.join(leaders, "band").distinct().checkpoint()
-    texts = base.select("digest", "words")
 
     def similar(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) whose texts are similar."""
         pairs = pairs.distinct().checkpoint()
         needed = pairs.select(F.col("a").alias("digest")).unionByName(pairs.select(F.col("b").alias("digest"))).distinct()
-        used = texts.join(needed, "digest", "left_semi").groupBy("digest").agg(F.first("words").alias("words")).checkpoint()
-        one = pairs.join(used.select(F.col("digest").alias("a"), F.col("words").alias("words_a")), "a")
-        two = one.join(used.select(F.col("digest").alias("b"), F.col("words").alias("words_b")), "b")
-        return two.select("a", "b", "words_a", "words_b").mapInPandas(compare(shingle, similarity), "a binary, b binary").checkpoint()
+        # one row stands for all of equal words; its text is read from the documents again
+        chosen = signed.join(needed, "digest", "left_semi").groupBy("digest").agg(F.min(F.struct("id", "h")).alias("row")).select("digest", "row.id", "row.h")
+        used = base.join(chosen.checkpoint(), ["id", "h"]).groupBy("digest").agg(F.first("text").alias("text")).checkpoint()
+        one = pairs.join(used.select(F.col("digest").alias("a"), F.col("text").alias("text_a")), "a")
+        two = one.join(used.select(F.col("digest").alias("b"), F.col("text").alias("text_b")), "b")
+        return two.select("a", "b", "text_a", "text_b").mapInPandas(compare(shingle, similarity), "a binary, b binary").checkpoint()
 
     links = similar(shared.where("digest <> leader").select(F.col("digest").alias("a"), F.col("leader").alias("b")))
     labels = components(links)
@@ -200,10 +207,10 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     more = apart.join(rest, "band").where((F.col("label_a") != F.col("label_b")) & sizes).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     labels = components(links.unionByName(similar(more)))
 
-    alone = F.when(F.col("words") == "", F.concat(F.lit(b"alone"), F.col("id").cast("string").cast("binary"))).otherwise(F.col("digest"))
-    rows_of = base.select("id", F.lower(F.hex("digest")).alias("words_md5"), alone.alias("digest"))
+    alone = F.coalesce("digest", F.concat(F.lit(b"alone"), F.col("id").cast("string").cast("binary")))
+    rows_of = signed.select("id", "h", alone.alias("digest"))
     classed = rows_of.join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest")).checkpoint()
     classes = classed.groupBy("label").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size")).checkpoint()
     return classed.join(classes, "label").select(
-        id_or_null("id").alias(id_col), id_or_null("class_id").alias("class_id"), "class_size", (F.col("id") == F.col("class_id")).alias("kept"), "words_md5"
+        id_or_null("id").alias(id_col), id_or_null("class_id").alias("class_id"), "class_size", (F.col("id") == F.col("class_id")).alias("kept"), F.col("h").alias("text_hash")
     )
