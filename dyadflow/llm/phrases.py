@@ -85,7 +85,8 @@ def phrase_matches(index: DataFrame, rarest: DataFrame, n_rarest: int) -> DataFr
     lead = index.join(small(rarest.where("rank = 1"), n_rarest), "term").select("k", "window", "len", at, "near_from", "near").where("start >= 0")
     second = index.select("k", "term", "pos").join(small(rarest.where("rank = 2"), n_rarest), "term").select("k", "window", at).where("start >= 0")
     both = lead.where("len > 1").join(second, ["k", "window", "start"], "left_semi")
-    cut = F.array_join(F.slice("near", F.col("start") - F.col("near_from") + 1, F.col("len")), " ")
+    # Spark may slice before it has dropped the starts below zero
+    cut = F.array_join(F.slice("near", F.greatest(F.col("start") - F.col("near_from") + 1, F.lit(1)), F.col("len")), " ")
     return both.unionByName(lead.where("len = 1")).where(cut == F.col("window")).select("k", "window", "start", "len").distinct()
 
 
