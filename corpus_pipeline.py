@@ -58,7 +58,7 @@ STAGES = [
     ("decontamination", not_contaminated),
     ("packing", sequences),
 ]
-#: SQL has neither the language model, the signatures nor the tokenizer: see tests/llm/test_pipeline.py.
+#: SQL has neither the language model, the signatures nor the tokenizer: see test_pipeline in tests/llm/test_brute_force.py.
 ORACLE_SQL = None
 
 

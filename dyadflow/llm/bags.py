@@ -7,7 +7,7 @@ a register with the probability of their weighted Jaccard similarity. Processes
 their time is past the latest register.
 
 Registers are cut into bands. Texts of equal words are one node. In each bucket of a band every node is compared with the
-bucket's leader; nodes that are still in another component than the leader are then compared with the rest of the bucket.
+bucket's leader, unless both already are in one component; nodes that are still in another component than the leader are then compared with the rest of the bucket.
 Comparisons are exact: overlap of the bags, from the texts, at `similarity` or more. Classes are connected components.
 
 Words are those of `phrases`: A-Z lower-cased, ASCII other than letters and digits parts them.
@@ -164,14 +164,22 @@ def components(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     labels = both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("label")).checkpoint()
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), "label")
-        least = near.unionByName(labels).groupBy("node").agg(F.min("label").alias("label")).checkpoint()
+        # the label of the row before (`old`) comes along, so that a round is one written table and one count of it
+        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").select(F.col("a").alias("node"), "label", F.lit(None).cast("binary").alias("old"))
+        own = labels.select("node", "label", F.col("label").alias("old"))
+        least = near.unionByName(own).groupBy("node").agg(F.min("label").alias("label"), F.max("old").alias("old"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        new = least.join(jump, "label", "left").select("node", F.least("label", F.coalesce("further", "label")).alias("label")).checkpoint()
-        changed = new.join(labels.withColumnRenamed("label", "old"), "node").where(F.col("label") != F.col("old")).limit(1).count()
-        labels = new
-        if not changed:
-            return labels
+        labels = least.join(jump, "label", "left").select("node", F.least("label", F.coalesce("further", "label")).alias("label"), "old").checkpoint()
+        if not labels.where("label <> old").count():
+            return labels.select("node", "label")
+
+
+def linked(links: DataFrame, labels: DataFrame, further: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links with the further ones, and the labels of their components."""
+    if further.isEmpty():
+        return links, labels
+    links = links.unionByName(further)
+    return links, components(links)
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, bands: int = 20, rows: int = 6) -> DataFrame:
@@ -181,7 +189,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     base = docs.select(id_or_last(id_col).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
     signed = base.mapInPandas(sign(shingle, bands, rows), SIGNED).checkpoint()
     placed = signed.where("digest IS NOT NULL").select("digest", "n", F.explode("bands").alias("band"))
-    leaders = placed.groupBy("band").agg(F.min("digest").alias("leader"), F.max("digest").alias("last")).where("leader <> last").select("band", "leader").checkpoint()
+    leaders = placed.groupBy("band").agg(F.min("digest").alias("leader"), F.max("digest").alias("last")).where("leader <> last").select("band", "leader")
     shared = placed.join(leaders, "band").distinct().checkpoint()
 
     def similar(pairs: DataFrame) -> DataFrame:
@@ -190,27 +198,34 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         needed = pairs.select(F.col("a").alias("digest")).unionByName(pairs.select(F.col("b").alias("digest"))).distinct()
         # one row stands for all of equal words; its text is read from the documents again
         chosen = signed.join(needed, "digest", "left_semi").groupBy("digest").agg(F.min(F.struct("id", "h")).alias("row")).select("digest", "row.id", "row.h")
-        used = base.join(chosen.checkpoint(), ["id", "h"]).groupBy("digest").agg(F.first("text").alias("text")).checkpoint()
+        used = base.join(chosen, ["id", "h"]).groupBy("digest").agg(F.first("text").alias("text")).checkpoint()
         one = pairs.join(used.select(F.col("digest").alias("a"), F.col("text").alias("text_a")), "a")
         two = one.join(used.select(F.col("digest").alias("b"), F.col("text").alias("text_b")), "b")
         return two.select("a", "b", "text_a", "text_b").mapInPandas(compare(shingle, similarity), "a binary, b binary").checkpoint()
 
-    links = similar(shared.where("digest <> leader").select(F.col("digest").alias("a"), F.col("leader").alias("b")))
+    # a large group has several leaders, one for some bands, another for others: each node meets the smallest of its leaders first
+    met = shared.where("digest <> leader").select(F.col("digest").alias("a"), F.col("leader").alias("b")).distinct().checkpoint()
+    first = met.groupBy("a").agg(F.min("b").alias("b")).checkpoint()
+    links = similar(first)
     labels = components(links)
+    # and the others only while it is in another component than they
+    ends = [labels.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}")) for x in ("a", "b")]
+    others = met.join(first.select("a", F.col("b").alias("done")), "a").where("b <> done").join(ends[0], "a", "left").join(ends[1], "b", "left")
+    links, labels = linked(links, labels, similar(others.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b")))
     # what is still apart from its bucket's leader meets the rest of the bucket
     told = shared.join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest")).checkpoint()
     heads = labels.select(F.col("node").alias("leader"), F.col("label").alias("head"))
     apart = told.where("digest <> leader").join(heads, "leader", "left").where(F.col("label") != F.coalesce("head", "leader"))
-    apart = apart.select("band", F.col("digest").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a")).checkpoint()
+    apart = apart.select("band", F.col("digest").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"))
     rest = told.where("digest <> leader").select("band", F.col("digest").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"))
     sizes = F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")
     more = apart.join(rest, "band").where((F.col("label_a") != F.col("label_b")) & sizes).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    labels = components(links.unionByName(similar(more)))
+    _, labels = linked(links, labels, similar(more))
 
     alone = F.coalesce("digest", F.concat(F.lit(b"alone"), F.col("id").cast("string").cast("binary")))
     rows_of = signed.select("id", "h", alone.alias("digest"))
     classed = rows_of.join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest")).checkpoint()
-    classes = classed.groupBy("label").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size")).checkpoint()
+    classes = classed.groupBy("label").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     return classed.join(classes, "label").select(
         id_or_null("id").alias(id_col), id_or_null("class_id").alias("class_id"), "class_size", (F.col("id") == F.col("class_id")).alias("kept"), F.col("h").alias("text_hash")
     )
