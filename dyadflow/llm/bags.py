@@ -189,8 +189,13 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     base = docs.select(id_or_last(id_col).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
     signed = base.mapInPandas(sign(shingle, bands, rows), SIGNED).checkpoint()
     placed = signed.where("digest IS NOT NULL").select("digest", "n", F.explode("bands").alias("band"))
-    leaders = placed.groupBy("band").agg(F.min("digest").alias("leader"), F.max("digest").alias("last")).where("leader <> last").select("band", "leader")
-    shared = placed.join(leaders, "band").distinct().checkpoint()
+    nodes = placed.distinct().checkpoint()
+    sizes_of = nodes.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    members = nodes.join(sizes_of, "band").checkpoint()
+    # a bucket's leader is the node with the most company in all its buckets: the text that the others are edits of, if it is there
+    company = members.groupBy("digest").agg(F.sum("size").alias("company"))
+    best = members.select("band", "digest").join(company, "digest").groupBy("band").agg(F.min(F.struct((-F.col("company")).alias("order"), F.col("digest").alias("leader"))).alias("best"))
+    shared = members.select("band", "digest", "n").join(best.select("band", "best.leader", "best.order"), "band").checkpoint()
 
     def similar(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) whose texts are similar."""
@@ -203,9 +208,9 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         two = one.join(used.select(F.col("digest").alias("b"), F.col("text").alias("text_b")), "b")
         return two.select("a", "b", "text_a", "text_b").mapInPandas(compare(shingle, similarity), "a binary, b binary").checkpoint()
 
-    # a large group has several leaders, one for some bands, another for others: each node meets the smallest of its leaders first
-    met = shared.where("digest <> leader").select(F.col("digest").alias("a"), F.col("leader").alias("b")).distinct().checkpoint()
-    first = met.groupBy("a").agg(F.min("b").alias("b")).checkpoint()
+    # a large group has several leaders, one for some bands, another for others: each node meets the one with the most company first
+    met = shared.where("digest <> leader").select(F.col("digest").alias("a"), F.col("leader").alias("b"), "order").distinct().checkpoint()
+    first = met.groupBy("a").agg(F.min(F.struct("order", "b")).alias("first")).select("a", "first.b").checkpoint()
     links = similar(first)
     labels = components(links)
     # and the others only while it is in another component than they
