@@ -10,8 +10,9 @@ compared with the kept row's. Rows that fail this comparison are grouped anew by
 A digest that a third of all rows share has one entry in each run, and the join that brings results back to rows is an
 ordinary sort-merge join that adaptive execution splits.
 
-Defined results: null text counts as empty; a null id comes after every other id; a repeated row (same id, same text)
-counts once; an empty table gives no rows; extra columns are ignored.
+Defined results: every input row gives one row and counts in its group, repeated rows and rows of null id too; null text
+counts as empty; a null id comes after every other id; exactly one row of a group is kept, and of rows with the same id and
+as many code points it is any one; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -136,28 +137,34 @@ def digest_groups(rows: DataFrame, shards: int, memtable_rows: int = 200_000) ->
     return runs.groupBy("shard").applyInPandas(compact, GROUP)
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", memtable_rows: int = 200_000, shards: int | None = None) -> DataFrame:
-    """One row per document: id, keep_id, group_size, kept, text_sha256, for the document that stays of each group of equal texts."""
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", memtable_rows: int = 200_000, shards: int | None = None, row_col: str | None = None) -> DataFrame:
+    """One row per input row: id, keep_id, group_size (rows), kept (true once in each group of equal texts), text_sha256.
+
+    With row_col, a column of unique numbers, that column comes first, and of rows that tie the smallest number is kept.
+    """
     spark = docs.sparkSession
     shared_dir(spark)
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.col(text_col)
-    base = docs.select(id_or_last(id_col).alias("id"), F.coalesce(F.char_length(text), F.lit(0)).cast("long").alias("points"), normalised(text).alias("body"))
+    given = [F.col(row_col).alias("row")] if row_col else []
+    named = [F.col("row").alias(row_col)] if row_col else []
+    base = docs.select(id_or_last(id_col).alias("id"), F.coalesce(F.char_length(text), F.lit(0)).cast("long").alias("points"), normalised(text).alias("body"), *given)
     base = base.withColumn("digest", F.unhex(F.sha2("body", 256)))
-    small = base.select("digest", "id", "points").groupBy("digest", "id").agg(F.max("points").alias("points")).withColumn("n", F.lit(1).cast("long"))
+    # repeated rows are one entry with their number; the row is read off only where an entry is a single row
+    one = [F.min("row").alias("row")] if row_col else []
+    small = base.groupBy("digest", "id").agg(F.max("points").alias("points"), F.count(F.lit(1)).alias("n"), *one)
     groups = digest_groups(small, shards, memtable_rows)
-    alone = small.join(groups, "digest", "left_anti").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lower(F.hex("digest")).alias("text_sha256"))
+    alone = small.join(groups, "digest", "left_anti").select(*named, "id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
     # all texts are dealt out once; the hits among them are kept where every executor can read them again
-    hits = base.join(groups, "digest").checkpoint()
+    hits = base.join(groups, "digest")
+    hits = (hits if row_col else hits.withColumn("row", F.monotonically_increasing_id())).checkpoint()
     kept = hits.where((F.col("id") == F.col("keep_id")) & (F.col("points") == F.col("keep_points"))).groupBy("digest").agg(F.first("body").alias("kept_body"))
     verified = hits.join(kept, "digest").select(
-        "digest", "id", "points", F.when(F.col("body") == F.col("kept_body"), F.lit("")).otherwise(F.sha2("body", 512)).alias("other")
-    ).groupBy("digest", "other", "id").agg(F.max("points").alias("points"))
-    classes = verified.groupBy("digest", "other").agg(
-        F.min(F.struct((-F.col("points")).alias("p"), F.col("id").alias("keep_id"))).alias("best"), F.count(F.lit(1)).alias("group_size")
-    ).select("digest", "other", "best.keep_id", "group_size")
-    together = verified.join(classes, ["digest", "other"]).select("id", "keep_id", "group_size", F.lower(F.hex("digest")).alias("text_sha256"))
-    return alone.unionByName(together).select(
-        id_or_null("id").alias(id_col), id_or_null("keep_id").alias("keep_id"), "group_size", (F.col("id") == F.col("keep_id")).alias("kept"), "text_sha256"
+        "digest", "id", "points", "row", F.when(F.col("body") == F.col("kept_body"), F.lit("")).otherwise(F.sha2("body", 512)).alias("other")
     )
+    classes = verified.groupBy("digest", "other").agg(
+        F.min(F.struct((-F.col("points")).alias("p"), F.col("id").alias("keep_id"), F.col("row").alias("keep_row"))).alias("best"), F.count(F.lit(1)).alias("group_size")
+    ).select("digest", "other", "best.keep_id", "best.keep_row", "group_size")
+    together = verified.join(classes, ["digest", "other"]).select(*named, "id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    return alone.unionByName(together).select(*([row_col] if row_col else []), id_or_null("id").alias(id_col), id_or_null("keep_id").alias("keep_id"), "group_size", "kept", "text_sha256")
