@@ -1,11 +1,14 @@
 """Cleaning and packing of a corpus: language, exact copies, near copies, benchmark passages, sequences.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep the columns of documents. Rows are
-told apart by id and text, so repeated ids do no harm; a null id is a value like any other.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep the columns of documents. The two
+dedup stages number the rows they are given and keep one row of each group by that number, so copies that share an id, or
+have none, go too; a null id is a value like any other.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +18,8 @@ from dyadflow.llm.common import shared_dir, table
 #: A document whose language is less certain than this, or that has no letter, is rejected.
 MIN_LANGUAGE_SCORE = 0.35
 VOCABULARY = "word_bpe_49k.json"
+#: The number of a row within a dedup stage.
+ROW = "_row"
 
 
 def without(docs: DataFrame, dropped: DataFrame, key: dict) -> DataFrame:
@@ -30,14 +35,20 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return judged.where((F.col("_judged.lang_pred") != language.UNDETERMINED) & (F.col("_judged.score") >= MIN_LANGUAGE_SCORE)).select(docs.columns)
 
 
+def kept_rows(spark: SparkSession, docs: DataFrame, groups: Callable[..., DataFrame]) -> DataFrame:
+    """The rows of docs that groups() keeps; the numbers that tell rows apart are written once, so that every reader sees the same."""
+    shared_dir(spark)
+    numbered = docs.withColumn(ROW, F.monotonically_increasing_id()).checkpoint()
+    dropped = groups(numbered, row_col=ROW).where("not kept").select(ROW)
+    return numbered.join(dropped, ROW, "left_anti").select(docs.columns)
+
+
 def one_of_equal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    dropped = exact.exact_groups(docs).where("not kept")
-    return without(docs, dropped, {"doc_id": F.col("doc_id"), "text_sha256": F.sha2(exact.normalised(F.col("text")), 256)})
+    return kept_rows(spark, docs, exact.exact_groups)
 
 
 def one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    dropped = bags.near_classes(docs).where("not kept")
-    return without(docs, dropped, {"doc_id": F.col("doc_id"), "text_hash": F.xxhash64(F.coalesce("text", F.lit("")))})
+    return kept_rows(spark, docs, bags.near_classes)
 
 
 def not_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,8 +12,9 @@ Comparisons are exact: overlap of the bags, from the texts, at `similarity` or m
 
 Words are those of `phrases`: A-Z lower-cased, ASCII other than letters and digits parts them.
 
-Defined results: a text without a word, null too, is alone in its class (rows of one id share it); null ids come last in the choice of the kept row
-and stay null; repeated rows get a row each with equal results; an empty table gives no rows; extra columns are ignored.
+Defined results: a text without a word, null too, is alone in its class; null ids come last in the choice of the kept row
+and stay null; repeated rows get a row each with equal class and size, and exactly one row of a class is kept, whichever ids its
+rows share; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -100,7 +101,7 @@ def band_keys(signature: np.ndarray, bands: int) -> np.ndarray:
 
 #: What each byte becomes: A-Z in lower case, other letters, digits and bytes beyond ASCII as they are, all else a space.
 FOLDED = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-SIGNED = "id long, h long, digest binary, n long, bands array<long>"
+SIGNED = "id long, h long, row long, digest binary, n long, bands array<long>"
 
 
 def word_text(text: str) -> bytes:
@@ -109,29 +110,30 @@ def word_text(text: str) -> bytes:
 
 
 def sign(shingle: int, bands: int, rows: int):
-    """mapInPandas: (id, h, text) to (id, h, digest, n, bands); a text without a word has no digest and no bands."""
+    """mapInPandas: (id, h, row, text) to (id, h, row, digest, n, bands); a text without a word has no digest and no bands."""
 
-    def made(ids: list, hashes: list, texts: list[bytes]) -> pd.DataFrame:
+    def made(ids: list, hashes: list, numbers: list, texts: list[bytes]) -> pd.DataFrame:
         some = [i for i, t in enumerate(texts) if t]
         of, element, weight = bags([texts[i] for i in some], shingle)
         keys = iter(band_keys(bag_minhash(of, element, weight, len(some), bands * rows), bands)) if some else iter(())
         counts = iter(np.bincount(of, weight, len(some)).astype(np.int64).tolist()) if some else iter(())
         signed = [(hashlib.md5(t).digest(), next(counts), next(keys)) if t else (None, 0, np.empty(0, np.int64)) for t in texts]
-        return pd.DataFrame({"id": ids, "h": hashes, "digest": [x[0] for x in signed], "n": [x[1] for x in signed], "bands": [x[2] for x in signed]})
+        return pd.DataFrame({"id": ids, "h": hashes, "row": numbers, "digest": [x[0] for x in signed], "n": [x[1] for x in signed], "bands": [x[2] for x in signed]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            ids, hashes, texts, size = [], [], [], 0
-            for doc, h, text in zip(batch["id"].tolist(), batch["h"].tolist(), batch["text"], strict=True):
+            ids, hashes, numbers, texts, size = [], [], [], [], 0
+            for doc, h, number, text in zip(batch["id"].tolist(), batch["h"].tolist(), batch["row"].tolist(), batch["text"], strict=True):
                 ids.append(doc)
                 hashes.append(h)
+                numbers.append(number)
                 texts.append(word_text(text))
                 size += len(texts[-1])
                 if size > AT_ONCE:
-                    yield made(ids, hashes, texts)
-                    ids, hashes, texts, size = [], [], [], 0
+                    yield made(ids, hashes, numbers, texts)
+                    ids, hashes, numbers, texts, size = [], [], [], [], 0
             if texts:
-                yield made(ids, hashes, texts)
+                yield made(ids, hashes, numbers, texts)
 
     return run
 
@@ -182,12 +184,15 @@ def linked(links: DataFrame, labels: DataFrame, further: DataFrame) -> tuple[Dat
     return links, components(links)
 
 
-def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, bands: int = 20, rows: int = 6) -> DataFrame:
-    """One row per document: id, class_id (the smallest id of its class), class_size (rows), kept, text_hash (xxhash64 of the text, null as empty)."""
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, bands: int = 20, rows: int = 6, row_col: str | None = None) -> DataFrame:
+    """One row per document: id, class_id (the smallest id of its class), class_size (rows), kept (true once in each class), text_hash (xxhash64 of the text, null as empty).
+
+    With row_col, a column of unique numbers, that column comes first, and of rows with the smallest id the smallest number is kept.
+    """
     shared_dir(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.select(id_or_last(id_col).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
-    signed = base.mapInPandas(sign(shingle, bands, rows), SIGNED).checkpoint()
+    base = docs.select(id_or_last(id_col).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"), (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row"))
+    signed = base.select("id", "h", "row", "text").mapInPandas(sign(shingle, bands, rows), SIGNED).checkpoint()
     placed = signed.where("digest IS NOT NULL").select("digest", "n", F.explode("bands").alias("band"))
     nodes = placed.distinct().checkpoint()
     sizes_of = nodes.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -203,7 +208,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         needed = pairs.select(F.col("a").alias("digest")).unionByName(pairs.select(F.col("b").alias("digest"))).distinct()
         # one row stands for all of equal words; its text is read from the documents again
         chosen = signed.join(needed, "digest", "left_semi").groupBy("digest").agg(F.min(F.struct("id", "h")).alias("row")).select("digest", "row.id", "row.h")
-        used = base.join(chosen, ["id", "h"]).groupBy("digest").agg(F.first("text").alias("text")).checkpoint()
+        used = base.drop("row").join(chosen, ["id", "h"]).groupBy("digest").agg(F.first("text").alias("text")).checkpoint()
         one = pairs.join(used.select(F.col("digest").alias("a"), F.col("text").alias("text_a")), "a")
         two = one.join(used.select(F.col("digest").alias("b"), F.col("text").alias("text_b")), "b")
         return two.select("a", "b", "text_a", "text_b").mapInPandas(compare(shingle, similarity), "a binary, b binary").checkpoint()
@@ -227,10 +232,11 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     more = apart.join(rest, "band").where((F.col("label_a") != F.col("label_b")) & sizes).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     _, labels = linked(links, labels, similar(more))
 
-    alone = F.coalesce("digest", F.concat(F.lit(b"alone"), F.col("id").cast("string").cast("binary")))
-    rows_of = signed.select("id", "h", alone.alias("digest"))
+    alone = F.coalesce("digest", F.concat(F.lit(b"alone"), F.col("row").cast("string").cast("binary")))
+    rows_of = signed.select("id", "h", "row", alone.alias("digest"))
     classed = rows_of.join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest")).checkpoint()
-    classes = classed.groupBy("label").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
+    best_row = F.min(F.struct("id", F.col("row").alias("keep_row"))).alias("best")
+    classes = classed.groupBy("label").agg(best_row, F.count(F.lit(1)).alias("class_size")).select("label", F.col("best.id").alias("class_id"), "best.keep_row", "class_size")
     return classed.join(classes, "label").select(
-        id_or_null("id").alias(id_col), id_or_null("class_id").alias("class_id"), "class_size", (F.col("id") == F.col("class_id")).alias("kept"), F.col("h").alias("text_hash")
+        *([F.col("row").alias(row_col)] if row_col else []), id_or_null("id").alias(id_col), id_or_null("class_id").alias("class_id"), "class_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.col("h").alias("text_hash")
     )

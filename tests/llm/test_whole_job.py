@@ -4,6 +4,8 @@ from collections import Counter
 
 import duckdb
 
+import corpus_pipeline
+
 from dyadflow.llm import exact, registry
 
 DOCS = "doc_id long, text string, lang string"
@@ -21,3 +23,19 @@ def test_exact_groups_count_every_row(spark):
     assert Counter(ours) == Counter((a, b, n, h) for a, b, n, _, h in want)
     assert len(got) == len(rows) and (got.groupby("text_sha256")["kept"].sum() == 1).all()
     assert (got[got["kept"]]["doc_id"].isna() == got[got["kept"]]["keep_id"].isna()).all()
+
+
+def test_dedup_stages_leave_one_row_of_a_group(spark):
+    base = " ".join(f"tok{i}" for i in range(80))
+    other = " ".join(f"far{i}" for i in range(80))
+    third = " ".join(f"new{i}" for i in range(80))
+    equal = [(5, base), (5, base), (5, base), (None, other), (None, other), (1, "solo"), (5, "of the same id"), (None, "no id")]
+    docs = spark.createDataFrame([(*r, None) for r in equal], DOCS).repartition(3)
+    got = corpus_pipeline.one_of_equal(spark, docs, "")
+    assert got.columns == docs.columns
+    assert Counter((r[0], r[1]) for r in got.collect()) == Counter(set(equal))
+    near = [(5, base), (5, base + " more"), (5, base), (None, other), (None, other + " end"), (3, third), (2, third + " end"), (2, third), (None, "..."), (None, "!"), (1, "solo"), (None, "no id")]
+    docs = spark.createDataFrame([(*r, None) for r in near], DOCS).repartition(3)
+    got = [(r[0], r[1]) for r in corpus_pipeline.one_of_near(spark, docs, "").collect()]
+    starts = Counter((doc, text.split()[0]) for doc, text in got)
+    assert starts == Counter([(5, "tok0"), (None, "far0"), (2, "new0"), (None, "..."), (None, "!"), (1, "solo"), (None, "no")])
