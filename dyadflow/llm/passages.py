@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dyadflow.llm.common import id_or_null
-from dyadflow.llm.repeats import Bucket, Stretches, Windows, marked_windows, repeated_windows
+from dyadflow.llm.repeats import CROWD, Bucket, Stretches, Windows, marked_windows, repeated_windows
 
 RESULT = "id long, n_words long, n_removed long, kept_sha256 string"
 
@@ -110,7 +110,7 @@ def finish(letters: int):
     return run
 
 
-def remove_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 35, anchor: int = 8, bucket_bytes: int = 4_000_000, letters: int = 1_000_000) -> DataFrame:
+def remove_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 35, anchor: int = 8, bucket_bytes: int = 4_000_000, letters: int = 1_000_000, crowd: int = CROWD) -> DataFrame:
     """One row per document: id, n_words, n_removed, kept_sha256."""
-    found = repeated_windows(docs, id_col, text_col, Windows("word", length, anchor), occurs_twice, finish(letters), RESULT, bucket_bytes)
+    found = repeated_windows(docs, id_col, text_col, Windows("word", length, anchor), occurs_twice, finish(letters), RESULT, bucket_bytes, crowd)
     return found.select(id_or_null("id").alias(id_col), *[F.col(c) for c in ("n_words", "n_removed", "kept_sha256")])

@@ -3,17 +3,19 @@
 Sending every window through a shuffle would cost many times the corpus. Each window therefore belongs to an anchor: the
 run of `anchor` units in it with the smallest hash. Equal windows have equal anchors, and neighbouring windows share
 theirs, so that only one position in about twelve is an anchor. Documents are dealt into buckets of bounded size by a hash
-of their id, and three rounds follow.
+of their id and text, and three rounds follow.
 
-1. Each bucket sends the set of its anchors' hashes to shards cut by hash. A shard answers which of them occur twice.
+1. Each bucket sends the set of its anchors' hashes, with the number of different stretches around each, to shards cut by
+   hash. A shard answers which of them occur twice, and which are crowded: have more than `crowd` stretches in all.
 2. Each bucket sends, for these alone, the stretch of text that the anchor's windows cover, once for each different
    stretch. A shard holds all windows of its anchors, decides on each by the method of the operator at hand, and answers
-   with a bit for each window.
+   with a bit for each window. Windows of crowded anchors go singly, once for each different window of a bucket, to the
+   shard of their own fingerprint.
 3. Each bucket turns these bits into covered units of its documents.
 
 All that moves beside the documents, which are dealt out once, is a few bytes for each anchor and the text of recurring
-ones. Hashes spread evenly over shards; a stretch that a third of all documents share is sent once by each bucket, so
-no shard gets a row for each document. Nothing is capped: an anchor hash that collides only costs a needless answer.
+ones. Hashes spread evenly over shards; a stretch that a third of all documents share is sent once by each bucket, and one
+that they hold in different surroundings is crowded, so no shard gets a row for each document. Nothing is capped: an anchor hash that collides only costs a needless answer.
 """
 
 from __future__ import annotations
@@ -36,7 +38,9 @@ ODD = _RANDOM.integers(0, 2**64, size=(3, 8), dtype=U) | U(1)
 WORD_POWERS = _RANDOM.integers(0, 2**64, size=3, dtype=U) | U(1)
 #: Units that are hashed at a time; bounds the memory for a very long text.
 STRETCH = 1 << 19
-ASK = "shard int, bucket long, which binary, ids binary, lens binary, multi binary, text binary"
+#: Different stretches of one anchor beyond which its windows are dealt out singly.
+CROWD = 2000
+ASK = "shard int, bucket long, single boolean, which binary, ids binary, lens binary, multi binary, text binary"
 
 
 @dataclass(frozen=True)
@@ -197,38 +201,83 @@ def by_shard(shard: np.ndarray) -> list[tuple[int, slice]]:
     return [(int(shard[a]), slice(a, b)) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
 
 
+#: An anchor hash as sent: its highest 47 bits, a bit that tells that it occurs twice here, and 16 bits with the number of stretches here.
+HASH_BITS, TWICE, COUNT = U(17), U(1 << 16), U(0xFFFF)
+
+
+def different_stretches(bucket: Bucket, different: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For each different anchor hash, the number of different stretches of the bucket's texts around it."""
+    count = np.ones(len(different), np.int64)
+    place = np.searchsorted(different, bucket.hash)
+    again = np.flatnonzero(n[place] > 1)
+    if len(again):
+        pairs = set(zip(place[again].tolist(), bucket.stretches(again), strict=True))
+        many = np.bincount([at for at, _ in pairs], minlength=len(different))
+        count = np.maximum(count, many)
+    return count
+
+
 def send_anchors(rule: Windows, shards: int):
-    """Round 1, a bucket: 48 bits of each different anchor hash, the lowest of them telling that it occurs twice here."""
+    """Round 1, a bucket: each different anchor hash, whether it occurs twice here, and its number of stretches."""
 
     def run(key, docs: pd.DataFrame) -> pd.DataFrame:
-        different, n = np.unique(Bucket(docs, rule).hash, return_counts=True)
-        short = ((different >> U(17)) << U(1)) | (n > 1).astype(U)
-        rows = [(s, key[0], short[cut].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()) for s, cut in by_shard(shard_of(different, shards))]
+        bucket = Bucket(docs, rule)
+        different, n = np.unique(bucket.hash, return_counts=True)
+        count = np.minimum(different_stretches(bucket, different, n), int(COUNT)).astype(U)
+        sent = ((different >> HASH_BITS) << HASH_BITS) | np.where(n > 1, TWICE, U(0)) | count
+        rows = [(s, key[0], sent[cut].astype("<u8").tobytes()) for s, cut in by_shard(shard_of(different, shards))]
         return pd.DataFrame(rows, columns=["shard", "bucket", "sent"])
 
     return run
 
 
-def answer_recurring(asked: pd.DataFrame) -> pd.DataFrame:
-    """Round 1, a shard: a bit for each hash sent, set if it occurs twice anywhere."""
-    sent = []
-    for s in asked["sent"]:
-        wide = np.zeros((len(s) // 6, 8), np.uint8)
-        wide[:, :6] = np.frombuffer(s, np.uint8).reshape(-1, 6)
-        sent.append(wide.view("<u8").ravel())
-    every = np.concatenate(sent)
-    values, where, n = np.unique(every >> U(1), return_inverse=True, return_counts=True)
-    recurs = n > 1
-    recurs[where[(every & U(1)).astype(bool)]] = True
-    bits, at = [], 0
-    for s in sent:
-        bits.append(np.packbits(recurs[where[at : at + len(s)]]).tobytes())
-        at += len(s)
-    return pd.DataFrame({"bucket": asked["bucket"], "shard": asked["shard"], "bits": bits})
+def answer_recurring(crowd: int):
+    """Round 1, a shard: two bits for each hash sent, set if it occurs twice anywhere, and if it has more than `crowd` stretches."""
+
+    def run(asked: pd.DataFrame) -> pd.DataFrame:
+        sent = [np.frombuffer(s, "<u8") for s in asked["sent"]]
+        every = np.concatenate(sent)
+        values, where, n = np.unique(every >> HASH_BITS, return_inverse=True, return_counts=True)
+        recurs = n > 1
+        recurs[where[(every & TWICE) != 0]] = True
+        crowded = np.bincount(where, (every & COUNT).astype(float), len(values)) > crowd
+        bits, singly, at = [], [], 0
+        for s in sent:
+            own = where[at : at + len(s)]
+            bits.append(np.packbits(recurs[own]).tobytes())
+            singly.append(np.packbits(crowded[own]).tobytes())
+            at += len(s)
+        return pd.DataFrame({"bucket": asked["bucket"], "shard": asked["shard"], "bits": bits, "crowded": singly})
+
+    return run
+
+
+def windows_of(bucket: Bucket, chosen: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """(start, text) of the single windows of the chosen anchors, in the order of their documents."""
+    n = bucket.end[chosen] - bucket.begin[chosen] + 1
+    starts = np.repeat(bucket.begin[chosen], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    a, b = bucket.units.span(starts, starts)
+    text = bucket.units.buffer
+    return starts, [text[i:j] for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+
+
+def once_each(places: list[int], texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """(first place, occurs again, text) of the different texts."""
+    seen: dict[bytes, int] = {}
+    firsts, multi, different = [], bytearray(), []
+    for i, text in zip(places, texts, strict=True):
+        at = seen.setdefault(text, len(firsts))
+        if at == len(firsts):
+            firsts.append(i)
+            multi.append(0)
+            different.append(text)
+        else:
+            multi[at] = 1
+    return np.array(firsts, np.int64), np.frombuffer(bytes(multi), np.uint8), different
 
 
 def send_stretches(rule: Windows, shards: int):
-    """Round 2, a bucket: each different stretch of a recurring anchor, from the document of the smallest id."""
+    """Round 2, a bucket: each different stretch of a recurring anchor, or window of a crowded one, from the document of the smallest id."""
 
     def run(key, docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         names = [c.split()[0] for c in ASK.split(", ")]
@@ -236,28 +285,32 @@ def send_stretches(rule: Windows, shards: int):
         if bucket is None or not len(bucket.hash):
             return pd.DataFrame([], columns=names)
         different = np.unique(bucket.hash)
-        bits = dict(zip(answers["shard"], answers["bits"], strict=True))
-        recurs = np.concatenate([np.unpackbits(np.frombuffer(bits[s], np.uint8))[: cut.stop - cut.start] for s, cut in by_shard(shard_of(different, shards))]).astype(bool)
-        chosen = np.flatnonzero(recurs[np.searchsorted(different, bucket.hash)])
-        seen: dict[bytes, int] = {}
-        firsts, multi, texts = [], bytearray(), []
-        for i, text in zip(chosen.tolist(), bucket.stretches(chosen), strict=True):
-            at = seen.setdefault(text, len(firsts))
-            if at == len(firsts):
-                firsts.append(i)
-                multi.append(0)
-                texts.append(text)
-            else:
-                multi[at] = 1
-        which = np.array(firsts, np.int64)
-        shard = shard_of(bucket.hash[which], shards)
-        order = np.argsort(shard, kind="stable")
-        ids, flags = bucket.ids[bucket.doc[which]], np.frombuffer(bytes(multi), np.uint8)
+        cuts = by_shard(shard_of(different, shards))
+
+        def told(column: str) -> np.ndarray:
+            bits = dict(zip(answers["shard"], answers[column], strict=True))
+            each = np.concatenate([np.unpackbits(np.frombuffer(bits[s], np.uint8))[: cut.stop - cut.start] for s, cut in cuts]).astype(bool)
+            return each[np.searchsorted(different, bucket.hash)]
+
+        recurs, crowded = told("bits"), told("crowded")
         rows = []
-        for s, cut in by_shard(shard[order]):
-            own = order[cut]
-            parts = [texts[i] for i in own]
-            rows.append((s, key[0], which[own].astype("<u4").tobytes(), ids[own].tobytes(), np.array([len(p) for p in parts], "<u4").tobytes(), flags[own].tobytes(), b"".join(parts)))
+
+        def send(single: bool, which: np.ndarray, doc: np.ndarray, shard: np.ndarray, flags: np.ndarray, texts: list[bytes]) -> None:
+            order = np.argsort(shard, kind="stable")
+            ids = bucket.ids[doc]
+            for s, cut in by_shard(shard[order]):
+                own = order[cut]
+                parts = [texts[i] for i in own]
+                rows.append((s, key[0], single, which[own].astype("<u4").tobytes(), ids[own].tobytes(), np.array([len(p) for p in parts], "<u4").tobytes(), flags[own].tobytes(), b"".join(parts)))
+
+        chosen = np.flatnonzero(recurs & ~crowded)
+        which, flags, texts = once_each(chosen.tolist(), bucket.stretches(chosen))
+        send(False, which, bucket.doc[which], shard_of(bucket.hash[which], shards), flags, texts)
+        chosen = np.flatnonzero(recurs & crowded)
+        if len(chosen):
+            starts, texts = windows_of(bucket, chosen)
+            which, flags, texts = once_each(starts.tolist(), texts)
+            send(True, which, bucket.doc[np.searchsorted(bucket.begin, which, side="right") - 1], shard_of(bucket.units.fingerprints(1)[which], shards), flags, texts)
         return pd.DataFrame(rows, columns=names)
 
     return run
@@ -290,7 +343,7 @@ def answer_windows(rule: Windows, decide: Callable[[Stretches], np.ndarray]):
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             lo, hi = (int(units.first[a]), int(units.last[b - 1])) if b > a else (0, 0)
             bits.append(np.packbits(marked[lo:hi][valid[lo:hi]]).tobytes())
-        return pd.DataFrame({"bucket": asked["bucket"], "which": asked["which"], "bits": bits})
+        return pd.DataFrame({"bucket": asked["bucket"], "single": asked["single"], "which": asked["which"], "bits": bits})
 
     return run
 
@@ -304,6 +357,15 @@ def marked_windows(bucket: Bucket, answers: pd.DataFrame, first_stays: bool) ->
     marked = np.zeros(bucket.units.n, bool)
     if not len(answers):
         return marked
+    single = answers["single"].astype(bool)
+    _mark_stretches(bucket, answers[~single], first_stays, marked)
+    _mark_singly(bucket, answers[single], first_stays, marked)
+    return marked
+
+
+def _mark_stretches(bucket: Bucket, answers: pd.DataFrame, first_stays: bool, marked: np.ndarray) -> None:
+    if not len(answers):
+        return
     n_windows = bucket.end - bucket.begin + 1
     firsts, verdicts = [], []
     for which, bits in zip(answers["which"], answers["bits"], strict=True):
@@ -325,7 +387,25 @@ def marked_windows(bucket: Bucket, answers: pd.DataFrame, first_stays: bool) ->
         for i in own:
             again = ids[i] != ids[first] if first_stays else len(own) > 1
             marked[begin[i] : end[i] + 1] = True if again else bits
-    return marked
+
+
+def _mark_singly(bucket: Bucket, answers: pd.DataFrame, first_stays: bool, marked: np.ndarray) -> None:
+    """The same for the windows of crowded anchors, which were sent one by one."""
+    if not len(answers):
+        return
+    sent = [np.frombuffer(w, "<u4").astype(np.int64) for w in answers["which"]]
+    verdict = {i: bool(v) for own, bits in zip(sent, answers["bits"], strict=True) for i, v in zip(own.tolist(), np.unpackbits(np.frombuffer(bits, np.uint8))[: len(own)], strict=True)}
+    anchor_of = lambda starts: np.searchsorted(bucket.begin, starts, side="right") - 1
+    crowded = np.unique(bucket.hash[anchor_of(np.concatenate(sent))])
+    starts, texts = windows_of(bucket, np.flatnonzero(np.isin(bucket.hash, crowded)))
+    ids = bucket.ids[bucket.doc[anchor_of(starts)]]
+    places: dict[bytes, list[int]] = {}
+    for at, text in enumerate(texts):
+        places.setdefault(text, []).append(at)
+    for own in places.values():
+        bit, first = verdict[int(starts[own[0]])], ids[own[0]]
+        for at in own:
+            marked[starts[at]] = True if (ids[at] != first if first_stays else len(own) > 1) else bit
 
 
 def covered(units: Units, marked: np.ndarray) -> np.ndarray:
@@ -337,16 +417,16 @@ def covered(units: Units, marked: np.ndarray) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
-def repeated_windows(docs: DataFrame, id_col: str, text_col: str, rule: Windows, decide: Callable[[Stretches], np.ndarray], finish: Callable[[Bucket, pd.DataFrame], pd.DataFrame], result: str, bucket_bytes: int = 4_000_000) -> DataFrame:
+def repeated_windows(docs: DataFrame, id_col: str, text_col: str, rule: Windows, decide: Callable[[Stretches], np.ndarray], finish: Callable[[Bucket, pd.DataFrame], pd.DataFrame], result: str, bucket_bytes: int = 4_000_000, crowd: int = CROWD) -> DataFrame:
     """Run the three rounds; `finish` turns a bucket and the answers to it into the rows of `result`."""
     rows = docs.select(id_or_last(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // bucket_bytes + 1)
-    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets))).groupBy("bucket")
+    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("id", "text"), F.lit(buckets))).groupBy("bucket")
     sent = dealt.applyInPandas(send_anchors(rule, buckets), "shard int, bucket long, sent binary")
-    recurring = sent.groupBy("shard").applyInPandas(answer_recurring, "bucket long, shard int, bits binary")
+    recurring = sent.groupBy("shard").applyInPandas(answer_recurring(crowd), "bucket long, shard int, bits binary, crowded binary")
     asked = dealt.cogroup(recurring.groupBy("bucket")).applyInPandas(send_stretches(rule, buckets), ASK)
-    answers = asked.groupBy("shard").applyInPandas(answer_windows(rule, decide), "bucket long, which binary, bits binary")
+    answers = asked.groupBy("shard").applyInPandas(answer_windows(rule, decide), "bucket long, single boolean, which binary, bits binary")
 
     def last(key, own: pd.DataFrame, answered: pd.DataFrame) -> pd.DataFrame:
         return finish(Bucket(own, rule), answered)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dyadflow.llm.common import id_or_null
-from dyadflow.llm.repeats import Bucket, Stretches, Windows, covered, marked_windows, repeated_windows
+from dyadflow.llm.repeats import CROWD, Bucket, Stretches, Windows, covered, marked_windows, repeated_windows
 
 RESULT = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
@@ -143,7 +143,7 @@ def finish(bucket: Bucket, answers: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=[c.split()[0] for c in RESULT.split(", ")])
 
 
-def remove_earlier(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, anchor: int = 16, batches: int = 4, bucket_bytes: int = 4_000_000) -> DataFrame:
+def remove_earlier(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, anchor: int = 16, batches: int = 4, bucket_bytes: int = 4_000_000, crowd: int = CROWD) -> DataFrame:
     """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256."""
-    found = repeated_windows(docs, id_col, text_col, Windows("byte", length, anchor), earlier_document(batches), finish, RESULT, bucket_bytes)
+    found = repeated_windows(docs, id_col, text_col, Windows("byte", length, anchor), earlier_document(batches), finish, RESULT, bucket_bytes, crowd)
     return found.select(id_or_null("id").alias(id_col), *[F.col(c) for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")])

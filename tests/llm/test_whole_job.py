@@ -1,12 +1,15 @@
 """What the operators do with repeated rows, null ids and unlabelled tables: every row counts, one row of a group stays."""
 
+import inspect
+import random
 from collections import Counter
 
 import duckdb
+import pandas as pd
+import pytest
 
 import corpus_pipeline
-
-from dyadflow.llm import exact, registry
+from dyadflow.llm import exact, passages, registry, repeats, suffixes
 
 DOCS = "doc_id long, text string, lang string"
 
@@ -39,3 +42,40 @@ def test_dedup_stages_leave_one_row_of_a_group(spark):
     got = [(r[0], r[1]) for r in corpus_pipeline.one_of_near(spark, docs, "").collect()]
     starts = Counter((doc, text.split()[0]) for doc, text in got)
     assert starts == Counter([(5, "tok0"), (None, "far0"), (2, "new0"), (None, "..."), (None, "!"), (1, "solo"), (None, "no")])
+
+
+def line_in_different_surroundings(unit):
+    rng = random.Random(3)
+    if unit == "word":
+        line, letters, gap = " ".join(f"line{i}" for i in range(30)), [f"x{i}" for i in range(5000)], " "
+    else:
+        line, letters, gap = "a line of 45 bytes that all documents have in", "abcdefghijklmnopqrstuvwxyz0123456789", ""
+    around = lambda n: gap.join(rng.choices(letters, k=n))
+    texts = [gap.join((around(60), line, around(60))) for _ in range(400)]
+    copies = [gap.join((around(5), texts[i], around(5))) for i in range(0, 400, 20)]
+    return [(i % 300 if i % 7 else None, t) for i, t in enumerate(texts + copies + texts[:3])]
+
+
+@pytest.mark.parametrize("rule", [repeats.Windows("word", 35, 8), repeats.Windows("byte", 50, 16)])
+def test_a_crowded_anchor_is_dealt_to_many_shards(spark, rule):
+    docs = spark.createDataFrame([(*r, None) for r in line_in_different_surroundings(rule.unit)], DOCS).repartition(3)
+
+    def decide(found):
+        n = int(found.units.window_starts().sum())
+        assert n < (3000 if rule.unit == "word" else 6000), f"{n} windows of {len(found.ids)} texts in one shard, longest {int((found.units.last - found.units.first).max())}"
+        return passages.occurs_twice(found)
+
+    def finish(bucket, answers):
+        return pd.DataFrame({"id": bucket.ids})
+
+    parts = {"crowd": 20} if "crowd" in inspect.signature(repeats.repeated_windows).parameters else {}
+    assert repeats.repeated_windows(docs, "doc_id", "text", rule, decide, finish, "id long", bucket_bytes=4000, **parts).count() == 423
+
+
+@pytest.mark.parametrize(("operator", "unit"), [(passages.remove_recurring, "word"), (suffixes.remove_earlier, "byte")])
+def test_crowded_anchors_give_the_same_rows(spark, operator, unit):
+    docs = spark.createDataFrame([(*r, None) for r in line_in_different_surroundings(unit)], DOCS).repartition(3)
+    whole = Counter(map(tuple, operator(docs, crowd=10**9).collect()))
+    assert sum(n for row, n in whole.items() if row[2]) > 20
+    assert Counter(map(tuple, operator(docs, crowd=0, bucket_bytes=20_000).collect())) == whole
+    assert Counter(map(tuple, operator(docs, crowd=20).collect())) == whole
