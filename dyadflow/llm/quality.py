@@ -2,11 +2,11 @@
 
 A document's worth is a linear function of features of its text. Preference pairs put a labelled good document against a
 labelled bad one; the weights come from logistic loss on the difference of their features, fitted by Spark's logistic
-regression without an intercept. A quantile of the training scores, chosen where the two classes part best, becomes the
-threshold; scores are scaled so that it lies at `cut`.
+regression without an intercept. A quantile of the scores of all labelled documents outside the held-out fold, chosen where
+the two classes part best, becomes the threshold; scores are scaled so that it lies at `cut`.
 
 Bounds: pairs are drawn from about `sample` labelled documents of each class, `partners` pairs for each of the smaller
-class. Features are column expressions over the whole text, so scoring is one pass without Python.
+class; the threshold and the spread come from all that may be learned from, in one pass over their texts. Features are column expressions over the whole text, so scoring is one pass without Python.
 
 Defined results: null text counts as empty; a document labelled several times has its lowest label; rows are scored one by
 one, so repeated rows get equal results; null ids stay null and are never learned from; without both labels in the
@@ -119,11 +119,14 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     # labels are drawn before the texts are joined, so only the sample's texts are turned into features
     share = F.when(F.col("label") == 1, min(1.0, sample / max(1, n.get(1, 0)))).otherwise(min(1.0, sample / max(1, n.get(0, 0))))
     chosen = learned.where(F.pmod(F.xxhash64(id_col), F.lit(1_000_003)) < share * 1_000_003)
-    rows = docs.select(id_col, F.col(text_col).alias("t")).join(chosen, id_col).select(feature_array(F.col("t")).alias("x"), "label", F.col(id_col).cast("string").alias("order")).persist()
+    texts = docs.select(id_col, F.col(text_col).alias("t"))
+    rows = texts.join(chosen, id_col).select(feature_array(F.col("t")).alias("x"), "label", F.col(id_col).cast("string").alias("order")).persist()
     size = len(np.atleast_1d(rows.head()["x"])) if rows.head() else 0
     weights = learn_weights(preference_pairs(rows, sample, partners), size) if size else np.zeros(0)
-    at, _, spread = best_quantile(rows.select(worth(F.col("x"), weights).alias("s"), "label"))
     rows.unpersist()
+    judged = texts.join(learned, id_col).select(feature_array(F.col("t")).alias("x"), "label").select(worth(F.col("x"), weights).alias("s"), "label").persist()
+    at, _, spread = best_quantile(judged)
+    judged.unpersist()
     logit = float(np.log(cut / (1 - cut)))
     s = worth(F.col("x"), weights)
     score = F.lit(1.0) / (1 + F.exp(-(F.lit(logit) + (F.col("s") - at) / spread)))

@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 
 import corpus_pipeline
-from dyadflow.llm import exact, passages, registry, repeats, suffixes
+from dyadflow.llm import exact, language, passages, quality, registry, repeats, suffixes
 
 DOCS = "doc_id long, text string, lang string"
 
@@ -79,3 +79,14 @@ def test_crowded_anchors_give_the_same_rows(spark, operator, unit):
     assert sum(n for row, n in whole.items() if row[2]) > 20
     assert Counter(map(tuple, operator(docs, crowd=0, bucket_bytes=20_000).collect())) == whole
     assert Counter(map(tuple, operator(docs, crowd=20).collect())) == whole
+
+
+def test_quality_threshold_is_one_of_all_labelled_documents(spark, monkeypatch):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet") for name in ("documents", "labels"))
+    seen = []
+    of_all = quality.best_quantile
+    monkeypatch.setattr(quality, "best_quantile", lambda scored: seen.append(scored.groupBy("label").count().collect()) or of_all(scored))
+    quality.score_documents(docs, labels, sample=10).limit(0).collect()
+    learned = labels.where("quality IN (0, 1)").join(docs, "doc_id").where(language.fold("doc_id", 5) != 0)
+    assert {r["label"]: r["count"] for r in seen[0]} == {r["quality"]: r["count"] for r in learned.groupBy("quality").count().collect()}
+    assert sum(r["count"] for r in seen[0]) > 60
