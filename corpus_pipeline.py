@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from dyadflow.llm import bags, exact, language, packing, phrases
 from dyadflow.llm.common import shared_dir, table
 
-#: A document whose language is less certain than this, or that has no letter, is rejected.
+#: A document whose language is less certain than this, or that has no letter, is rejected; where no document names its language, only the latter.
 MIN_LANGUAGE_SCORE = 0.35
 VOCABULARY = "word_bpe_49k.json"
 #: The number of a row within a dedup stage.
@@ -31,7 +31,11 @@ def without(docs: DataFrame, dropped: DataFrame, key: dict) -> DataFrame:
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = docs.withColumn("_judged", language.judged(docs, language.trained(docs)))
+    model = language.trained(docs)
+    if model is None:
+        # nothing to learn from: no text's language is known, and only those without a letter are rejected
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    judged = docs.withColumn("_judged", language.judged(docs, model))
     return judged.where((F.col("_judged.lang_pred") != language.UNDETERMINED) & (F.col("_judged.score") >= MIN_LANGUAGE_SCORE)).select(docs.columns)
 
 

@@ -90,3 +90,11 @@ def test_quality_threshold_is_one_of_all_labelled_documents(spark, monkeypatch):
     learned = labels.where("quality IN (0, 1)").join(docs, "doc_id").where(language.fold("doc_id", 5) != 0)
     assert {r["label"]: r["count"] for r in seen[0]} == {r["quality"]: r["count"] for r in learned.groupBy("quality").count().collect()}
     assert sum(r["count"] for r in seen[0]) > 60
+
+
+def test_language_stage_keeps_unlabelled_documents(spark):
+    texts = [None, "", "...", "123 !", "Ein Satz", "a sentence", "é", "a sentence"]
+    docs = spark.createDataFrame([(i if i % 3 else None, t, None) for i, t in enumerate(texts)], DOCS)
+    got = corpus_pipeline.known_language(spark, docs, "")
+    assert got.columns == docs.columns
+    assert Counter(map(tuple, got.collect())) == Counter(tuple(r) for r in docs.collect() if any(c.isalpha() for c in r[1] or ""))
