@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 #: Mean radius of the earth in km.
 RADIUS = 6371.0088
@@ -19,3 +22,81 @@ def great_circle_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> C
 
 def internal_distance_km(area_km2: Column) -> Column:
     return F.when(area_km2 < 0, F.raise_error(F.lit("negative area")).cast("double")).otherwise(0.67 * F.sqrt(area_km2 / math.pi))
+
+
+#: WGS84: equatorial radius in km and flattening; fixed values.
+EQUATOR, FLATTENING = 6378.137, 1 / 298.257223563
+
+
+def _reduced(lat: np.ndarray) -> np.ndarray:
+    return np.arctan((1 - FLATTENING) * np.tan(lat))
+
+
+def _meridian_km(lat: np.ndarray) -> np.ndarray:
+    """Length of the meridian from the equator, by Simpson's rule on the ellipse's arc."""
+    b = EQUATOR * (1 - FLATTENING)
+    t = np.linspace(0, 1, 201)
+    angle = _reduced(lat)[:, None] * t
+    arc = np.sqrt((EQUATOR * np.sin(angle)) ** 2 + (b * np.cos(angle)) ** 2)
+    weight = np.where(np.arange(201) % 2, 4.0, 2.0)
+    weight[[0, -1]] = 1.0
+    return (arc * weight).sum(axis=1) * _reduced(lat) / 600
+
+
+def inverse_km(lat1: np.ndarray, lon1: np.ndarray, lat2: np.ndarray, lon2: np.ndarray, steps: int = 40) -> np.ndarray:
+    """Vincenty's inverse solution on the ellipsoid, in degrees; pairs on which it does not settle, nearly antipodal ones, go over the nearer pole."""
+    p1, p2, lon = np.radians(lat1), np.radians(lat2), np.radians((lon2 - lon1 + 180) % 360 - 180)
+    u1, u2 = _reduced(p1), _reduced(p2)
+    s1, c1, s2, c2 = np.sin(u1), np.cos(u1), np.sin(u2), np.cos(u2)
+    lam, moved = lon.copy(), np.full(len(lon), np.inf)
+    with np.errstate(all="ignore"):
+        for _ in range(steps):
+            sin_sigma = np.hypot(c2 * np.sin(lam), c1 * s2 - s1 * c2 * np.cos(lam))
+            cos_sigma = s1 * s2 + c1 * c2 * np.cos(lam)
+            sigma = np.arctan2(sin_sigma, cos_sigma)
+            sin_a = np.where(sin_sigma > 0, c1 * c2 * np.sin(lam) / sin_sigma, 0.0)
+            cos2_a = 1 - sin_a**2
+            mid = np.where(cos2_a > 1e-12, cos_sigma - 2 * s1 * s2 / cos2_a, 0.0)
+            c = FLATTENING / 16 * cos2_a * (4 + FLATTENING * (4 - 3 * cos2_a))
+            new = lon + (1 - c) * FLATTENING * sin_a * (sigma + c * sin_sigma * (mid + c * cos_sigma * (2 * mid**2 - 1)))
+            moved, lam = np.abs(new - lam), new
+        b = EQUATOR * (1 - FLATTENING)
+        u = cos2_a * (EQUATOR**2 - b**2) / b**2
+        big_a = 1 + u / 16384 * (4096 + u * (-768 + u * (320 - 175 * u)))
+        big_b = u / 1024 * (256 + u * (-128 + u * (74 - 47 * u)))
+        turn = big_b * sin_sigma * (mid + big_b / 4 * (cos_sigma * (2 * mid**2 - 1) - big_b / 6 * mid * (4 * sin_sigma**2 - 3) * (4 * mid**2 - 3)))
+        km = np.where(sin_sigma > 0, b * big_a * (sigma - turn), 0.0)
+    wild = (moved > 1e-10) | (np.abs(lam) > np.pi)
+    if wild.any():
+        pole = _meridian_km(np.full(1, np.pi / 2))[0]
+        over = 2 * pole - np.abs(_meridian_km(p1[wild]) + _meridian_km(p2[wild]))
+        km[wild] = over
+    return km
+
+
+@F.pandas_udf(DoubleType())
+def geodesic_km(lat1: pd.Series, lon1: pd.Series, lat2: pd.Series, lon2: pd.Series) -> pd.Series:
+    """Distance on the WGS84 ellipsoid in km; null where a coordinate is."""
+    known = lat1.notna() & lon1.notna() & lat2.notna() & lon2.notna()
+    out = pd.Series(np.nan, index=lat1.index)
+    if known.any():
+        out[known] = inverse_km(*[x[known].to_numpy(float) for x in (lat1, lon1, lat2, lon2)])
+    return out.where(known, None)
+
+
+def pair_distances(pairs: DataFrame, points: DataFrame, key: str = "code") -> DataFrame:
+    """(orig, dest, dist_geodesic_km, dist_greatcircle_km, is_diagonal) of pairs; both distances of a unit to itself are its internal one.
+
+    points has (key, lat, lon, internal_dist_km), one row for each unit.
+    """
+    placed = pairs
+    for role in ("orig", "dest"):
+        placed = placed.join(points.select(F.col(key).alias(role), *[F.col(c).alias(f"{c}_{role}") for c in ("lat", "lon", "internal_dist_km")]), role, "left")
+    ends = [F.col(c) for c in ("lat_orig", "lon_orig", "lat_dest", "lon_dest")]
+    own = F.col("orig") == F.col("dest")
+    return placed.select("orig", "dest", *[F.when(own, F.col("internal_dist_km_orig")).otherwise(km).alias(name) for name, km in (("dist_geodesic_km", geodesic_km(*ends)), ("dist_greatcircle_km", great_circle_km(*ends)))], own.alias("is_diagonal"))
+
+
+def distance_gap(distances: DataFrame) -> DataFrame:
+    """One row: the largest difference between the two distances off the diagonal."""
+    return distances.where("not is_diagonal").agg(F.max(F.abs(F.col("dist_greatcircle_km") - F.col("dist_geodesic_km"))).alias("gap_km"))

@@ -1,12 +1,16 @@
-"""Splits by unit, features, metrics and the gravity model."""
+"""Splits by unit, features, negatives, metrics, the gravity model, forests and importances."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GeneralizedLinearRegression, GeneralizedLinearRegressionModel
+from pyspark.ml.regression import GeneralizedLinearRegression, GeneralizedLinearRegressionModel, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dyadflow.errors import PipelineError
+
 
 def unit_split(units: DataFrame, key: str, value: str, order: Column, test_share: float = 0.2, classes: int = 3) -> DataFrame:
     """(key, stratum, split): within each quantile class of the value, the first share of the units by `order` is the test set."""
@@ -42,12 +46,14 @@ def flow_metrics(df: DataFrame, y: str, p: str, *by: str) -> DataFrame:
         F.sqrt(F.avg(gap * gap)).alias("rmse"),
         F.sqrt(F.avg(log_gap * log_gap)).alias("rmse_log"),
         (1 - F.sum(gap * gap) / F.nullif(F.var_pop(y) * F.count(y), F.lit(0.0))).alias("r2"),
+        (1 - F.sum(log_gap * log_gap) / F.nullif(F.var_pop(F.log1p(a)) * F.count(y), F.lit(0.0))).alias("r2_log"),
         F.avg(b - a * F.ln(b + 1e-8)).alias("poisson_nll"),
     )
 
 
-def quantile_bins(df: DataFrame, x: str, y: str, bins: int) -> DataFrame:
-    """Means of x and y in quantile bins of x, closed on the right."""
+def quantile_bins(df: DataFrame, x: str, y: str, bins: int | None = None) -> DataFrame:
+    """Means of x and y in quantile bins of x, closed on the right; a fifth of the rows, but 2 to 20, where no number is given."""
+    bins = bins or min(20, max(2, df.where(F.col(x).isNotNull()).count() // 5))
     cuts = df.agg(F.array_distinct(F.percentile(x, [i / bins for i in range(1, bins)])).alias("_cuts"))
     placed = df.join(F.broadcast(cuts)).withColumn("bin", F.size(F.filter("_cuts", lambda c: c < F.col(x))))
     return placed.groupBy("bin").agg(F.avg(x).alias("mean_x"), F.avg(y).alias("mean_y"), F.count(F.lit(1)).alias("n"))
@@ -57,3 +63,188 @@ def ppml_gravity(df: DataFrame, y: str, features: list[str]) -> GeneralizedLinea
     """Poisson regression with a log link."""
     rows = VectorAssembler(inputCols=features, outputCol="features").transform(df)
     return GeneralizedLinearRegression(family="poisson", link="log", labelCol=y, maxIter=50).fit(rows)
+
+
+def gravity_design(panel: DataFrame, flow: str, pop_orig: str, pop_dest: str, distance: str) -> DataFrame:
+    """(flow, log_pop_orig, log_pop_dest, log_km) of the rows in which all three can be taken."""
+    logs = {"log_pop_orig": pop_orig, "log_pop_dest": pop_dest, "log_km": distance}
+    return panel.select(flow, *[F.when(F.col(c) > 0, F.ln(c)).alias(name) for name, c in logs.items()]).dropna()
+
+
+def coefficient_table(model: GeneralizedLinearRegressionModel, features: list[str]) -> DataFrame:
+    """(term, coefficient, se, z, p) of a fitted gravity model."""
+    s = model.summary
+    # Spark puts the intercept last
+    rows = zip([*features, "intercept"], [*map(float, model.coefficients), float(model.intercept)], s.coefficientStandardErrors, s.tValues, s.pValues, strict=True)
+    return s.predictions.sparkSession.createDataFrame([tuple(r) for r in rows], "term string, coefficient double, se double, z double, p double")
+
+
+def assert_split(panel: DataFrame, split: DataFrame, units: DataFrame, key: str = "code") -> DataFrame:
+    """split, if it has the panel's rows, no unit of one set in a dyad of the other, and the same features for both ends."""
+    if panel.count() != split.count():
+        raise PipelineError("the splits do not add up to the panel")
+    for role in ("orig", "dest"):
+        of = units.select(F.col(key).alias(role), F.col("split").alias("_unit"))
+        if not split.where("split <> 'inference'").join(of, role).where("split <> _unit").isEmpty():
+            raise PipelineError(f"a unit of one set is {role} in a dyad of the other")
+    ends = [{c.removeprefix(p) for c in split.columns if c.startswith(p)} for p in ("src_", "dst_")]
+    if ends[0] != ends[1]:
+        raise PipelineError(f"features of one end alone: {sorted(ends[0] ^ ends[1])}")
+    return split
+
+
+def numbered(df: DataFrame, order: list[str]) -> DataFrame:
+    """Column i = 0, 1, ..., in the order of these columns: rows are dealt by range and numbered from the ranges' sizes."""
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    placed = placed.withColumn("_at", F.monotonically_increasing_id())
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    starts = sizes.select("_part", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return placed.join(F.broadcast(starts), "_part").withColumn("i", F.col("_at") - F.col("_first") + F.col("_start")).drop("_part", "_at", "_first", "_start")
+
+
+def duplicate_negatives(rows: DataFrame, y: str, order: list[str], rate: float = 0.3, seed: int = 7) -> DataFrame:
+    """rows and floor(rate * n) of them drawn with replacement whose y is 0; which are drawn follows from the seed."""
+    n = rows.count()
+    # drawing k is a hash of k, so the same rows are drawn however the table is dealt out
+    drawn = rows.sparkSession.range(int(rate * n)).select(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(max(1, n))).alias("i"))
+    zero = numbered(rows, order).join(drawn, "i").drop("i").withColumn(y, F.lit(0).cast(dict(rows.dtypes)[y]))
+    return rows.unionByName(zero.select(rows.columns))
+
+
+def unseen_pair_negatives(known: DataFrame, units: DataFrame, n: int, edge_features: list[str], y: str, key: str = "code", seed: int = 7) -> DataFrame:
+    """n ordered pairs of different units that are not in known, with y and the edge features 0, drawn by a hash of their number."""
+    placed = numbered(units.select(key).distinct(), [key])
+    m = placed.count()
+    draws = known.sparkSession.range(2 * n + 50).select("id", *[F.pmod(F.xxhash64("id", F.lit(seed), F.lit(role)), F.lit(max(1, m))).alias(role) for role in ("a", "b")]).where("a <> b")
+    first = draws.groupBy("a", "b").agg(F.min("id").alias("id"))
+    named = first.join(placed.select(F.col("i").alias("a"), F.col(key).alias("orig")), "a").join(placed.select(F.col("i").alias("b"), F.col(key).alias("dest")), "b")
+    free = named.join(known.select("orig", "dest"), ["orig", "dest"], "left_anti")
+    return free.orderBy("id").limit(n).select("orig", "dest", F.lit(0.0).alias(y), *[F.lit(0.0).alias(e) for e in edge_features])
+
+
+def anti_known_pairs(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    return pairs.join(known.select("orig", "dest").distinct(), ["orig", "dest"], "left_anti")
+
+
+def node_frame(rows: DataFrame, key: str = "code") -> DataFrame:
+    """One row per unit from rows with src_ and dst_ columns: prefixes stripped, both ends under each other, the first by value of each unit."""
+    ends = []
+    for prefix in ("src_", "dst_"):
+        own = [c for c in rows.columns if c.startswith(prefix)]
+        ends.append(rows.select(*[F.col(c).alias(c.removeprefix(prefix)) for c in own]))
+    both = ends[0].unionByName(ends[1])
+    values = [c for c in both.columns if c != key]
+    return both.groupBy(key).agg(F.min(F.struct(*values)).alias("_v")).select(key, *[F.col(f"_v.{c}").alias(c) for c in values])
+
+
+def feature_group(columns: list[str], words: list[str]) -> list[str]:
+    """The columns whose name holds one of the words; none raises."""
+    own = [c for c in columns if any(w in c.lower() for w in words)]
+    if not own:
+        raise PipelineError(f"no feature for {', '.join(words)}")
+    return own
+
+
+def unique_keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """One row for each key, the first in the order given; a row is reduced before it is shuffled."""
+    rest = [c for c in df.columns if c not in keys]
+    least = F.min(F.struct(*order, F.struct(*rest).alias("_rest"))).alias("_first")
+    return df.groupBy(*keys).agg(least).select(*keys, *[F.col(f"_first._rest.{c}").alias(c) for c in rest])
+
+
+def node_index(units: DataFrame, key: str = "code") -> DataFrame:
+    """(key, idx): units numbered from 0 in the order of their codes."""
+    return numbered(units.select(key).where(F.col(key).isNotNull()).distinct(), [key]).withColumnRenamed("i", "idx")
+
+
+def map_to_node_idx(pairs: DataFrame, index: DataFrame, key: str = "code") -> DataFrame:
+    """pairs with src_idx and dst_idx; a code that is no unit has none."""
+    for role, name in (("orig", "src_idx"), ("dest", "dst_idx")):
+        pairs = pairs.join(index.select(F.col(key).alias(role), F.col("idx").alias(name)), role, "left")
+    return pairs
+
+
+def inner_join_features(flows: DataFrame, features: DataFrame, points: DataFrame, key: str = "code") -> DataFrame:
+    """Units that have a flow, features and a point; none at all raises."""
+    out = flows.join(features, key).join(points, key)
+    if out.isEmpty():
+        raise PipelineError("no unit has flow, features and point")
+    return out
+
+
+def null_gate(df: DataFrame, columns: list[str]) -> DataFrame:
+    counts = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).head()
+    if wrong := {c: counts[c] for c in columns if counts[c]}:
+        raise PipelineError(f"nulls: {wrong}")
+    return df
+
+
+#: The smallest single-precision number: fixed value.
+FLOAT_MIN = -3.4028234663852886e38
+
+
+def null_sentinel_fill(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Nulls as the smallest single-precision number, which trees part from all values."""
+    return df.na.fill(FLOAT_MIN, columns)
+
+
+def top_edges(flows: DataFrame, points: DataFrame, n: int, flow: str = "migrants", key: str = "code") -> DataFrame:
+    """The n largest flows off the diagonal with a weight of 0 to 1 and the points of both ends."""
+    top = flows.where("orig <> dest").orderBy(F.desc(flow), "orig", "dest").limit(n)
+    span = top.agg(F.min(flow).alias("_low"), F.max(flow).alias("_high"))
+    weight = F.when(F.col("_high") > F.col("_low"), (F.col(flow) - F.col("_low")) / (F.col("_high") - F.col("_low"))).otherwise(1.0)
+    out = top.join(F.broadcast(span)).select("orig", "dest", flow, weight.alias("weight"))
+    for role in ("orig", "dest"):
+        out = out.join(points.select(F.col(key).alias(role), *[F.col(c).alias(f"{c}_{role}") for c in ("lat", "lon")]), role, "left")
+    return out
+
+
+def forest_regression(rows: DataFrame, features: list[str], y: str, validation: Column, leaves: list[int], trees: list[int], seed: int = 7):
+    """(model, importances, table of trials): a forest on log(1 + y), a third of the features at a split.
+
+    The smallest leaf is chosen first, then the number of trees, by the error on the rows that `validation` marks: Spark keeps no
+    out-of-bag scores, so a set of units apart stands in for them.
+    """
+    made = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep").transform(null_sentinel_fill(rows, features)).select("features", F.log1p(y).alias("_y"), F.coalesce(validation, F.lit(False)).alias("_v")).persist()
+    tried: dict[tuple[int, int], float] = {}
+
+    def fitted(leaf: int, n: int):
+        return RandomForestRegressor(labelCol="_y", featureSubsetStrategy="onethird", minInstancesPerNode=leaf, numTrees=n, seed=seed).fit(made.where("not _v"))
+
+    def error(leaf: int, n: int) -> float:
+        if (leaf, n) not in tried:
+            gap = F.col("prediction") - F.col("_y")
+            tried[leaf, n] = fitted(leaf, n).transform(made.where("_v")).agg(F.avg(gap * gap)).head()[0]
+        return tried[leaf, n]
+
+    leaf = min(leaves, key=lambda k: error(k, trees[0]))
+    n = min(trees, key=lambda t: error(leaf, t))
+    model = fitted(leaf, n)
+    made.unpersist()
+    trials = rows.sparkSession.createDataFrame([(a, b, float(e)) for (a, b), e in tried.items()], "min_leaf int, trees int, mse double")
+    return model, dict(zip(features, map(float, model.featureImportances.toArray()), strict=True)), trials
+
+
+def permuted(units: DataFrame, key: str, column: str, seed: int) -> DataFrame:
+    """units with the values of one column dealt out anew, each once, in an order that a hash of code and seed gives."""
+    named = units.select(key, column).withColumn("_h", F.xxhash64(F.col(key).cast("string"), F.lit(seed)))
+    given = numbered(named.select(column, F.col("_h"), F.col(key).alias("_from")), ["_h", "_from"]).select("i", F.col(column).alias("_new"))
+    taken = numbered(named.select(key), [key]).join(given, "i").select(key, F.col("_new").alias(column))
+    return units.drop(column).join(taken, key)
+
+
+def permutation_importance(score: Callable[[DataFrame], DataFrame], units: DataFrame, key: str, columns: list[str], by: list[str] | None = None, seed: int = 7) -> DataFrame:
+    """(by, feature, importance): how far the common part of commuters falls when a unit feature is permuted among the units.
+
+    score takes the unit table to rows (by, y, p) of observed and predicted flows.
+    """
+    by = by or []
+    cpc = lambda rows: flow_metrics(rows, "y", "p", *by).select(*by, "cpc")
+    base = cpc(score(units)).withColumnRenamed("cpc", "_base")
+    out = None
+    for c in columns:
+        moved = cpc(score(permuted(units, key, c, seed)))
+        row = (moved.join(base, by) if by else moved.join(F.broadcast(base))).select(*by, F.lit(c).alias("feature"), (F.col("_base") - F.col("cpc")).alias("importance"))
+        out = row if out is None else out.unionByName(row)
+    return out.orderBy(*by, F.desc("importance"), "feature")

@@ -8,10 +8,18 @@ from pyspark.sql import functions as F
 from dyadflow.errors import PipelineError
 
 
+#: A code is a few bytes, so this is some MB at most.
+BROADCAST_CODES = 100_000
+
+
 def build_spine(universe: DataFrame, code: str = "code", include_diagonal: bool = False) -> DataFrame:
-    """Every ordered pair of distinct codes. The product is the panel itself: its size is the result's."""
+    """Every ordered pair of distinct codes. The product is the panel itself: its size is the result's.
+
+    One side is broadcast while there are at most BROADCAST_CODES codes.
+    """
     codes = universe.select(code).where(F.col(code).isNotNull()).distinct()
-    pairs = codes.select(F.col(code).alias("orig")).crossJoin(codes.select(F.col(code).alias("dest")))
+    other = codes.select(F.col(code).alias("dest"))
+    pairs = codes.select(F.col(code).alias("orig")).crossJoin(F.broadcast(other) if codes.count() <= BROADCAST_CODES else other)
     return pairs if include_diagonal else pairs.where("orig <> dest")
 
 
@@ -26,6 +34,13 @@ def audited_left_join(left: DataFrame, right: DataFrame, on: list[str]) -> DataF
     return left.join(assert_unique(right, *on), on, "left")
 
 
+def join_audit(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """One row (n_left, n_matched, n_unmatched, n_right_unused) of what a left join would find."""
+    marked = left.select(*on).withColumn("_l", F.lit(1)).join(assert_unique(right, *on).select(*on, F.lit(1).alias("_r")), on, "full_outer")
+    both, l, r = F.col("_l").isNotNull() & F.col("_r").isNotNull(), F.col("_l").isNotNull(), F.col("_r").isNotNull()
+    return marked.agg(F.count_if(l).alias("n_left"), F.count_if(both).alias("n_matched"), F.count_if(l & ~r).alias("n_unmatched"), F.count_if(r & ~l).alias("n_right_unused"))
+
+
 def attach_flows(spine: DataFrame, flows: DataFrame) -> DataFrame:
     return audited_left_join(spine, flows, ["orig", "dest"]).fillna(0, ["migrants", "migrants_unweighted"])
 
@@ -39,13 +54,16 @@ def attach_both_roles(panel: DataFrame, units: DataFrame, key: str = "code") ->
     return panel
 
 
-def classify_zeros(panel: DataFrame) -> DataFrame:
-    """Observed, or a zero that sampling can explain (both ends are active), or a structural one."""
-    seen = panel.where("migrants_unweighted > 0")
+def classify_zeros(panel: DataFrame, flows: DataFrame | None = None) -> DataFrame:
+    """flow_observed and zero_class: observed, or a zero that sampling can explain (both ends are active), or likely a structural one.
+
+    The active ends are read from flows, the sparse table that the panel was filled from, so that the panel is not computed thrice.
+    """
+    seen = (panel if flows is None else flows).where("migrants_unweighted > 0")
     senders = seen.select("orig", F.lit(True).alias("_sends")).distinct()
     takers = seen.select("dest", F.lit(True).alias("_takes")).distinct()
-    named = F.when(F.col("migrants_unweighted") > 0, "observed_positive").when(F.col("_sends") & F.col("_takes"), "sampling_zero_plausible").otherwise("structural_zero")
-    return panel.join(senders, "orig", "left").join(takers, "dest", "left").withColumn("zero_class", named).drop("_sends", "_takes")
+    named = F.when(F.col("migrants_unweighted") > 0, "observed_positive").when(F.col("_sends") & F.col("_takes"), "sampling_zero_plausible").otherwise("structural_zero_likely")
+    return panel.join(senders, "orig", "left").join(takers, "dest", "left").withColumns({"flow_observed": F.col("migrants_unweighted") > 0, "zero_class": named}).drop("_sends", "_takes")
 
 
 def complete_product(panel: DataFrame) -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from dyadflow.functions.distance import great_circle_km
 from dyadflow.functions.keys import compose_code, level_sq_log, norm_code, safe_ratio, to_number
 from dyadflow.operators import fold, models, panel, quality, route, space
 from dyadflow.plans import standins as s
+from dyadflow.sources.tables import written
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -35,14 +37,16 @@ def r(name: str, digits: int = 4):
 
 
 @query(f"""WITH {s.RECORDS}, {s.UNITS}, {s.FLOWS}, {s.PANEL}
-SELECT orig, dest, migrants, n AS migrants_unweighted, CASE WHEN n > 0 THEN 'observed_positive'
-  WHEN orig IN (SELECT orig FROM panel WHERE n > 0) AND dest IN (SELECT dest FROM panel WHERE n > 0) THEN 'sampling_zero_plausible' ELSE 'structural_zero' END AS zero_class FROM panel""")
+SELECT orig, dest, migrants, n AS migrants_unweighted, n > 0 AS flow_observed, CASE WHEN n > 0 THEN 'observed_positive'
+  WHEN orig IN (SELECT orig FROM panel WHERE n > 0) AND dest IN (SELECT dest FROM panel WHERE n > 0) THEN 'sampling_zero_plausible' ELSE 'structural_zero_likely' END AS zero_class FROM panel""")
 def panel_classified_zeros(spark, sf):
-    return panel.classify_zeros(dense(spark, sf)).select("orig", "dest", "migrants", "migrants_unweighted", "zero_class")
+    seen = panel.assert_unique(written(flows(spark, sf)), "orig", "dest")
+    full = panel.attach_flows(panel.build_spine(s.units(spark, sf)), seen)
+    return panel.classify_zeros(full, seen).select("orig", "dest", "migrants", "migrants_unweighted", "flow_observed", "zero_class")
 
 
 @query(f"""WITH {s.RECORDS}, {s.UNITS}, {s.FLOWS}, {s.PANEL}
-SELECT count(*) AS n_rows, count(DISTINCT orig) AS n_orig, 0::BIGINT AS n_diagonal, 0::BIGINT AS n_negative, count(*) = count(DISTINCT orig) * (count(DISTINCT orig) - 1) AS complete FROM panel""")
+SELECT count(*) AS n_rows, count(DISTINCT orig) AS n_orig, count(*) FILTER (orig = dest) AS n_diagonal, count(*) FILTER (migrants < 0) AS n_negative, count(*) = count(DISTINCT orig) * (count(DISTINCT orig) - 1) AS complete FROM panel""")
 def panel_complete_product(spark, sf):
     return panel.complete_product(panel.assert_unique(dense(spark, sf), "orig", "dest"))
 
@@ -71,7 +75,7 @@ def od_with_stayers(spark, sf):
 @query(f"""WITH {s.RECORDS}, b AS (SELECT *, {BUCKET} AS bucket FROM records)
 SELECT bucket, dest, sum(w) AS migrants, count(*) AS migrants_unweighted FROM b WHERE bucket IN ('foreign', 'not_specified') GROUP BY 1, 2""")
 def excluded_flows(spark, sf):
-    return routed(spark, sf).where(F.col("bucket").isin("foreign", "not_specified")).groupBy("bucket", "dest").agg(F.sum("w").alias("migrants"), F.count(F.lit(1)).alias("migrants_unweighted"))
+    return route.select_excluded(routed(spark, sf), ["foreign", "not_specified"])
 
 
 @query(f"""WITH {s.RECORDS}, {s.UNITS}, {s.CROSSWALK}
@@ -101,15 +105,12 @@ def vintages_joined(spark, sf):
     return both.groupBy("side").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("pop_1"), 2).alias("pop_1"), F.sum("pop_2").alias("pop_2"))
 
 
-@query(f"WITH {s.VINTAGES} SELECT coalesce(v1.code, v2.code) AS code, round(CASE WHEN (income_1 IS NULL OR income_1 <= 4000) AND income_2 > 0 THEN income_2 ELSE income_1 END, 4) AS income, CASE WHEN (income_1 IS NULL OR income_1 <= 4000) AND income_2 > 0 THEN 'income_fallback' WHEN income_1 IS NULL THEN 'missing' ELSE 'primary' END AS income_source FROM v1 FULL JOIN v2 ON v1.code = v2.code")
+@query(f"WITH {s.VINTAGES} SELECT coalesce(v1.code, v2.code) AS code, round(CASE WHEN (income_1 IS NULL OR income_1 <= 4000) AND income_2 > 0 THEN income_2 WHEN income_1 <= 4000 THEN 0 ELSE income_1 END, 4) AS income, CASE WHEN (income_1 IS NULL OR income_1 <= 4000) AND income_2 > 0 THEN 'income_fallback' WHEN income_1 IS NULL THEN 'missing' ELSE 'primary' END AS income_source FROM v1 FULL JOIN v2 ON v1.code = v2.code")
 def income_with_fallback(spark, sf):
     both = fold.outer_with_indicator(*s.vintages(spark, sf), "code")
     return both.select("code", *fold.source_fallback(F.when(F.col("income_1") > 4000, F.col("income_1")).when(F.col("income_1").isNotNull(), F.lit(0.0)), F.col("income_2"), "income")).withColumn("income", F.round("income", 4))
 
 
-SQL["income_with_fallback"] = SQL["income_with_fallback"].replace("ELSE income_1 END, 4)", "WHEN income_1 <= 4000 THEN 0 ELSE income_1 END, 4)")
-
-
 @query(f"WITH {s.RECORDS}, {s.FLOWS}, known AS (SELECT DISTINCT {s.Z.format('s_suppkey')} AS code FROM supplier) SELECT side, code, count(*) AS cells, sum(migrants) AS weight FROM (SELECT 'orig' AS side, orig AS code, migrants FROM flows UNION ALL SELECT 'dest', dest, migrants FROM flows) WHERE code NOT IN (SELECT code FROM known) GROUP BY 1, 2")
 def orphan_report(spark, sf):
     return panel.orphans(flows(spark, sf), s.table(spark, sf, "supplier").select(s.zone("s_suppkey").alias("code")))
@@ -164,8 +165,10 @@ SELECT p.orig, p.dest, migrants, round(a.pop_1, 2) AS pop_1_orig, round(b.pop_1,
 FROM panel p LEFT JOIN v1 a ON a.code = p.orig LEFT JOIN v1 b ON b.code = p.dest LEFT JOIN dist d ON d.orig = p.orig AND d.dest = p.dest""")
 def panel_with_covariates(spark, sf):
     a, _ = s.vintages(spark, sf)
-    full = panel.attach_both_roles(dense(spark, sf), a.select("code", "pop_1"))
-    return panel.audited_left_join(full, s.distances(spark, sf), ["orig", "dest"]).select("orig", "dest", "migrants", r("pop_1_orig", 2), r("pop_1_dest", 2), r("km"))
+    units = s.points(spark, sf).join(a.select("code", "pop_1"), "code", "left")
+    full = panel.attach_both_roles(dense(spark, sf), units)
+    km = great_circle_km(*map(F.col, ("lat_orig", "lon_orig", "lat_dest", "lon_dest")))
+    return full.select("orig", "dest", "migrants", r("pop_1_orig", 2), r("pop_1_dest", 2), F.round(km, 4).alias("km"))
 
 
 @query(f"""WITH {s.VINTAGES}, b AS (SELECT v1.code, income_1 AS a, income_2 AS b FROM v1 JOIN v2 ON v1.code = v2.code WHERE income_1 > 0 AND income_2 > 0),
@@ -197,7 +200,8 @@ def price_bands(spark, sf):
 
 
 @query(f"""WITH {s.CELLS} SELECT zone, round(sum(CASE WHEN value IS NOT NULL THEN value * weight END) / sum(CASE WHEN value IS NOT NULL THEN weight END), 6) AS mean, round(avg(value), 6) AS plain_mean,
-  sum(CASE WHEN value IS NOT NULL THEN weight END) AS weight_sum, count(value) AS n_cells, 'population_weighted' AS method FROM cells GROUP BY 1""")
+  sum(CASE WHEN value IS NOT NULL THEN weight END) AS weight_sum, count(value) AS n_cells,
+  CASE WHEN sum(CASE WHEN value IS NOT NULL THEN weight END) > 0 THEN 'population_weighted' WHEN count(value) > 0 THEN 'unweighted_fallback' ELSE 'no_valid_cells' END AS method FROM cells GROUP BY 1""")
 def zonal_means(spark, sf):
     return space.zonal_mean(s.cells(spark, sf), "zone").select("zone", r("mean", 6), r("plain_mean", 6), "weight_sum", "n_cells", "method")
 
@@ -271,10 +275,10 @@ def standardized_features(spark, sf):
 
 @query(f"""WITH {s.RECORDS}, {s.FLOWS}, f AS (SELECT CASE WHEN orig < '00100' THEN 'low' ELSE 'high' END AS half, migrants AS y, 26.0::DOUBLE * n AS p FROM flows)
 SELECT half, round(2 * sum(least(y, p)) / (sum(y) + sum(p)), 6) AS cpc, round(sqrt(avg((y - p) ** 2)), 4) AS rmse, round(sqrt(avg((ln(1 + y) - ln(1 + p)) ** 2)), 5) AS rmse_log,
-  round(1 - sum((y - p) ** 2) / (var_pop(y) * count(*)), 5) AS r2, round(avg(p - y * ln(p + 1e-8)), 3) AS poisson_nll FROM f GROUP BY 1""")
+  round(1 - sum((y - p) ** 2) / (var_pop(y) * count(*)), 5) AS r2, round(1 - sum((ln(1 + y) - ln(1 + p)) ** 2) / (var_pop(ln(1 + y)) * count(*)), 5) AS r2_log, round(avg(p - y * ln(p + 1e-8)), 3) AS poisson_nll FROM f GROUP BY 1""")
 def flow_metrics(spark, sf):
     f = flows(spark, sf).select(F.when(F.col("orig") < "00100", "low").otherwise("high").alias("half"), F.col("migrants").alias("y"), (26.0 * F.col("migrants_unweighted")).alias("p"))
-    return models.flow_metrics(f, "y", "p", "half").select("half", r("cpc", 6), r("rmse"), r("rmse_log", 5), r("r2", 5), r("poisson_nll", 3))
+    return models.flow_metrics(f, "y", "p", "half").select("half", r("cpc", 6), r("rmse"), r("rmse_log", 5), r("r2", 5), r("r2_log", 5), r("poisson_nll", 3))
 
 
 @query(f"""WITH {s.VINTAGES}, cuts AS (SELECT list_distinct(quantile_cont(pop_2, [{', '.join(str(i / 10) for i in range(1, 10))}])) AS c FROM v2)
@@ -306,9 +310,16 @@ def gravity_model(spark, sf):
     return spark.createDataFrame(found, "term string, coefficient double")
 
 
+def load() -> None:
+    """The other modules of queries register themselves when they are imported."""
+    from dyadflow.plans import modelling, places, routing  # noqa: F401
+
+
 def queries() -> dict:
+    load()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
+    load()
     return dict(SQL)
