@@ -6,9 +6,10 @@ halving the part, and a register. A register keeps the earliest point that falls
 a register with the probability of their weighted Jaccard similarity. Processes are followed in order of time and left once
 their time is past the latest register.
 
-Registers are cut into bands. Texts of equal words are one node. In each bucket of a band every node is compared with the
-bucket's leader, unless both already are in one component; nodes that are still in another component than the leader are then compared with the rest of the bucket.
-Comparisons are exact: overlap of the bags, from the texts, at `similarity` or more. Classes are connected components.
+Registers are cut into bands. Texts of equal words are one node, and nodes with an equal band stand in one bucket. A bucket's
+pairs are never listed: its nodes meet its leader, and those that stay apart from the leader go into smaller buckets, which
+hold every pair that can still be similar (see near_links and next_buckets). Comparisons are exact: overlap of the bags at
+`similarity` or more. Classes are connected components.
 
 Words are those of `phrases`: A-Z lower-cased, ASCII other than letters and digits parts them.
 
@@ -20,20 +21,23 @@ rows share; an empty table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import math
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dyadflow.llm.common import id_or_last, id_or_null, shared_dir
+from dyadflow.llm.common import id_or_last, id_or_null, written
 from dyadflow.llm.repeats import Units, Windows, joined, word_hashes
 
 U = np.uint64
 STEP, FIRST, SECOND = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 #: Bytes of text whose signatures are made at a time.
-AT_ONCE = 4_000_000
+AT_ONCE = 1_000_000
+#: Rows of two digests that one task takes without a shuffle.
+FEW_ROWS = 100_000
 
 
 def scramble(x: np.ndarray) -> np.ndarray:
@@ -64,7 +68,7 @@ def bag_minhash(of: np.ndarray, element: np.ndarray, weight: np.ndarray, n: int,
     low, level = 0, 0
     while len(own := np.flatnonzero(weight > low)):
         high = max(1, 2 * low)
-        parts.append((of[own], scramble(element[own] + U(level) * STEP), weight[own], np.full(len(own), low), np.full(len(own), high - low)))
+        parts.append((of[own], scramble(element[own] + np.array([level], U) * STEP), weight[own], np.full(len(own), low), np.full(len(own), high - low)))
         low, level = high, level + 1
     earliest = np.full(n * registers, np.inf)
     if not parts:
@@ -75,7 +79,7 @@ def bag_minhash(of: np.ndarray, element: np.ndarray, weight: np.ndarray, n: int,
     point = 0
     while len(bag):
         point += 1
-        r = scramble(seed + U(point) * STEP)
+        r = scramble(seed + np.array([point], U) * STEP)
         time = time - np.log(((r >> U(11)).astype(float) + 1) * 2.0**-53) / span
         stay = time <= latest[bag]
         bag, seed, top, low, span, time, r = (x[stay] for x in (bag, seed, top, low, span, time, r))
@@ -101,7 +105,7 @@ def band_keys(signature: np.ndarray, bands: int) -> np.ndarray:
 
 #: What each byte becomes: A-Z in lower case, other letters, digits and bytes beyond ASCII as they are, all else a space.
 FOLDED = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-SIGNED = "id long, h long, row long, digest binary, n long, bands array<long>"
+SIGNED = "id long, h long, row long, digest binary, bands array<long>"
 
 
 def word_text(text: str) -> bytes:
@@ -110,131 +114,256 @@ def word_text(text: str) -> bytes:
 
 
 def sign(shingle: int, bands: int, rows: int):
-    """mapInPandas: (id, h, row, text) to (id, h, row, digest, n, bands); a text without a word has no digest and no bands."""
+    """mapInPandas: (id, h, row, text) to (id, h, row, digest, bands); a text without a word has no digest and no bands."""
 
     def made(ids: list, hashes: list, numbers: list, texts: list[bytes]) -> pd.DataFrame:
         some = [i for i, t in enumerate(texts) if t]
         of, element, weight = bags([texts[i] for i in some], shingle)
         keys = iter(band_keys(bag_minhash(of, element, weight, len(some), bands * rows), bands)) if some else iter(())
-        counts = iter(np.bincount(of, weight, len(some)).astype(np.int64).tolist()) if some else iter(())
-        signed = [(hashlib.md5(t).digest(), next(counts), next(keys)) if t else (None, 0, np.empty(0, np.int64)) for t in texts]
-        return pd.DataFrame({"id": ids, "h": hashes, "row": numbers, "digest": [x[0] for x in signed], "n": [x[1] for x in signed], "bands": [x[2] for x in signed]})
+        signed = [(hashlib.md5(t).digest(), next(keys)) if t else (None, np.empty(0, np.int64)) for t in texts]
+        return pd.DataFrame({"id": ids, "h": hashes, "row": numbers, "digest": [x[0] for x in signed], "bands": [x[1] for x in signed]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            ids, hashes, numbers, texts, size = [], [], [], [], 0
-            for doc, h, number, text in zip(batch["id"].tolist(), batch["h"].tolist(), batch["row"].tolist(), batch["text"], strict=True):
-                ids.append(doc)
-                hashes.append(h)
-                numbers.append(number)
-                texts.append(word_text(text))
-                size += len(texts[-1])
-                if size > AT_ONCE:
-                    yield made(ids, hashes, numbers, texts)
-                    ids, hashes, numbers, texts, size = [], [], [], [], 0
-            if texts:
-                yield made(ids, hashes, numbers, texts)
+            for keys, texts in slices(zip(batch["id"].tolist(), batch["h"].tolist(), batch["row"].tolist(), strict=True), batch["text"]):
+                yield made(*map(list, zip(*keys, strict=True)), [word_text(t) for t in texts])
 
     return run
 
 
+def stored(shingle: int):
+    """mapInPandas: (digest, text) to (digest, n, hashes, weights), the bag of a text; no weights where all are 1."""
+
+    def made(digests: list, texts: list[bytes]) -> pd.DataFrame:
+        of, element, weight = bags(texts, shingle)
+        edges = np.searchsorted(of, np.arange(len(texts) + 1)).tolist()
+        own = [(element[a:b], weight[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
+        rows = [(d, int(w.sum()), h.astype("<u8").tobytes(), b"" if w.max() == 1 else w.astype("<u4").tobytes()) for d, (h, w) in zip(digests, own, strict=True)]
+        return pd.DataFrame(rows, columns=["digest", "n", "hashes", "weights"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for digests, texts in slices(batch["digest"], batch["text"]):
+                yield made(digests, [word_text(t) for t in texts])
+
+    return run
+
+
+def slices(keys: Iterable, texts: Iterable[str]) -> Iterator[tuple[list, list[str]]]:
+    """Rows of a batch, about AT_ONCE letters at a time."""
+    own, some, size = [], [], 0
+    for key, text in zip(keys, texts, strict=True):
+        own.append(key)
+        some.append(text)
+        size += len(text)
+        if size > AT_ONCE:
+            yield own, some
+            own, some, size = [], [], 0
+    if own:
+        yield own, some
+
+
+def unpacked(hashes: bytes, weights: bytes) -> tuple[np.ndarray, np.ndarray]:
+    h = np.frombuffer(hashes, "<u8")
+    return h, np.frombuffer(weights, "<u4").astype(np.int64) if weights else np.ones(len(h), np.int64)
+
+
+def common(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[int, np.ndarray]:
+    """(size of the common part of two bags, what of a's weights lies outside b); a bag is (sorted hashes, weights)."""
+    at = np.minimum(np.searchsorted(b[0], a[0]), len(b[0]) - 1)
+    inside = np.where(b[0][at] == a[0], np.minimum(b[1][at], a[1]), 0)
+    return int(inside.sum()), a[1] - inside
+
+
 def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Weighted Jaccard similarity of two bags (sorted hashes, weights)."""
-    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    both = int(np.minimum(a[1][i], b[1][j]).sum())
+    """Weighted Jaccard similarity of two bags."""
+    both = common(a, b)[0]
     return both / (int(a[1].sum()) + int(b[1].sum()) - both)
 
 
-def compare(shingle: int, similarity: float):
-    """mapInPandas: pairs (a, b, text_a, text_b) to those that are similar, (a, b)."""
+def outside(a: tuple[np.ndarray, np.ndarray], rest: np.ndarray, both: int, similarity: float) -> np.ndarray:
+    """The first of a's shingles that its partner lacks, in the order of their hashes, as many as `met` says; copies count as different ones."""
+    own = np.flatnonzero(rest)
+    copies = np.repeat(a[0][own], rest[own])
+    again = np.arange(len(copies)) - np.repeat(np.cumsum(rest[own]) - rest[own], rest[own])
+    copies = np.sort(np.where(again > 0, scramble(copies + again.astype(U) * STEP), copies))
+    least = max(1, math.ceil(similarity * int(a[1].sum()) - both - 1e-9))
+    return copies[: max(0, len(copies) - least + 1)].view(np.int64)
+
+
+MET = "a binary, b binary, n_a long, n_b long, both long, same boolean, rest array<long>"
+
+
+def met(similarity: float):
+    """mapInPandas: bags of pairs (a, b) to MET: sizes, the common part, whether the two are similar, and shingles of a outside b.
+
+    If y is similar to a, both have to share s * n_a - both shingles outside b, or more (see next_buckets); so of a's
+    shingles outside b, in any fixed order, all but the last s * n_a - both - 1 are enough to find one that y has too.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, bag = None, None
         for batch in batches:
-            keep = []
-            for b, one, two in zip(batch["b"], batch["text_a"], batch["text_b"], strict=True):
+            known, bag, rows = None, None, []
+            for a, b, *packed in batch[["a", "b", "hashes_a", "weights_a", "hashes_b", "weights_b"]].itertuples(index=False):
                 if b != known:
-                    known, bag = b, bags([word_text(two)], shingle)[1:]
-                keep.append(overlap(bags([word_text(one)], shingle)[1:], bag) >= similarity)
-            yield batch.loc[keep, ["a", "b"]]
+                    known, bag = b, unpacked(*packed[2:])
+                one = unpacked(*packed[:2])
+                both, rest = common(one, bag)
+                n_a, n_b = int(one[1].sum()), int(bag[1].sum())
+                rows.append((a, b, n_a, n_b, both, both >= similarity * (n_a + n_b - both), outside(one, rest, both, similarity)))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in MET.split(", ")])
 
     return run
 
 
+def gathered(df: DataFrame, n: int) -> DataFrame:
+    """A table of few rows in one partition, so that joins and groups of it need no shuffle; a larger one as it is."""
+    return df.coalesce(1) if n <= FEW_ROWS else df
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of all nodes of edges (a, b): the smallest node of the component, by smallest neighbours and jumps."""
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("label")).checkpoint()
+    n = edges.count()
+    both = gathered(written(gathered(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), n).distinct()), n)
+    labels = gathered(written(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("label"))), n)
     while True:
         # the label of the row before (`old`) comes along, so that a round is one written table and one count of it
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").select(F.col("a").alias("node"), "label", F.lit(None).cast("binary").alias("old"))
         own = labels.select("node", "label", F.col("label").alias("old"))
-        least = near.unionByName(own).groupBy("node").agg(F.min("label").alias("label"), F.max("old").alias("old"))
+        least = gathered(near.unionByName(own), n).groupBy("node").agg(F.min("label").alias("label"), F.max("old").alias("old"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        labels = least.join(jump, "label", "left").select("node", F.least("label", F.coalesce("further", "label")).alias("label"), "old").checkpoint()
-        if not labels.where("label <> old").count():
+        labels = gathered(written(least.join(jump, "label", "left").select("node", F.least("label", F.coalesce("further", "label")).alias("label"), "old")), n)
+        if labels.where("label <> old").isEmpty():
             return labels.select("node", "label")
 
 
-def linked(links: DataFrame, labels: DataFrame, further: DataFrame) -> tuple[DataFrame, DataFrame]:
+def linked(links: DataFrame | None, labels: DataFrame | None, further: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
     """Links with the further ones, and the labels of their components."""
     if further.isEmpty():
         return links, labels
-    links = links.unionByName(further)
+    links = further if links is None else links.unionByName(further)
     return links, components(links)
 
 
-def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, bands: int = 20, rows: int = 6, row_col: str | None = None) -> DataFrame:
+def with_label(rows: DataFrame, labels: DataFrame | None, node: str, name: str) -> DataFrame:
+    """Rows with the label of a node's component; a node without a link is its own."""
+    if labels is None:
+        return rows.withColumn(name, F.col(node))
+    named = labels.select(F.col("node").alias(node), F.col("label").alias(name))
+    return rows.join(named, node, "left").withColumn(name, F.coalesce(name, node))
+
+
+def differing(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The pairs (a, b) of nodes in different components."""
+    return with_label(with_label(pairs, labels, "a", "label_a"), labels, "b", "label_b").where("label_a <> label_b").select("a", "b")
+
+
+def leaders(buckets: DataFrame) -> DataFrame:
+    """Each node of buckets (key, node) with each leader of its buckets: (a, b, order), those with much company first.
+
+    A bucket's leader is the node with the most company in all its buckets: the text that the others are edits of, if it is there.
+    """
+    sizes = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    members = written(buckets.join(sizes, "key"))
+    company = members.groupBy("node").agg(F.sum("size").alias("company"))
+    best = members.join(company, "node").groupBy("key").agg(F.min(F.struct((-F.col("company")).alias("order"), F.col("node").alias("leader"))).alias("best"))
+    led = members.select("key", "node").join(best.select("key", "best.leader", "best.order"), "key")
+    return written(led.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b"), "order").distinct())
+
+
+def next_buckets(stars: DataFrame, similarity: float) -> DataFrame:
+    """Buckets (key, node) in which nodes of a star can still meet a similar one of another component.
+
+    Let x and y have met the leader l. What x and y share lies in l, at most min(x & l, y & l) of it, or outside l. They are
+    similar only if they share s / (1 + s) * (x + y), which is no less than s * x and s * y. So either they share a shingle
+    outside l, and meet in the bucket of that shingle; or x + y is so small that what they have of l is enough, which no pair
+    is whose sizes are not below l's, and they meet in the leader's bucket of small ones. A bucket never holds l itself.
+    """
+    # a node's shingles are many rows: its stars are dealt out evenly before that
+    parts = int(stars.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    stars = stars.repartition(parts, "a", "b")
+    shared = stars.select("b", F.explode("rest").alias("one"), F.col("a").alias("node"), F.col("label_a").alias("label")).select(F.xxhash64("b", "one").alias("key"), "node", "label")
+    up_to = (1 + similarity) / similarity * F.col("both") - F.col("n_a") + 1e-6
+    could = stars.withColumn("up_to", up_to).where(up_to >= similarity * F.col("n_a"))
+    limits = could.where("label_a <> label_b").groupBy("b").agg(F.max("up_to").alias("most"), F.min("n_a").alias("least"))
+    small = could.join(limits, "b").where("n_a <= most AND up_to >= least").select(F.xxhash64("b", F.lit("small")).alias("key"), F.col("a").alias("node"), F.col("label_a").alias("label"))
+    every = shared.unionByName(small)
+    mixed = every.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+    return every.select("key", "node").join(mixed, "key")
+
+
+def near_links(buckets: DataFrame, bag_of: DataFrame, similarity: float, few: int = 4) -> DataFrame | None:
+    """(node, label) of all nodes that have a link; a link joins similar nodes of one bucket (key, node). None without a link.
+
+    Round by round each node meets the leaders of its buckets. A node that is still in another component than a leader is
+    apart in that leader's star. Where up to `few` nodes of a star are apart, these meet all of it, so that a node of the
+    star gives `few` rows at most; the nodes of other stars go on into the next round's buckets. `few` grows fourfold with
+    each round, so that the rounds end. No link is lost: see next_buckets.
+    """
+
+    def meet(pairs: DataFrame) -> DataFrame:
+        one = bag_of.select(F.col("digest").alias("a"), F.col("hashes").alias("hashes_a"), F.col("weights").alias("weights_a"))
+        two = bag_of.select(F.col("digest").alias("b"), F.col("hashes").alias("hashes_b"), F.col("weights").alias("weights_b"))
+        return written(pairs.select("a", "b").join(one, "a").join(two, "b").mapInPandas(met(similarity), MET))
+
+    def similar(seen: DataFrame) -> DataFrame:
+        return seen.where("same").select("a", "b")
+
+    links, labels, waiting = None, None, None
+    while True:
+        rays = leaders(buckets)
+        if waiting is None:
+            # a large group has several leaders, one for some buckets, another for others: each node meets the one with the most company first
+            pairs = written(rays.groupBy("a").agg(F.min(F.struct("order", "b")).alias("first")).select("a", "first.b"))
+        else:
+            pairs = written(differing(rays, labels).unionByName(waiting).distinct())
+        seen = meet(pairs)
+        links, labels = linked(links, labels, similar(seen))
+        # and the others only while it is in another component than they
+        if waiting is None and not (others := written(differing(rays.join(pairs, ["a", "b"], "left_anti"), labels))).isEmpty():
+            more = meet(others)
+            links, labels = linked(links, labels, similar(more))
+            seen = seen.unionByName(more)
+        stars = written(with_label(with_label(rays, labels, "a", "label_a"), labels, "b", "label_b").drop("order"))
+        apart = written(stars.where("label_a <> label_b").groupBy("b").agg(F.count(F.lit(1)).alias("n_apart")))
+        size = bag_of.select(F.col("digest").alias("a"), F.col("n").alias("n_a"))
+        sized = stars.join(apart.where(F.col("n_apart") <= few), "b").join(size, "a")
+        one, two = sized.where("label_a <> label_b"), sized.select("b", F.col("a").alias("y"), F.col("n_a").alias("n_y"), F.col("label_a").alias("label_y"))
+        close = F.least("n_a", "n_y") >= similarity * F.greatest("n_a", "n_y") - 1e-9
+        # these pairs meet with those of the next round
+        waiting = written(one.join(two, "b").where((F.col("label_a") != F.col("label_y")) & close).select(F.least("a", "y").alias("a"), F.greatest("a", "y").alias("b")).distinct())
+        crowded = written(stars.join(apart.where(F.col("n_apart") > few), "b", "left_semi").select("a", "b"))
+        if not crowded.isEmpty():
+            known = seen.join(crowded, ["a", "b"], "left_semi")
+            profiles = known.unionByName(meet(crowded.join(seen, ["a", "b"], "left_anti")))
+            buckets = written(next_buckets(with_label(with_label(profiles, labels, "a", "label_a"), labels, "b", "label_b"), similarity).distinct())
+        if crowded.isEmpty() or buckets.isEmpty():
+            return linked(links, labels, similar(meet(waiting)))[1]
+        few = 4 * max(few, 1)
+
+
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, bands: int = 20, rows: int = 6, row_col: str | None = None, few: int = 4) -> DataFrame:
     """One row per document: id, class_id (the smallest id of its class), class_size (rows), kept (true once in each class), text_hash (xxhash64 of the text, null as empty).
 
     With row_col, a column of unique numbers, that column comes first, and of rows with the smallest id the smallest number is kept.
     """
-    shared_dir(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(id_or_last(id_col).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"), (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row"))
-    signed = base.select("id", "h", "row", "text").mapInPandas(sign(shingle, bands, rows), SIGNED).checkpoint()
-    placed = signed.where("digest IS NOT NULL").select("digest", "n", F.explode("bands").alias("band"))
-    nodes = placed.distinct().checkpoint()
-    sizes_of = nodes.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = nodes.join(sizes_of, "band").checkpoint()
-    # a bucket's leader is the node with the most company in all its buckets: the text that the others are edits of, if it is there
-    company = members.groupBy("digest").agg(F.sum("size").alias("company"))
-    best = members.select("band", "digest").join(company, "digest").groupBy("band").agg(F.min(F.struct((-F.col("company")).alias("order"), F.col("digest").alias("leader"))).alias("best"))
-    shared = members.select("band", "digest", "n").join(best.select("band", "best.leader", "best.order"), "band").checkpoint()
-
-    def similar(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) whose texts are similar."""
-        pairs = pairs.distinct().checkpoint()
-        needed = pairs.select(F.col("a").alias("digest")).unionByName(pairs.select(F.col("b").alias("digest"))).distinct()
-        # one row stands for all of equal words; its text is read from the documents again
-        chosen = signed.join(needed, "digest", "left_semi").groupBy("digest").agg(F.min(F.struct("id", "h")).alias("row")).select("digest", "row.id", "row.h")
-        used = base.drop("row").join(chosen, ["id", "h"]).groupBy("digest").agg(F.first("text").alias("text")).checkpoint()
-        one = pairs.join(used.select(F.col("digest").alias("a"), F.col("text").alias("text_a")), "a")
-        two = one.join(used.select(F.col("digest").alias("b"), F.col("text").alias("text_b")), "b")
-        return two.select("a", "b", "text_a", "text_b").mapInPandas(compare(shingle, similarity), "a binary, b binary").checkpoint()
-
-    # a large group has several leaders, one for some bands, another for others: each node meets the one with the most company first
-    met = shared.where("digest <> leader").select(F.col("digest").alias("a"), F.col("leader").alias("b"), "order").distinct().checkpoint()
-    first = met.groupBy("a").agg(F.min(F.struct("order", "b")).alias("first")).select("a", "first.b").checkpoint()
-    links = similar(first)
-    labels = components(links)
-    # and the others only while it is in another component than they
-    ends = [labels.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}")) for x in ("a", "b")]
-    others = met.join(first.select("a", F.col("b").alias("done")), "a").where("b <> done").join(ends[0], "a", "left").join(ends[1], "b", "left")
-    links, labels = linked(links, labels, similar(others.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b")))
-    # what is still apart from its bucket's leader meets the rest of the bucket
-    told = shared.join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest")).checkpoint()
-    heads = labels.select(F.col("node").alias("leader"), F.col("label").alias("head"))
-    apart = told.where("digest <> leader").join(heads, "leader", "left").where(F.col("label") != F.coalesce("head", "leader"))
-    apart = apart.select("band", F.col("digest").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"))
-    rest = told.where("digest <> leader").select("band", F.col("digest").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"))
-    sizes = F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")
-    more = apart.join(rest, "band").where((F.col("label_a") != F.col("label_b")) & sizes).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    _, labels = linked(links, labels, similar(more))
+    signed = written(base.select("id", "h", "row", "text").mapInPandas(sign(shingle, bands, rows), SIGNED))
+    # texts of equal words are one node
+    placed = signed.where("digest IS NOT NULL").select(F.explode("bands").alias("key"), F.col("digest").alias("node")).distinct()
+    shared = placed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key")
+    buckets = written(placed.join(shared, "key"))
+    # one row stands for all of equal words; its text is read from the documents again, and its bag kept
+    needed = buckets.select(F.col("node").alias("digest")).distinct()
+    chosen = signed.join(needed, "digest", "left_semi").groupBy("digest").agg(F.min(F.struct("id", "h")).alias("row")).select("digest", "row.id", "row.h")
+    texts = base.drop("row").join(chosen, ["id", "h"]).groupBy("digest").agg(F.first("text").alias("text"))
+    bag_of = written(texts.mapInPandas(stored(shingle), "digest binary, n long, hashes binary, weights binary"))
+    labels = near_links(buckets, bag_of, similarity, few)
 
     alone = F.coalesce("digest", F.concat(F.lit(b"alone"), F.col("row").cast("string").cast("binary")))
     rows_of = signed.select("id", "h", "row", alone.alias("digest"))
-    classed = rows_of.join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest")).checkpoint()
+    classed = written(with_label(rows_of, labels, "digest", "label"))
     best_row = F.min(F.struct("id", F.col("row").alias("keep_row"))).alias("best")
     classes = classed.groupBy("label").agg(best_row, F.count(F.lit(1)).alias("class_size")).select("label", F.col("best.id").alias("class_id"), "best.keep_row", "class_size")
     return classed.join(classes, "label").select(

@@ -1,13 +1,17 @@
 """Operators that SQL does not express, against plain Python over the smallest documents and over odd rows."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
+from itertools import combinations
 
+import numpy as np
 import pandas as pd
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -74,6 +78,8 @@ def test_suffixes(tables):
             kept = bytes(b for b, g in zip(data, gone, strict=True) if not g)
             want.append((doc, len(data), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest()))
         assert rows_of(suffixes.remove_earlier(docs)) == sorted(want, key=repr)
+        # many small batches, levels and ranges of the order
+        assert rows_of(suffixes.remove_earlier(docs, batch=40, most=500)) == sorted(want, key=repr)
 
 
 def words_of(text):
@@ -111,6 +117,43 @@ def test_near_classes(tables):
         assert got == want
 
 
+def edited_copies():
+    """Groups of edited copies of one text each, whose edits recur, with shorter, longer and far ones among them."""
+    rng, rows = random.Random(7), []
+    for g in range(3):
+        base = [f"g{g}w{rng.randrange(400)}" for _ in range(240)]
+        added = [[f"g{g}a{k}x{i}" for i in range(40)] for k in range(4)]
+        for _ in range(90):
+            own = list(base)
+            for _ in range(rng.choice((0, 1, 3, 6, 9, 12))):
+                own[rng.randrange(len(own))] = f"e{rng.randrange(10**6)}"
+            own = own[: rng.choice((240, 240, 225, 200, 170))] + rng.choice(added + [[], []])
+            rows.append((len(rows), " ".join(own)))
+    return rows
+
+
+def test_no_link_of_a_bucket_is_lost(spark):
+    rows = edited_copies()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    bags_of = [bags.bags([bags.word_text(t)], 5)[1:] for _, t in rows]
+    keys = [bags.band_keys(bags.bag_minhash(np.zeros(len(h), np.int64), h, w, 1, 120), 20)[0].tolist() for h, w in bags_of]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if any(a == b for a, b in zip(keys[i], keys[j], strict=True)) and bags.overlap(bags_of[i], bags_of[j]) >= 0.8:
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    want = {i: find(i) for i in range(len(rows))}
+    assert 10 < len(set(want.values())) < 200
+    got = {r[0]: r[1] for r in bags.near_classes(docs, few=0).select("doc_id", "class_id").collect()}
+    assert got == want
+
+
 def test_signatures_estimate_weighted_jaccard():
     a = bags.bags([b" ".join(b"v%d" % (i % 150) for i in range(700))], 1)
     b = bags.bags([b" ".join(b"v%d" % (i % 150 + 30) for i in range(900))], 1)
@@ -140,15 +183,43 @@ def test_language(spark, tables):
 
 
 def test_quality(spark, tables):
-    docs, labels = tables[0][0], spark.read.parquet(f"{DATA}/labels.parquet")
-    got = quality.score_documents(docs, labels).join(labels, "doc_id").where("quality is not null").toPandas()
-    assert (got["predicted"] == got["quality"]).mean() > 0.75
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{name}.parquet") for name in ("documents", "labels"))
+    got = quality.score_documents(docs, labels).join(labels, "doc_id").where("held_out AND quality is not null").toPandas()
+    good, bad = (got[got["quality"] == q]["score"].to_numpy() for q in (1, 0))
+    # held-out documents: area under the curve, and how the threshold parts them
+    assert len(bad) > 5 and (good[:, None] > bad[None, :]).mean() > 0.95
+    assert (got["predicted"] == got["quality"]).mean() > 0.9
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
     for odd, rows in tables[1:]:
         scored = quality.score_documents(odd, labels).toPandas()
         assert len(scored) == len(rows) and scored["score"].between(0, 1).all()
         assert quality.score_documents(odd, labels.limit(0)).count() == len(rows)
 
 
+def test_quality_takes_long_repeats(spark):
+    texts = ["buy " * 100_000, "x" * 3_000_000, "\n" * 50_000, "é" * 5, "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(6)], "doc_id long, quality int")
+    got = quality.score_documents(docs, labels).toPandas()
+    assert len(got) == 6 and got["score"].between(0, 1).all()
+
+
+def test_bradley_terry_weights_are_the_least_loss():
+    rng = np.random.default_rng(5)
+    rows = [(np.sort(rng.choice(40, 6, replace=False)).astype(np.int32), rng.normal(size=6).astype(np.float32)) for _ in range(30)]
+    labels = rng.integers(0, 2, 30)
+    better, worse = quality.preference_pairs(labels, 4)
+    assert (labels[better] == 1).all() and (labels[worse] == 0).all() and len(better) == 4 * min(labels.sum(), 30 - labels.sum())
+    edges = np.concatenate([[0], np.cumsum([len(i) for i, _ in rows])])
+    w = quality.bradley_terry(np.concatenate([i for i, _ in rows]), np.concatenate([x for _, x in rows]), edges, better, worse, 0.01, 3000)
+    dense = np.zeros((30, len(w)))
+    for k, (i, x) in enumerate(rows):
+        dense[k, i] = x
+    gap = dense[better] - dense[worse]
+    slope = -(gap / (1 + np.exp(gap @ w))[:, None]).mean(axis=0) + 0.01 * w
+    assert np.abs(slope).max() < 1e-4
+
+
 def test_exact_and_phrases_take_odd_rows(spark, tables):
     odd, rows = tables[1]
     body = [re.sub(r"[\x20\x09-\x0D]", "", t or "") for _, t in rows]
@@ -159,6 +230,8 @@ def test_exact_and_phrases_take_odd_rows(spark, tables):
     items = spark.createDataFrame([("a", rows[5][1]), ("b", "one"), ("c", None), (None, "two words"), ("d", "")], "item_id string, text string")
     hit = phrases.decontaminate(odd, items).toPandas().set_index("doc_id")
     assert len(hit) == len(rows) and hit.loc[8, "n_hit"] == 80 and hit.loc[3, "contaminated"] and hit.loc[14, "n_hit"] == 2
+    near = phrases.decontaminate(spark.createDataFrame([(1, "tok1 x tok2 tok3 end"), (2, "tok9"), (3, "tok1 tok2 tok3")], "doc_id long, text string"), spark.createDataFrame([("a", "tok1 tok2 tok3"), ("b", "end")], "item_id string, text string"))
+    assert sorted((r["doc_id"], r["n_hit"], r["n_near"]) for r in near.collect()) == [(1, 1, 2), (2, 0, 0), (3, 3, 1)]
     for a, b in ((odd.limit(0), items), (odd, items.limit(0))):
         assert phrases.decontaminate(a, b).where("n_hit > 0").count() == 0
 
@@ -172,6 +245,42 @@ def test_urls_take_odd_rows(spark):
     assert got == [none, none, none, ("a.com", "/en/1", "com/en/", "block"), ("example.com", "/en/71", "example.com/en/7", "allow"), ("net", "/de/", "net/de/", "allow"), ("sub.example.net", "/de/8", "example.net/de/8", "block"), ("example.org", "", None, "allow"), ("notcom", "/en/", None, "allow")]
 
 
+def test_mined_url_rules(spark):
+    """All combinations of tokens, counted one by one, against FP-growth, pruning and the index; labels made up by host and path."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(240):
+        host = rng.choice(["good.example.edu", "spam.example.info", "mixed.example.info"])
+        section = rng.choice(["news", "deals"])
+        rows.append((i, f"https://{host}/{section}/{i}?{rng.choice(['a', 'b'])}=1", host.startswith("spam") or (host.startswith("mixed") and section == "deals")))
+    pages = spark.createDataFrame([r[:2] for r in rows] + [(3, rows[3][1]), (None, rows[4][1]), (500, None)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, 0 if bad else 1) for i, _, bad in rows if i % 2], "doc_id long, quality int")
+    got = urls.judge(pages, labels, min_support=0.01, min_confidence=0.9, min_count=5)
+    assert Counter(r["verdict"] for r in got.where("page_id < 240").dropDuplicates(["page_id"]).collect()) == Counter("block" if bad else "allow" for _, _, bad in rows)
+    assert got.count() == 243 and got.where("page_id = 3").select("verdict").distinct().count() == 1
+    base = pages.limit(240).select("page_id", "url").withColumns({"host": urls.host_of(F.col("url")), "path": urls.path_of(F.col("url"))})
+    tokens = {r[0]: frozenset(r[1]) for r in base.select("page_id", urls.url_tokens(F.col("url"), F.col("host"), F.col("path"))).collect()}
+    learned = [(tokens[i], bad) for i, _, bad in rows if i % 2]
+    rules = urls.mine_rules(spark.createDataFrame([(sorted(t), bad) for t, bad in learned], "tokens array<string>, bad boolean"), 0.01, 0.9, 5)
+    seen = {frozenset(r["antecedent"]): (r["confidence"], r["lift"]) for r in rules.collect()}
+    share = sum(bad for _, bad in learned) / len(learned)
+    every = {frozenset(c) for t, _ in learned for n in range(1, len(t) + 1) for c in combinations(sorted(t), n)}
+    strong = {}
+    for c in every:
+        own = [bad for t, bad in learned if c <= t]
+        if sum(own) >= 5 and sum(own) / len(own) >= 0.9 and sum(own) / len(own) >= 1.2 * share:
+            strong[c] = (sum(own) / len(own), sum(own) / len(own) / share)
+    want = {c: v for c, v in strong.items() if not any(d < c for d in strong)}
+    assert seen.keys() == want.keys() and all(seen[c] == pytest.approx(want[c]) for c in want)
+
+
+def test_letters_decide_what_has_a_language(spark):
+    texts = ["½ ² ①", "一", "ª", "_1", "é", "\u0301"]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in language.identify(docs).collect()}
+    assert [got[i] == "und" for i in range(6)] == [not any(c.isalpha() for c in t) for t in texts]
+
+
 def test_pipeline(spark, tables):
     docs, rows = tables[0]
     text = dict(rows)
