@@ -12,20 +12,20 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dyadflow.llm.common import shared_dir
-from dyadflow.llm.packing import tokenizer
+from dyadflow.llm.packing import texts_of, tokenizer
 
 
 def count_lengths(path: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = tokenizer(path).encode
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = tokenizer(path).encode_each
         for batch in batches:
-            seen = Counter(len(ids) // 4 for ids in encode(batch["text"].tolist()))
-            yield pd.DataFrame({"length": list(seen), "n_docs": list(seen.values())})
+            seen = Counter(len(ids) // 4 for ids in encode(texts_of(batch, "text")))
+            yield pa.RecordBatch.from_pydict({"length": list(seen), "n_docs": list(seen.values())})
 
     return run
 
@@ -33,7 +33,7 @@ def count_lengths(path: str):
 def length_histogram(docs: DataFrame, tokenizer_path: str, text_col: str = "text") -> DataFrame:
     """Rows (length, n_docs): how many documents have exactly so many tokens."""
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return texts.mapInPandas(count_lengths(tokenizer_path), "length long, n_docs long").groupBy("length").agg(F.sum("n_docs").alias("n_docs"))
+    return texts.mapInArrow(count_lengths(tokenizer_path), "length long, n_docs long").groupBy("length").agg(F.sum("n_docs").alias("n_docs"))
 
 
 def context_limits(histogram: DataFrame, block: int = 1024) -> DataFrame:
