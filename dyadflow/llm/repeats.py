@@ -192,7 +192,8 @@ class Bucket:
 
 
 def shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
-    return (((hashes >> U(32)) * U(shards)) >> U(32)).astype(np.int64)
+    """Anchors' hashes are minima and lie close to 0, so they are mixed anew before they are dealt out."""
+    return (((mix(hashes * ODD[0][7]) >> U(32)) * U(shards)) >> U(32)).astype(np.int64)
 
 
 def by_shard(shard: np.ndarray) -> list[tuple[int, slice]]:
@@ -225,7 +226,9 @@ def send_anchors(rule: Windows, shards: int):
         different, n = np.unique(bucket.hash, return_counts=True)
         count = np.minimum(different_stretches(bucket, different, n), int(COUNT)).astype(U)
         sent = ((different >> HASH_BITS) << HASH_BITS) | np.where(n > 1, TWICE, U(0)) | count
-        rows = [(s, key[0], sent[cut].astype("<u8").tobytes()) for s, cut in by_shard(shard_of(different, shards))]
+        shard = shard_of(different, shards)
+        order = np.argsort(shard, kind="stable")
+        rows = [(s, key[0], sent[order[cut]].astype("<u8").tobytes()) for s, cut in by_shard(shard[order])]
         return pd.DataFrame(rows, columns=["shard", "bucket", "sent"])
 
     return run
@@ -285,12 +288,15 @@ def send_stretches(rule: Windows, shards: int):
         if bucket is None or not len(bucket.hash):
             return pd.DataFrame([], columns=names)
         different = np.unique(bucket.hash)
-        cuts = by_shard(shard_of(different, shards))
+        dealt = shard_of(different, shards)
+        turn = np.argsort(dealt, kind="stable")
+        cuts, place = by_shard(dealt[turn]), np.searchsorted(different, bucket.hash)
 
         def told(column: str) -> np.ndarray:
             bits = dict(zip(answers["shard"], answers[column], strict=True))
-            each = np.concatenate([np.unpackbits(np.frombuffer(bits[s], np.uint8))[: cut.stop - cut.start] for s, cut in cuts]).astype(bool)
-            return each[np.searchsorted(different, bucket.hash)]
+            each = np.empty(len(different), bool)
+            each[turn] = np.concatenate([np.unpackbits(np.frombuffer(bits[s], np.uint8))[: cut.stop - cut.start] for s, cut in cuts])
+            return each[place]
 
         recurs, crowded = told("bits"), told("crowded")
         rows = []
