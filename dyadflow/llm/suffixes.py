@@ -5,9 +5,8 @@ in batches of rising id: a batch gets its suffix array, is scanned against each
 every suffix finds the earliest document with the same first `length` bytes, and then becomes a level itself; levels of
 about the same size are merged, so that there are logarithmically many.
 
-Only matches of at least `length` bytes count, and for these any order will do that brings equal beginnings together: the
-arrays are ordered by a 64-bit fingerprint of a suffix's first `length` bytes, which a merge compares many times faster
-than strings. Matches are then compared byte by byte.
+Suffixes are ordered and compared by their first `length` bytes, as bytes. A shard goes through the index in ranges of that
+order, one after the other, so that no more than about `most` suffixes are held as strings at a time.
 
 Defined results: null text counts as empty; a text shorter than `length` bytes loses none; documents of one id do not take
 from each other; null ids come last and stay null; an empty table gives no rows; extra columns are ignored.
@@ -29,102 +28,108 @@ from dyadflow.llm.repeats import CROWD, Bucket, Stretches, Windows, covered, mar
 RESULT = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
-    """Whether the `length` bytes from a and from b are equal, eight at a time."""
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    eight = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
-    same = np.ones(len(a), bool)
-    for at in [*range(0, length - 7, 8), length - 8] if length >= 8 else []:
-        same &= eight[a + at] == eight[b + at]
-    if length < 8:
-        for at in range(length):
-            same &= padded[a + at] == padded[b + at]
-    return same
+def beginnings(data: np.ndarray, place: np.ndarray, length: int) -> np.ndarray:
+    """The first `length` bytes of the suffixes at these places, as strings that numpy orders bytewise."""
+    return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, length)[place]).view(f"S{length}").ravel()
 
 
 @dataclass
-class Level:
-    """A suffix array: for each different beginning its fingerprint, in order, a place of it, and the earliest document."""
+class SuffixArray:
+    """Places of suffixes in the order of their text, those with the same beginning once, with their earliest document.
+
+    The order is that of the first `length` bytes: what comes after them decides no match. Two neighbours whose common
+    prefix is that long are one entry, so the array of common prefixes need not be kept.
+    """
 
-    key: np.ndarray
     place: np.ndarray
     doc: np.ndarray
 
     @classmethod
-    def sorted(cls, key: np.ndarray, place: np.ndarray, doc: np.ndarray, data: np.ndarray, length: int) -> Level:
-        order = np.lexsort((doc, key))
-        key, place, doc = key[order], place[order], doc[order]
-        return cls(key, place, doc)._unique(data, length)
-
-    def _unique(self, data: np.ndarray, length: int) -> Level:
-        # entries of one fingerprint stand with the earliest document first; a different text under it is kept beside it
-        again = np.flatnonzero(self.key[1:] == self.key[:-1]) + 1
-        head = np.arange(len(self.key))
-        head[again] = 0
-        head = np.maximum.accumulate(head)
-        drop = np.zeros(len(self.key), bool)
-        drop[again] = same_bytes(data, self.place[again], self.place[head[again]], length)
-        return Level(self.key[~drop], self.place[~drop], self.doc[~drop])
-
-    def merged(self, other: Level, data: np.ndarray, length: int) -> Level:
-        """The union of two levels; self holds the smaller ids and stays in front."""
-        key = np.concatenate([self.key, other.key])
-        order = np.argsort(key, kind="stable")
-        return Level(key[order], np.concatenate([self.place, other.place])[order], np.concatenate([self.doc, other.doc])[order])._unique(data, length)
-
-    def earliest(self, key: np.ndarray, place: np.ndarray, data: np.ndarray, length: int) -> np.ndarray:
-        """For sorted keys, the earliest document with the same bytes; the largest number where there is none."""
-        out = np.full(len(key), np.iinfo(np.int64).max)
-        at = np.searchsorted(self.key, key)
-        rest = np.flatnonzero(at < len(self.key))
-        while len(rest):  # a second turn only where two texts share a fingerprint
-            rest = rest[self.key[at[rest]] == key[rest]]
-            same = same_bytes(data, self.place[at[rest]], place[rest], length)
-            out[rest[same]] = np.minimum(out[rest[same]], self.doc[at[rest[same]]])
-            at[rest] += 1
-            rest = rest[~same]
-            rest = rest[at[rest] < len(self.key)]
-        return out
+    def built(cls, place: np.ndarray, doc: np.ndarray, text: np.ndarray) -> tuple[SuffixArray, np.ndarray]:
+        """The array of suffixes that begin with `text`, and the entry of each."""
+        order = np.argsort(text, kind="stable")
+        new = np.ones(len(order), bool)
+        new[1:] = text[order[1:]] != text[order[:-1]]
+        entry = np.empty(len(order), np.int64)
+        entry[order] = np.cumsum(new) - 1
+        edge = np.flatnonzero(new)
+        return cls(place[order[edge]], np.minimum.reduceat(doc[order], edge)), entry
+
+    def merged(self, other: SuffixArray, data: np.ndarray, length: int) -> SuffixArray:
+        """Both arrays in one order; an entry of both keeps the earlier document."""
+        mine, theirs = (beginnings(data, x.place, length) for x in (self, other))
+        at = np.searchsorted(mine, theirs)
+        found = np.minimum(at, len(mine) - 1)
+        both = mine[found] == theirs
+        doc = self.doc.copy()
+        np.minimum.at(doc, found[both], other.doc[both])
+        return SuffixArray(np.insert(self.place, at[~both], other.place[~both]), np.insert(doc, at[~both], other.doc[~both]))
+
+    def earliest(self, text: np.ndarray, data: np.ndarray, length: int) -> np.ndarray:
+        """For beginnings in order, the earliest document that has them; the largest number where there is none."""
+        mine = beginnings(data, self.place, length)
+        at = np.minimum(np.searchsorted(mine, text), len(mine) - 1)
+        return np.where(mine[at] == text, self.doc[at], NEVER)
 
 
 class LogarithmicIndex:
-    """Levels of suffix arrays over one text; batches must come in the order of their documents."""
+    """Suffix arrays of geometrically growing sizes over one text; batches come in the order of their documents."""
 
     def __init__(self, data: np.ndarray, length: int):
         self.data, self.length = data, length
-        self.levels: list[Level] = []
+        self.levels: list[SuffixArray] = []
 
-    def add(self, key: np.ndarray, place: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    def add(self, place: np.ndarray, doc: np.ndarray) -> np.ndarray:
         """Take in a batch; returns, for each of its suffixes, the earliest document with the same beginning."""
-        order = np.argsort(key, kind="stable")
-        batch = Level.sorted(key, place, doc, self.data, self.length)
-        first = np.full(len(key), np.iinfo(np.int64).max)
-        for level in [*self.levels, batch]:
-            first[order] = np.minimum(first[order], level.earliest(key[order], place[order], self.data, self.length))
+        batch, entry = SuffixArray.built(place, doc, beginnings(self.data, place, self.length))
+        text, first = beginnings(self.data, batch.place, self.length), batch.doc.copy()
+        for level in self.levels:
+            first = np.minimum(first, level.earliest(text, self.data, self.length))
         self.levels.append(batch)
-        while len(self.levels) > 1 and len(self.levels[-2].key) <= 2 * len(self.levels[-1].key):
+        while len(self.levels) > 1 and len(self.levels[-2].place) <= 2 * len(self.levels[-1].place):
             last = self.levels.pop()
             self.levels[-1] = self.levels[-1].merged(last, self.data, self.length)
-        return first
+        return first[entry]
+
+
+NEVER = np.iinfo(np.int64).max
+
+
+def parts_by_beginning(data: np.ndarray, starts: np.ndarray, most: int) -> tuple[np.ndarray, int]:
+    """(part of each suffix, number of parts): ranges of the suffixes' order, by their first bytes, of about `most` each."""
+    n = len(starts) // most + 1
+    if n == 1:
+        return np.zeros(len(starts), np.uint16), 1
+    head = lambda place: beginnings(data, place, 8).view(">u8").astype(np.uint64)
+    seen = np.sort(head(starts[:: max(1, len(starts) // 100_000)]))
+    cuts = np.unique(seen[np.arange(1, n) * len(seen) // n])
+    return np.concatenate([np.searchsorted(cuts, head(starts[a : a + most]), side="right").astype(np.uint16) for a in range(0, len(starts), most)]), len(cuts) + 1
+
 
+def earlier_document(batch: int, most: int):
+    """`batch` suffixes or so, of whole documents, are taken in at a time; `most` suffixes or so, a range of their order, are held at a time."""
 
-def earlier_document(batches: int):
     def decide(found: Stretches) -> np.ndarray:
         """Marks windows that also start in a document with a smaller id."""
         units, length = found.units, found.units.rule.length
         marked = np.zeros(units.n, bool)
-        n = units.last - units.first - length + 1
-        starts = np.flatnonzero(units.window_starts())
+        starts = np.flatnonzero(units.window_starts()).astype(np.uint32)
         if not len(starts):
             return marked
-        key, doc = units.fingerprints(1)[starts], np.repeat(found.ids, n)
-        index = LogarithmicIndex(units.data, length)
-        cuts = np.unique(np.quantile(found.ids, np.linspace(0, 1, batches + 1)[1:-1], method="lower")) if len(found.ids) else []
-        of = np.searchsorted(cuts, doc, side="left")
-        for b in range(len(cuts) + 1):
-            own = np.flatnonzero(of == b)
-            if len(own):
-                marked[starts[own]] = index.add(key[own], starts[own], doc[own]) < doc[own]
+        n = np.maximum(units.last - units.first - length + 1, 0)
+        of = np.repeat(np.arange(len(n), dtype=np.uint32), n)
+        part, parts = parts_by_beginning(units.data, starts, most)
+        order = np.argsort(found.ids, kind="stable")
+        turn = np.empty(len(n), np.int64)
+        turn[order] = (np.cumsum(n[order]) - 1) // (batch * parts)
+        for p in range(parts):
+            inside = np.flatnonzero(part == p)
+            own_turn = turn[of[inside]]
+            index = LogarithmicIndex(units.data, length)
+            for t in np.unique(own_turn):
+                own = inside[own_turn == t]
+                doc = found.ids[of[own]]
+                marked[starts[own]] = index.add(starts[own], doc) < doc
         return marked
 
     return decide
@@ -143,7 +148,7 @@ def finish(bucket: Bucket, answers: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=[c.split()[0] for c in RESULT.split(", ")])
 
 
-def remove_earlier(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, anchor: int = 16, batches: int = 4, bucket_bytes: int = 4_000_000, crowd: int = CROWD) -> DataFrame:
+def remove_earlier(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, anchor: int = 16, batch: int = 30_000, most: int = 200_000, bucket_bytes: int = 2_000_000, crowd: int = CROWD) -> DataFrame:
     """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256."""
-    found = repeated_windows(docs, id_col, text_col, Windows("byte", length, anchor), earlier_document(batches), finish, RESULT, bucket_bytes, crowd)
+    found = repeated_windows(docs, id_col, text_col, Windows("byte", length, anchor), earlier_document(batch, most), finish, RESULT, bucket_bytes, crowd)
     return found.select(id_or_null("id").alias(id_col), *[F.col(c) for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")])
