@@ -23,10 +23,11 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dyadflow.llm.common import id_or_last, id_or_null, written
@@ -37,7 +38,7 @@ STEP, FIRST, SECOND = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB
 #: Bytes of text whose signatures are made at a time.
 AT_ONCE = 1_000_000
 #: Rows of two digests that one task takes without a shuffle.
-FEW_ROWS = 100_000
+FEW_ROWS = 250_000
 
 
 def scramble(x: np.ndarray) -> np.ndarray:
@@ -216,6 +217,18 @@ def met(similarity: float):
     return run
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 200) -> Iterator[None]:
+    """Within this, Arrow batches have so many rows at most: rows with two bags are long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def gathered(df: DataFrame, n: int) -> DataFrame:
     """A table of few rows in one partition, so that joins and groups of it need no shuffle; a larger one as it is."""
     return df.coalesce(1) if n <= FEW_ROWS else df
@@ -258,17 +271,17 @@ def differing(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
     return with_label(with_label(pairs, labels, "a", "label_a"), labels, "b", "label_b").where("label_a <> label_b").select("a", "b")
 
 
-def leaders(buckets: DataFrame) -> DataFrame:
-    """Each node of buckets (key, node) with each leader of its buckets: (a, b, order), those with much company first.
+def leaders(buckets: DataFrame, n: int) -> DataFrame:
+    """Each node of n rows of buckets (key, node) with each leader of its buckets: (a, b, order), those with much company first.
 
     A bucket's leader is the node with the most company in all its buckets: the text that the others are edits of, if it is there.
     """
     sizes = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = written(buckets.join(sizes, "key"))
+    members = gathered(written(buckets.join(sizes, "key")), n)
     company = members.groupBy("node").agg(F.sum("size").alias("company"))
     best = members.join(company, "node").groupBy("key").agg(F.min(F.struct((-F.col("company")).alias("order"), F.col("node").alias("leader"))).alias("best"))
     led = members.select("key", "node").join(best.select("key", "best.leader", "best.order"), "key")
-    return written(led.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b"), "order").distinct())
+    return gathered(written(led.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b"), "order").distinct()), n)
 
 
 def next_buckets(stars: DataFrame, similarity: float) -> DataFrame:
@@ -288,8 +301,11 @@ def next_buckets(stars: DataFrame, similarity: float) -> DataFrame:
     limits = could.where("label_a <> label_b").groupBy("b").agg(F.max("up_to").alias("most"), F.min("n_a").alias("least"))
     small = could.join(limits, "b").where("n_a <= most AND up_to >= least").select(F.xxhash64("b", F.lit("small")).alias("key"), F.col("a").alias("node"), F.col("label_a").alias("label"))
     every = shared.unionByName(small)
-    mixed = every.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-    return every.select("key", "node").join(mixed, "key")
+    sets = [F.count(F.lit(1)).alias("n"), *[F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"x{i}") for i in range(2)]]
+    mixed = every.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), *sets).where("low <> high")
+    # nodes that share one shingle outside l mostly share more: of buckets with the same nodes one is enough
+    different = mixed.groupBy("n", "x0", "x1").agg(F.min("key").alias("key")).select("key")
+    return every.select("key", "node").join(different, "key")
 
 
 def near_links(buckets: DataFrame, bag_of: DataFrame, similarity: float, few: int = 4) -> DataFrame | None:
@@ -302,16 +318,24 @@ def near_links(buckets: DataFrame, bag_of: DataFrame, similarity: float, few: in
     """
 
     def meet(pairs: DataFrame) -> DataFrame:
-        one = bag_of.select(F.col("digest").alias("a"), F.col("hashes").alias("hashes_a"), F.col("weights").alias("weights_a"))
-        two = bag_of.select(F.col("digest").alias("b"), F.col("hashes").alias("hashes_b"), F.col("weights").alias("weights_b"))
-        return written(pairs.select("a", "b").join(one, "a").join(two, "b").mapInPandas(met(similarity), MET))
+        # pairs that are few are no work for many tasks, and only their bags have to move
+        pairs, n = pairs.select("a", "b"), pairs.count()
+        nodes = pairs.select(F.col("a").alias("digest")).unionByName(pairs.select(F.col("b").alias("digest"))).distinct()
+        near = (lambda df: F.broadcast(df)) if n <= FEW_ROWS else (lambda df: df)
+        used = bag_of.join(near(nodes), "digest", "left_semi")
+        one = used.select(F.col("digest").alias("a"), F.col("hashes").alias("hashes_a"), F.col("weights").alias("weights_a"))
+        two = used.select(F.col("digest").alias("b"), F.col("hashes").alias("hashes_b"), F.col("weights").alias("weights_b"))
+        made = one.join(near(pairs), "a").join(two, "b").coalesce(n // 1000 + 1)
+        with small_batches(bag_of.sparkSession):
+            return written(made.mapInPandas(met(similarity), MET))
 
     def similar(seen: DataFrame) -> DataFrame:
         return seen.where("same").select("a", "b")
 
     links, labels, waiting = None, None, None
     while True:
-        rays = leaders(buckets)
+        n = buckets.count()
+        rays = leaders(gathered(buckets, n), n)
         if waiting is None:
             # a large group has several leaders, one for some buckets, another for others: each node meets the one with the most company first
             pairs = written(rays.groupBy("a").agg(F.min(F.struct("order", "b")).alias("first")).select("a", "first.b"))
@@ -324,7 +348,7 @@ def near_links(buckets: DataFrame, bag_of: DataFrame, similarity: float, few: in
             more = meet(others)
             links, labels = linked(links, labels, similar(more))
             seen = seen.unionByName(more)
-        stars = written(with_label(with_label(rays, labels, "a", "label_a"), labels, "b", "label_b").drop("order"))
+        stars = gathered(written(with_label(with_label(rays, labels, "a", "label_a"), labels, "b", "label_b").drop("order")), n)
         apart = written(stars.where("label_a <> label_b").groupBy("b").agg(F.count(F.lit(1)).alias("n_apart")))
         size = bag_of.select(F.col("digest").alias("a"), F.col("n").alias("n_a"))
         sized = stars.join(apart.where(F.col("n_apart") <= few), "b").join(size, "a")
@@ -332,7 +356,7 @@ def near_links(buckets: DataFrame, bag_of: DataFrame, similarity: float, few: in
         close = F.least("n_a", "n_y") >= similarity * F.greatest("n_a", "n_y") - 1e-9
         # these pairs meet with those of the next round
         waiting = written(one.join(two, "b").where((F.col("label_a") != F.col("label_y")) & close).select(F.least("a", "y").alias("a"), F.greatest("a", "y").alias("b")).distinct())
-        crowded = written(stars.join(apart.where(F.col("n_apart") > few), "b", "left_semi").select("a", "b"))
+        crowded = gathered(written(stars.join(apart.where(F.col("n_apart") > few), "b", "left_semi").select("a", "b")), n)
         if not crowded.isEmpty():
             known = seen.join(crowded, ["a", "b"], "left_semi")
             profiles = known.unionByName(meet(crowded.join(seen, ["a", "b"], "left_anti")))
@@ -349,7 +373,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(id_or_last(id_col).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"), (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row"))
-    signed = written(base.select("id", "h", "row", "text").mapInPandas(sign(shingle, bands, rows), SIGNED))
+    with small_batches(docs.sparkSession, 1000):
+        signed = written(base.select("id", "h", "row", "text").mapInPandas(sign(shingle, bands, rows), SIGNED))
     # texts of equal words are one node
     placed = signed.where("digest IS NOT NULL").select(F.explode("bands").alias("key"), F.col("digest").alias("node")).distinct()
     shared = placed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key")
@@ -358,7 +383,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     needed = buckets.select(F.col("node").alias("digest")).distinct()
     chosen = signed.join(needed, "digest", "left_semi").groupBy("digest").agg(F.min(F.struct("id", "h")).alias("row")).select("digest", "row.id", "row.h")
     texts = base.drop("row").join(chosen, ["id", "h"]).groupBy("digest").agg(F.first("text").alias("text"))
-    bag_of = written(texts.mapInPandas(stored(shingle), "digest binary, n long, hashes binary, weights binary"))
+    with small_batches(docs.sparkSession, 1000):
+        bag_of = written(texts.mapInPandas(stored(shingle), "digest binary, n long, hashes binary, weights binary"))
     labels = near_links(buckets, bag_of, similarity, few)
 
     alone = F.coalesce("digest", F.concat(F.lit(b"alone"), F.col("row").cast("string").cast("binary")))
