@@ -3,7 +3,8 @@
 The index stores, for the rarest terms of the test phrases, where each of them occurs in the training documents: document,
 position, and the few words around. A phrase is looked up by its two rarest terms: their posting lists, shifted by the
 terms' offsets in the phrase, are intersected on (document, phrase, start), and what is left is compared with the words
-around the posting, so that a match is exact. Proximity matches come from the same lists with a slack on the start.
+around the posting, so that a match is exact. Proximity matches come from the same lists with a slack on the start; they are
+counted beside the exact ones and decide nothing.
 
 How rare a term is is counted over all documents. Common words are stored only for a phrase that holds nothing rarer,
 so the index stays far smaller than the corpus. Everything is DataFrame work; the phrases' terms are broadcast only up to
@@ -91,19 +92,22 @@ def phrase_matches(index: DataFrame, rarest: DataFrame, n_rarest: int) -> DataFr
 
 
 def proximity_matches(index: DataFrame, rarest: DataFrame, n_rarest: int, slack: int) -> DataFrame:
-    """Documents that hold a window's two rarest terms in about their places: (k, window, start), start off by at most `slack` words."""
+    """Windows (k, window) of which a document holds the two rarest terms about in their places: their starts differ by at most `slack` words.
+
+    A window of one word is near wherever it occurs.
+    """
     at = (F.col("pos") - F.col("offset")).alias("start")
-    lead = index.select("k", "term", "pos").join(small(rarest.where("rank = 1"), n_rarest), "term").select("k", "window", at)
+    lead = index.select("k", "term", "pos").join(small(rarest.where("rank = 1"), n_rarest), "term").select("k", "window", "len", at)
     second = index.select("k", "term", "pos").join(small(rarest.where("rank = 2"), n_rarest), "term").select("k", "window", at)
-    width = max(1, slack)
+    width = slack + 1
     cell = F.floor(F.col("start") / width)
     near = second.select("k", "window", F.col("start").alias("other"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
-    close = lead.withColumn("cell", cell).join(near, ["k", "window", "cell"]).where(F.abs(F.col("start") - F.col("other")) <= slack)
-    return close.select("k", "window", "start").distinct()
+    close = lead.where("len > 1").withColumn("cell", cell).join(near, ["k", "window", "cell"]).where(F.abs(F.col("start") - F.col("other")) <= slack)
+    return close.select("k", "window").unionByName(lead.where("len = 1").select("k", "window")).distinct()
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", n: int = 13, one_in: int = 20) -> DataFrame:
-    """One row per document: id, n_words, n_hit, n_items, items_sha256, contaminated (n_hit > 0 and one_in * n_hit >= n_words)."""
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", n: int = 13, one_in: int = 20, slack: int = 2) -> DataFrame:
+    """One row per document: id, n_words, n_hit, n_items, items_sha256, contaminated (n_hit > 0 and one_in * n_hit >= n_words), n_near (windows by proximity)."""
     shared_dir(docs.sparkSession)
     listed = windows_of(benchmark, item_col, item_text, n).checkpoint()
     windows = listed.select("window", "terms").distinct()
@@ -120,15 +124,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     hits = covered.groupBy("k").agg(F.sum("new").cast("long").alias("n_hit"))
     items = found.select("k", "window").distinct().join(listed.where("item IS NOT NULL").select("window", "item"), "window").select("k", "item").distinct()
     named = items.groupBy("k").agg(F.sort_array(F.collect_list("item")).alias("items"))
+    nearby = proximity_matches(index, rarest, n_rarest, slack).groupBy("k").agg(F.count(F.lit(1)).alias("n_near"))
 
     text = F.col(text_col)
     counted = docs.select(F.col(id_col), row_key(id_col, text).alias("k"), count_words(raw_words(text)).alias("n_words"))
     n_hit, names = F.coalesce("n_hit", F.lit(0).cast("long")), F.coalesce("items", F.array().cast("array<string>"))
-    return counted.join(hits.join(named, "k", "left"), "k", "left").select(
+    told = nearby.join(hits.join(named, "k", "left"), "k", "full_outer")
+    return counted.join(told, "k", "left").select(
         F.col(id_col),
         "n_words",
         n_hit.alias("n_hit"),
         F.size(names).cast("long").alias("n_items"),
         F.sha2(F.array_join(names, ","), 256).alias("items_sha256"),
         ((n_hit > 0) & (one_in * n_hit >= F.col("n_words"))).alias("contaminated"),
+        F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"),
     )

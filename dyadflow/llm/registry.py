@@ -83,11 +83,18 @@ def oracle_sql():
             occ AS (SELECT doc_id, n, i, item_id FROM grams JOIN win USING (n, p)),
             hit AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM occ, unnest(range(i, i + n)) AS t(j) GROUP BY doc_id),
             it AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items
-                   FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM occ) GROUP BY doc_id)
+                   FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM occ) GROUP BY doc_id),
+            pos AS (SELECT doc_id, unnest(w) AS t, unnest(range(0, len(w))) AS i FROM d),
+            places AS (SELECT DISTINCT p, n, unnest(string_split(p, ' ')) AS t, unnest(range(0, n)) AS o FROM win),
+            freq AS (SELECT t, count(*) AS f FROM pos WHERE t IN (SELECT t FROM places) GROUP BY t),
+            ranked AS (SELECT p, n, t, o, row_number() OVER (PARTITION BY p ORDER BY f, t, o) AS r, min(coalesce(f, 0)) OVER (PARTITION BY p) AS least FROM places LEFT JOIN freq USING (t)),
+            spot AS (SELECT doc_id, p, n, r, i - o AS s FROM ranked JOIN pos USING (t) WHERE r <= 2 AND least > 0),
+            near AS (SELECT a.doc_id, count(DISTINCT a.p) AS n_near FROM spot a LEFT JOIN spot b ON a.doc_id = b.doc_id AND a.p = b.p AND b.r = 2 AND abs(a.s - b.s) <= 2
+                     WHERE a.r = 1 AND (a.n = 1 OR b.p IS NOT NULL) GROUP BY a.doc_id)
             SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
                    CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
-                   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-            FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)""",
+                   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near
+            FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id) LEFT JOIN near USING (doc_id)""",
         "op6_exact_dedup": """
             WITH d AS (
                 SELECT doc_id, coalesce(length(text), 0) AS points,
