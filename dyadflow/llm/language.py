@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +46,7 @@ def code_points(text: str) -> np.ndarray:
     return points[keep]
 
 
+ANY_LETTER = regex.compile(r"\p{L}")
 LETTER = np.array([chr(i).isalpha() if not 0xD800 <= i <= 0xDFFF else False for i in range(0x30000)] + [False])
 
 
@@ -139,7 +141,7 @@ def fit(buckets: int, classes: list[str], epochs: int):
     def run(sample: pd.DataFrame) -> pd.DataFrame:
         idf = np.asarray(sample["idf"].dropna().iloc[0])
         rows = sample.dropna(subset=["text"]).sort_values(["order", "text"])
-        made = [(ids, weighted(ids, n, idf), classes.index(lang)) for (ids, n), lang in zip((features(t, buckets) for t in rows["text"]), rows["lang"], strict=True)]
+        made = [(ids, weighted(ids, n, idf).astype(np.float32), classes.index(lang)) for (ids, n), lang in zip((features(t, buckets) for t in rows["text"]), rows["lang"], strict=True)]
         held = [m for i, m in enumerate(made) if i % 5 == 0]
         model = Ftrl(buckets, len(classes))
         for _ in range(epochs):
@@ -153,7 +155,7 @@ def fit(buckets: int, classes: list[str], epochs: int):
     return run
 
 
-def train(labelled: DataFrame, per_language: int = 1500, epochs: int = 3, buckets: int = BUCKETS) -> bytes | None:
+def train(labelled: DataFrame, per_language: int = 1000, epochs: int = 3, buckets: int = BUCKETS) -> bytes | None:
     """The model from rows (text, lang, order); order is a hash of the id. None if there is no row."""
     spark = labelled.sparkSession
     labelled = labelled.where("text IS NOT NULL AND lang IS NOT NULL")
@@ -209,7 +211,7 @@ def judged(docs: DataFrame, model: bytes | None, text_col: str = "text") -> Colu
 
     @F.pandas_udf("lang_pred string, score double")
     def judge(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        yield from run(pd.DataFrame({"text": t.fillna(""), "known": t.fillna("").str.contains(r"[^\W\d_]", regex=True)}) for t in texts)
+        yield from run(pd.DataFrame({"text": t.fillna(""), "known": [bool(ANY_LETTER.search(x)) for x in t.fillna("")]}) for t in texts)
 
     return judge(F.col(text_col))
 
