@@ -137,14 +137,14 @@ def digest_groups(rows: DataFrame, shards: int, memtable_rows: int = 200_000) ->
     return runs.groupBy("shard").applyInPandas(compact, GROUP)
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", memtable_rows: int = 200_000, shards: int | None = None, row_col: str | None = None) -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", memtable_rows: int = 200_000, shard_rows: int = 500_000, row_col: str | None = None) -> DataFrame:
     """One row per input row: id, keep_id, group_size (rows), kept (true once in each group of equal texts), text_sha256.
 
     With row_col, a column of unique numbers, that column comes first, and of rows that tie the smallest number is kept.
     """
-    spark = docs.sparkSession
-    shared_dir(spark)
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shared_dir(docs.sparkSession)
+    # the rows of a shard bound what a compaction holds
+    shards = docs.count() // shard_rows + int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     text = F.col(text_col)
     given = [F.col(row_col).alias("row")] if row_col else []
     named = [F.col("row").alias(row_col)] if row_col else []
