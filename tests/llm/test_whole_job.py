@@ -92,6 +92,22 @@ def test_quality_threshold_is_one_of_all_labelled_documents(spark, monkeypatch):
     assert sum(r["count"] for r in seen[0]) > 60
 
 
+def test_stages_leave_clashing_columns_alone(spark):
+    base = " ".join(f"tok{i}" for i in range(80))
+    names = ["_judged", "found", "row", "_row", "doc", "gone_id", "h", "id", "label"]
+    rows = [(i, t, "en", *[f"{n}{i}" for n in names]) for i, t in enumerate([base, base, base + " more", "a sentence", "another one"])]
+    docs = spark.createDataFrame(rows, DOCS + "".join(f", {n} string" for n in names)).repartition(2)
+    kept = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, "/root/testdata/sf0.001").checkpoint()
+        assert kept.columns == docs.columns
+    assert Counter(map(tuple, kept.collect())) == Counter(r for r in rows if r[0] not in (1, 2))
+    empty = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, empty, "/root/testdata/sf0.001").checkpoint()
+    assert empty.count() == 0
+
+
 def test_language_stage_keeps_unlabelled_documents(spark):
     texts = [None, "", "...", "123 !", "Ein Satz", "a sentence", "é", "a sentence"]
     docs = spark.createDataFrame([(i if i % 3 else None, t, None) for i, t in enumerate(texts)], DOCS)
