@@ -13,21 +13,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dyadflow.llm import bags, exact, language, packing, phrases
-from dyadflow.llm.common import shared_dir, table
+from dyadflow.llm.common import shared_dir, table, written
 
 #: A document whose language is less certain than this, or that has no letter, is rejected; where no document names its language, only the latter.
 MIN_LANGUAGE_SCORE = 0.35
 VOCABULARY = "word_bpe_49k.json"
-#: The number of a row within a dedup stage.
-ROW = "_row"
 
 
-def without(docs: DataFrame, dropped: DataFrame, key: dict) -> DataFrame:
-    """The rows of docs whose key, given as columns by name, is not in dropped; nulls are equal."""
-    named = docs.withColumns({f"_key_{name}": column for name, column in key.items()})
-    gone = dropped.select(*[F.col(name).alias(f"_gone_{name}") for name in key]).distinct()
-    same = [F.col(f"_key_{name}").eqNullSafe(F.col(f"_gone_{name}")) for name in key]
-    return named.join(gone, same, "left_anti").select(docs.columns)
+def whole(docs: DataFrame):
+    """A row of docs as one column, so that no name of a stage's own can clash with one of its columns."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,16 +30,15 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     if model is None:
         # nothing to learn from: no text's language is known, and only those without a letter are rejected
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    judged = docs.withColumn("_judged", language.judged(docs, model))
-    return judged.where((F.col("_judged.lang_pred") != language.UNDETERMINED) & (F.col("_judged.score") >= MIN_LANGUAGE_SCORE)).select(docs.columns)
+    judged = docs.select(whole(docs), language.judged(docs, model).alias("found"))
+    return judged.where((F.col("found.lang_pred") != language.UNDETERMINED) & (F.col("found.score") >= MIN_LANGUAGE_SCORE)).select("doc.*")
 
 
 def kept_rows(spark: SparkSession, docs: DataFrame, groups: Callable[..., DataFrame]) -> DataFrame:
     """The rows of docs that groups() keeps; the numbers that tell rows apart are written once, so that every reader sees the same."""
-    shared_dir(spark)
-    numbered = docs.withColumn(ROW, F.monotonically_increasing_id()).checkpoint()
-    dropped = groups(numbered, row_col=ROW).where("not kept").select(ROW)
-    return numbered.join(dropped, ROW, "left_anti").select(docs.columns)
+    numbered = written(docs.select(whole(docs), F.monotonically_increasing_id().alias("row")))
+    dropped = groups(numbered.select("row", "doc.doc_id", "doc.text"), row_col="row").where("not kept").select("row")
+    return numbered.join(dropped, "row", "left_anti").select("doc.*")
 
 
 def one_of_equal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,10 +50,12 @@ def one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def not_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    key = F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"))
-    judged = phrases.decontaminate(docs.select(key.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
-    dropped = judged.where("contaminated").select(F.col("doc_id.id").alias("doc_id"), F.col("doc_id.h").alias("h"))
-    return without(docs, dropped, {"doc_id": F.col("doc_id"), "h": F.xxhash64("text")})
+    """Documents are told apart by id and text: rows that share both have one verdict."""
+    key = F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h")).alias("doc_id")
+    judged = phrases.decontaminate(docs.select(key, "text"), table(spark, sf_dir, "benchmark"))
+    gone = judged.where("contaminated").select(F.col("doc_id.id").alias("gone_id"), F.col("doc_id.h").alias("gone_h")).distinct()
+    keyed = docs.select(whole(docs), F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"))
+    return keyed.join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("h") == F.col("gone_h")), "left_anti").select("doc.*")
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
