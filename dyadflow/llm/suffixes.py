@@ -148,7 +148,7 @@ def finish(bucket: Bucket, answers: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=[c.split()[0] for c in RESULT.split(", ")])
 
 
-def remove_earlier(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, anchor: int = 16, batch: int = 30_000, most: int = 200_000, bucket_bytes: int = 2_000_000, crowd: int = CROWD) -> DataFrame:
+def remove_earlier(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, anchor: int = 16, batch: int = 60_000, most: int = 200_000, bucket_bytes: int = 4_000_000, crowd: int = CROWD) -> DataFrame:
     """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256."""
     found = repeated_windows(docs, id_col, text_col, Windows("byte", length, anchor), earlier_document(batch, most), finish, RESULT, bucket_bytes, crowd)
     return found.select(id_or_null("id").alias(id_col), *[F.col(c) for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")])
