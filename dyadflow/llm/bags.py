@@ -37,7 +37,7 @@ U = np.uint64
 STEP, FIRST, SECOND = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 #: Bytes of text whose signatures are made at a time.
 AT_ONCE = 1_000_000
-#: Rows of two digests that one task takes without a shuffle.
+#: Rows of two digests that one task takes.
 FEW_ROWS = 250_000
 
 
@@ -230,8 +230,8 @@ def small_batches(spark: SparkSession, rows: int = 200) -> Iterator[None]:
 
 
 def gathered(df: DataFrame, n: int) -> DataFrame:
-    """A table of few rows in one partition, so that joins and groups of it need no shuffle; a larger one as it is."""
-    return df.coalesce(1) if n <= FEW_ROWS else df
+    """A table of at most n rows in partitions of about FEW_ROWS; in a single one, joins and groups of it need no shuffle."""
+    return df.coalesce(n // FEW_ROWS + 1)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -250,12 +250,20 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.select("node", "label")
 
 
-def linked(links: DataFrame | None, labels: DataFrame | None, further: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
-    """Links with the further ones, and the labels of their components."""
-    if further.isEmpty():
-        return links, labels
-    links = further if links is None else links.unionByName(further)
-    return links, components(links)
+def linked(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    """(node, label) of components after further links (a, b): only the components that they join are worked on."""
+    if links.isEmpty():
+        return labels
+    edges = written(with_label(with_label(links, labels, "a", "label_a"), labels, "b", "label_b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).where("a <> b").distinct())
+    if edges.isEmpty():
+        return labels
+    joined = components(edges)
+    if labels is None:
+        return joined
+    moved = labels.join(joined.select(F.col("node").alias("label"), F.col("label").alias("new")), "label", "left").select("node", F.coalesce("new", "label").alias("label"))
+    fresh = joined.join(labels.select("node"), "node", "left_anti").select("node", "label")
+    out = written(moved.unionByName(fresh))
+    return gathered(out, out.count())
 
 
 def with_label(rows: DataFrame, labels: DataFrame | None, node: str, name: str) -> DataFrame:
@@ -332,7 +340,7 @@ def near_links(buckets: DataFrame, bag_of: DataFrame, similarity: float, few: in
     def similar(seen: DataFrame) -> DataFrame:
         return seen.where("same").select("a", "b")
 
-    links, labels, waiting = None, None, None
+    labels, waiting = None, None
     while True:
         n = buckets.count()
         rays = leaders(gathered(buckets, n), n)
@@ -342,11 +350,11 @@ def near_links(buckets: DataFrame, bag_of: DataFrame, similarity: float, few: in
         else:
             pairs = written(differing(rays, labels).unionByName(waiting).distinct())
         seen = meet(pairs)
-        links, labels = linked(links, labels, similar(seen))
+        labels = linked(labels, similar(seen))
         # and the others only while it is in another component than they
         if waiting is None and not (others := written(differing(rays.join(pairs, ["a", "b"], "left_anti"), labels))).isEmpty():
             more = meet(others)
-            links, labels = linked(links, labels, similar(more))
+            labels = linked(labels, similar(more))
             seen = seen.unionByName(more)
         stars = gathered(written(with_label(with_label(rays, labels, "a", "label_a"), labels, "b", "label_b").drop("order")), n)
         apart = written(stars.where("label_a <> label_b").groupBy("b").agg(F.count(F.lit(1)).alias("n_apart")))
@@ -362,7 +370,7 @@ def near_links(buckets: DataFrame, bag_of: DataFrame, similarity: float, few: in
             profiles = known.unionByName(meet(crowded.join(seen, ["a", "b"], "left_anti")))
             buckets = written(next_buckets(with_label(with_label(profiles, labels, "a", "label_a"), labels, "b", "label_b"), similarity).distinct())
         if crowded.isEmpty() or buckets.isEmpty():
-            return linked(links, labels, similar(meet(waiting)))[1]
+            return linked(labels, similar(meet(waiting)))
         few = 4 * max(few, 1)
 
 
