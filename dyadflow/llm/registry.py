@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dyadflow.llm import bags, exact, language, lengths, packing, passages, phrases, quality, suffixes, urls
+from pyspark.sql import functions as F
+
+from dyadflow.llm import bags, exact, language, lengths, negatives, packing, passages, periods, phrases, private, quality, suffixes, urls
 from dyadflow.llm.common import table
 
 
@@ -49,6 +51,19 @@ def op10_url_rules(spark, sf_dir):
     return urls.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")).drop("mined_rule")
 
 
+def op11_hard_negatives(spark, sf_dir):
+    return negatives.contract_negatives(table(spark, sf_dir, "embeddings"))
+
+
+def op12_periodic_runs(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", periods.with_planted_tail(F.col("text"), F.col("doc_id")).alias("text"))
+    return periods.digests(periods.periodic_runs(docs))
+
+
+def op13_private_data(spark, sf_dir):
+    return private.digests(private.find_private(table(spark, sf_dir, "documents")))
+
+
 def queries():
     return {
         "op1_packing": op1_packing,
@@ -61,6 +76,9 @@ def queries():
         "op8_language": op8_language,
         "op9_suffix_dedup": op9_suffix_dedup,
         "op10_url_rules": op10_url_rules,
+        "op11_hard_negatives": op11_hard_negatives,
+        "op12_periodic_runs": op12_periodic_runs,
+        "op13_private_data": op13_private_data,
     }
 
 
@@ -106,4 +124,19 @@ def oracle_sql():
                    doc_id = first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY points DESC, doc_id) AS kept,
                    text_sha256
             FROM d""",
+        "op11_hard_negatives": """
+            WITH e AS (
+                SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                       list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+                FROM embeddings
+                WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+            s AS (
+                SELECT a.vec_id AS aid, b.vec_id AS bid, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+                FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+            p AS (SELECT aid, bid AS pid, score AS ps FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY aid ORDER BY score DESC, bid) <= 5),
+            n AS (
+                SELECT aid, pid, ps, bid AS nid, score AS ns, row_number() OVER (PARTITION BY aid, pid ORDER BY score DESC, bid) AS rank
+                FROM p JOIN s USING (aid) WHERE NOT same AND 80 * ps <= 100 * score AND score <= ps)
+            SELECT aid AS anchor_id, pid AS positive_id, CAST(rank AS INTEGER) AS rank, nid AS negative_id, ps AS positive_score, ns AS negative_score
+            FROM n WHERE rank <= 5""",
     }
