@@ -22,7 +22,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words of a stream, and of a slice that is appended at once.
@@ -267,17 +267,20 @@ def periodic_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return found.select(id_col, "found.n_words", "found.runs", "found.collapsed")
 
 
-def with_planted_tail(text: Column, id_col: Column) -> Column:
-    """The contract's input: where the id's checksum ends in 0, the words from some place on repeat what is there."""
-    h = F.crc32(id_col.cast("string").cast("binary"))
-    g = F.floor(h / 10)
-    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    n = F.size(words)
-    a = F.pmod(g, n).cast("int")
-    p = (1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))).cast("int")
-    tail = F.transform(F.sequence(a, n - 1), lambda i: F.element_at(words, (a + F.pmod(i - a, p) + 1).cast("int")))
-    planted = F.array_join(F.concat(F.slice(words, F.lit(1), a), tail), " ")
-    return F.when((F.pmod(h, F.lit(10)) == 0) & (n > 0), planted).otherwise(text)
+def with_planted_tails(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text), the contract's input: where the id's checksum ends in 0, the words from some place on repeat what is there.
+
+    Words and numbers are columns of their own, as a lambda would make them anew for each word.
+    """
+    h = F.crc32(F.col(id_col).cast("string").cast("binary"))
+    planted = F.coalesce(F.pmod(h, F.lit(10)) == 0, F.lit(False))
+    split = F.when(planted, F.filter(F.split(F.col(text_col), r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    parted = docs.select(F.col(id_col), F.col(text_col).alias("text"), split.alias("words"), F.floor(h / 10).alias("g")).withColumn("n", F.size("words"))
+    placed = parted.withColumn("a", F.when(F.col("n") > 0, F.pmod("g", "n")).cast("int"))
+    placed = placed.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.pmod(F.col("g"), F.lit(8))))).cast("int"))
+    tail = F.transform(F.sequence(F.lit(0), F.col("n") - F.col("a") - 1), lambda i: F.element_at("words", F.col("a") + F.pmod(i, F.col("p")) + 1))
+    made = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a")), tail), " ")
+    return placed.select(id_col, F.when(F.col("n") > 0, made).otherwise(F.col("text")).alias("text"))
 
 
 def digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

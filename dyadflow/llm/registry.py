@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from dyadflow.llm import bags, exact, language, lengths, negatives, packing, passages, periods, phrases, private, quality, suffixes, urls
 from dyadflow.llm.common import table
 
@@ -56,8 +54,7 @@ def op11_hard_negatives(spark, sf_dir):
 
 
 def op12_periodic_runs(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", periods.with_planted_tail(F.col("text"), F.col("doc_id")).alias("text"))
-    return periods.digests(periods.periodic_runs(docs))
+    return periods.digests(periods.periodic_runs(periods.with_planted_tails(table(spark, sf_dir, "documents"))))
 
 
 def op13_private_data(spark, sf_dir):

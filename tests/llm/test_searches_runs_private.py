@@ -87,8 +87,7 @@ def test_runs(spark):
     given = [tuple(r) for r in docs.select("doc_id", "text").collect()]
     odd = [*enumerate(odd_texts()), (None, "a b " * 30), (4, "a " * 13), (4, "a " * 13)]
     for rows, table in ((given, docs), (odd, spark.createDataFrame([(*r, "x", 1, "y") for r in odd], SCHEMA).repartition(3)), ([], spark.createDataFrame([], SCHEMA))):
-        planted = table.select("doc_id", periods.with_planted_tail(F.col("text"), F.col("doc_id")).alias("text"))
-        assert rows_of(periods.digests(periods.periodic_runs(planted))) == sorted((run_row(*r) for r in rows), key=repr)
+        assert rows_of(periods.digests(periods.periodic_runs(periods.with_planted_tails(table)))) == sorted((run_row(*r) for r in rows), key=repr)
         plain = rows_of(periods.digests(periods.periodic_runs(table)))
         assert plain == sorted((run_row(*r, planted=False) for r in rows), key=repr)
     assert sum(run_row(*r)[1] for r in given) > 5
