@@ -43,10 +43,10 @@ def mixed(words: np.ndarray) -> np.ndarray:
 
 
 class SquareCatchers:
-    """The maximal runs of a growing stream of words (numbers): append(), then runs()."""
+    """The maximal runs of a growing stream of words (numbers): append(), then runs(). No run is longer than `longest`, where given."""
 
-    def __init__(self, least: int = LEAST):
-        self.least, self.track = least, min(least, LEAST)
+    def __init__(self, least: int = LEAST, longest: int | None = None):
+        self.least, self.track, self.longest = least, min(least, LEAST), longest or 1 << 62
         self.n = 0
         self.words = np.zeros(64, np.int64)
         self.prefix = np.zeros(65, np.uint64)
@@ -81,7 +81,7 @@ class SquareCatchers:
     def _forward(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """How many words from i on and from j on agree, up to the stream's end."""
         out = np.zeros(len(i), np.int64)
-        step = 1 << max(0, (self.n - int(j.min())).bit_length()) if len(j) else 0
+        step = 1 << min(self.n - int(j.min()), self.longest).bit_length() if len(j) else 0
         while step:
             rest = np.flatnonzero(j + out + step <= self.n)
             rest = rest[self._same(i[rest] + out[rest], j[rest] + out[rest], step)]
@@ -92,7 +92,7 @@ class SquareCatchers:
     def _backward(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """How many words before i and before j agree."""
         out = np.zeros(len(i), np.int64)
-        step = 1 << int(i.max()).bit_length() if len(i) else 0
+        step = 1 << min(int(i.max()), self.longest).bit_length() if len(i) else 0
         while step:
             rest = np.flatnonzero(i - out - step >= 0)
             rest = rest[self._same(i[rest] - out[rest] - step, j[rest] - out[rest] - step, step)]
@@ -113,7 +113,7 @@ class SquareCatchers:
         j = j[np.diff(j, prepend=-2) > 1]  # the first of each stretch of one word
         self._widen(j - 1, j, 1)
         k = 1
-        while 3 * k <= self.n:
+        while 3 * k <= min(self.n, self.longest):
             self._level(k, t0)
             k *= 2
 
@@ -215,7 +215,7 @@ def documents_runs(texts: Iterable[bytes], least: int = LEAST, stream: int = STR
     held: list[np.ndarray] = []
 
     def done() -> Iterator[tuple[int, list[tuple[int, int, int]], bytes]]:
-        catch = SquareCatchers(least)
+        catch = SquareCatchers(least, max(map(len, held)))
         ends = np.cumsum([len(w) + 1 for w in held])
         parted = [x for i, w in enumerate(held) for x in (w, np.array([-1 - i]))]
         catch.append(np.concatenate(parted))
