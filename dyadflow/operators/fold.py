@@ -135,23 +135,27 @@ def canonical_alias(df: DataFrame, vintages: dict[int, str], year: int, name: st
     return df.withColumn(name, F.col(vintages[year]))
 
 
-def pivot_estimates(df: DataFrame, key: str, code: str, value: str, names: dict[int, str]) -> DataFrame:
-    """Long estimates to a column for each code; an unknown code raises."""
+def pivot_estimates(df: DataFrame, key: str, code: str, value: str, names: dict[int, str], point: str | None = None) -> DataFrame:
+    """Long estimates to a column for each code; a code that is unknown or null raises, and so does a unit whose estimate `point` is missing or not positive."""
     cells = [F.min(F.when(F.col(code) == c, F.col(value))).alias(name) for c, name in names.items()]
-    known = F.when(F.max(~F.col(code).isin(*names)), F.raise_error(F.lit("unknown estimate code")).cast("boolean"))
-    return df.groupBy(key).agg(*cells, known.alias("_known")).where("_known IS NULL").drop("_known")
+    known = F.when(F.max(F.coalesce(~F.col(code).isin(*names), F.lit(True))), F.raise_error(F.lit("unknown estimate code")).cast("boolean"))
+    wide = df.groupBy(key).agg(*cells, known.alias("_known")).where("_known IS NULL").drop("_known")
+    if point is None:
+        return wide
+    at = lambda text: F.raise_error(F.concat(F.lit(f"{text} {point}: "), F.coalesce(F.col(key).cast("string"), F.lit("null")))).cast(dict(wide.dtypes)[point])
+    return wide.withColumn(point, F.when(F.col(point).isNull() | F.isnan(F.col(point).cast("double")), at("no")).when(F.col(point) <= 0, at("not positive:")).otherwise(F.col(point)))
 
 
 def annual_from_months(df: DataFrame, key: str, month: str, value: str) -> DataFrame:
-    """(key, mean, sum, min, max, n_months, complete) over a unit's months."""
-    n = F.count(value)
-    return df.groupBy(key).agg(F.avg(value).alias("mean"), F.sum(value).alias("total"), F.min(value).alias("low"), F.max(value).alias("high"), n.alias("n_months"), (n == 12).alias("complete"))
+    """(key, mean, sum, min, max, n_months, complete) over a unit's months; complete: twelve different months have a value."""
+    n, months = F.count(value), F.size(F.collect_set(F.when(F.col(value).isNotNull(), F.col(month))))
+    return df.groupBy(key).agg(F.avg(value).alias("mean"), F.sum(value).alias("total"), F.min(value).alias("low"), F.max(value).alias("high"), n.alias("n_months"), (months == 12).alias("complete"))
 
 
 def band_share(df: DataFrame, key: str, age: str, count: str, low: int, high: int) -> DataFrame:
-    """Share of the count whose age lies in low..high; null where the total is not positive."""
+    """Share of the count whose age lies in low..high; null where the total is not positive, and a share outside 0..1 raises."""
     band = F.sum(F.when(F.col(age).between(low, high), F.col(count)).otherwise(0))
-    return df.groupBy(key).agg(band.alias("band"), F.sum(count).alias("total")).withColumn("share", F.when(F.col("total") > 0, F.col("band") / F.col("total")))
+    return df.groupBy(key).agg(band.alias("band"), F.sum(count).alias("total")).withColumn("share", guarded_share(F.col("band"), F.col("total")))
 
 
 def source_fallback(primary: Column, secondary: Column, name: str) -> list[Column]:

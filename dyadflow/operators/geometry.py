@@ -1,7 +1,7 @@
 """Polygons as vertex tables (code, part, ring, seq, lon, lat): containment, areas, interior points, dissolving.
 
 A ring's vertices are in order by seq and closed by the first. A point is inside if a ray from it crosses the rings' edges an odd number of times, so
-holes need no orientation. Points on an edge may fall to either side.
+holes need no orientation. Points on an edge may fall to either side. Polygons are covered by the cells of a grid, so that only points near an edge are tested.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dyadflow.errors import PipelineError
+from dyadflow.sources.tables import written
 
 RING = ["code", "part", "ring"]
 
@@ -23,19 +24,57 @@ def edges(polygons: DataFrame) -> DataFrame:
     return polygons.select(*RING, F.col("lon").alias("lon1"), F.col("lat").alias("lat1"), after("lon").alias("lon2"), after("lat").alias("lat2"))
 
 
+def bounded(polygons: DataFrame, size: float) -> DataFrame:
+    """(code, c, r): the cells of a grid that an edge runs through, each once; rounding counts a cell too many rather than one too few."""
+    e = edges(polygons)
+    slack = 1e-9 * size
+    low, high = F.least("lon1", "lon2"), F.greatest("lon1", "lon2")
+    columns = e.withColumn("c", F.explode(F.sequence(F.floor((low - slack) / size), F.floor((high + slack) / size))))
+    # the part of the edge within a column of cells, and the rows of cells that it spans there
+    steep = F.when(high > low, (F.col("lat2") - F.col("lat1")) / (F.col("lon2") - F.col("lon1")))
+    at = lambda x: F.col("lat1") + steep * (F.least(F.greatest(x, low), high) - F.col("lon1"))
+    a, b = F.coalesce(at(F.col("c") * size), "lat1"), F.coalesce(at((F.col("c") + 1) * size), "lat2")
+    rows = F.sequence(F.floor((F.least(a, b) - slack) / size), F.floor((F.greatest(a, b) + slack) / size))
+    return columns.withColumn("r", F.explode(rows)).select("code", "c", "r").distinct()
+
+
+def cell_cover(polygons: DataFrame, size: float) -> DataFrame:
+    """(code, c, r, edge): the cells of a grid that polygons cover: those that an edge runs through, and those inside.
+
+    A row of cells is crossed along its middle: between an odd and the next crossing lie the cells inside.
+    """
+    edge = bounded(polygons, size)
+    low, high = F.least("lat1", "lat2"), F.greatest("lat1", "lat2")
+    middle = (F.col("r") + 0.5) * size
+    rows = edges(polygons).where("lat1 <> lat2").withColumn("r", F.explode(F.sequence(F.floor(low / size), F.floor(high / size)))).where((F.col("lat1") > middle) != (F.col("lat2") > middle))
+    x = F.col("lon1") + (middle - F.col("lat1")) * (F.col("lon2") - F.col("lon1")) / (F.col("lat2") - F.col("lat1"))
+    by = Window.partitionBy("code", "r").orderBy("x")  # the crossings of one polygon in one row
+    runs = rows.select("code", "r", x.alias("x")).withColumns({"i": F.row_number().over(by), "to": F.lead("x").over(by)}).where("i % 2 = 1 AND to IS NOT NULL")
+    inside = runs.withColumn("c", F.explode(F.sequence(F.floor(F.col("x") / size), F.floor(F.col("to") / size)))).select("code", "c", "r").distinct()
+    return inside.join(edge, ["code", "c", "r"], "left_anti").withColumn("edge", F.lit(False)).unionByName(edge.withColumn("edge", F.lit(True)))
+
+
 def point_in_polygon(points: DataFrame, polygons: DataFrame, key: list[str], cell: float = 1.0, own: str | None = None) -> DataFrame:
     """(key, code) of points (key, lon, lat) inside a polygon; with `own`, a column of points, only that polygon is asked.
 
-    Edges are dealt to horizontal bands of height `cell`; a point meets the edges of its own band, an equi-join.
+    Points meet the cells that polygons cover: inside a cell that no edge runs through an equi-join decides; in the other cells a point meets that polygon's edges
+    in its row of cells. So the rows are those of the points, and of points near an edge times the edges of one polygon in one row.
     """
+    cover = written(cell_cover(polygons, cell))
+    at = {"c": F.floor(F.col("lon") / cell), "r": F.floor(F.col("lat") / cell)}
+    if own:
+        met = points.select(*key, "lon", "lat", F.col(own).alias("_own")).withColumnRenamed("_own", "_code").withColumns(at)
+        met = met.join(cover.withColumnRenamed("code", "_code"), ["_code", "c", "r"])
+    else:
+        met = points.select(*key, "lon", "lat").withColumns(at).join(cover.withColumnRenamed("code", "_code"), ["c", "r"])
+    sure = met.where("not edge").select(*key, F.col("_code").alias("_in"))
     low, high = F.least("lat1", "lat2"), F.greatest("lat1", "lat2")
-    banded = edges(polygons).where("lat1 <> lat2").withColumn("band", F.explode(F.sequence(F.floor(low / cell), F.floor(high / cell))))
-    placed = points.withColumn("band", F.floor(F.col("lat") / cell))
-    met = placed.withColumn("code", F.col(own)).join(banded, ["band", "code"]) if own and own != "code" else placed.join(banded, ["band", "code"] if own else ["band"])
+    banded = edges(polygons).where("lat1 <> lat2").withColumn("r", F.explode(F.sequence(F.floor(low / cell), F.floor(high / cell)))).select(F.col("code").alias("_code"), "r", "lon1", "lat1", "lon2", "lat2")
     spans = (F.col("lat1") > F.col("lat")) != (F.col("lat2") > F.col("lat"))
-    at = F.col("lon1") + (F.col("lat") - F.col("lat1")) * (F.col("lon2") - F.col("lon1")) / (F.col("lat2") - F.col("lat1"))
-    crossed = met.where(spans & (F.col("lon") < at)).groupBy(*key, "code").agg(F.count(F.lit(1)).alias("_n"))
-    return crossed.where("_n % 2 = 1").select(*key, "code")
+    x = F.col("lon1") + (F.col("lat") - F.col("lat1")) * (F.col("lon2") - F.col("lon1")) / (F.col("lat2") - F.col("lat1"))
+    crossed = met.where("edge").join(banded, ["_code", "r"]).where(spans & (F.col("lon") < x)).groupBy(*key, F.col("_code").alias("_in")).agg(F.count(F.lit(1)).alias("_n"))
+    both = sure.unionByName(crossed.where("_n % 2 = 1").select(*key, "_in"))
+    return both.select(*[F.col(k) for k in key if k != "code"], F.col("_in").alias("code"))
 
 
 def cells_touched(cells: DataFrame, polygons: DataFrame, key: list[str], size: float) -> DataFrame:

@@ -10,16 +10,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dyadflow.errors import PipelineError
+from dyadflow.operators.order import quantiles_by
+from dyadflow.sources.tables import written
+
+
+def quantile_cuts(df: DataFrame, value: str, classes: int) -> DataFrame:
+    """One row (_cuts): the different values that part so many quantile classes."""
+    cuts = quantiles_by(df, value, [i / classes for i in range(1, classes)])
+    return cuts.agg(F.array_sort(F.collect_set("quantile")).alias("_cuts"))
 
 
 def unit_split(units: DataFrame, key: str, value: str, order: Column, test_share: float = 0.2, classes: int = 3) -> DataFrame:
     """(key, stratum, split): within each quantile class of the value, the first share of the units by `order` is the test set."""
     known = units.where(F.col(value).isNotNull())
-    cuts = known.agg(F.percentile(value, [i / classes for i in range(1, classes)]).alias("_cuts"))
-    placed = known.join(F.broadcast(cuts)).withColumn("stratum", F.size(F.filter("_cuts", lambda c: c < F.col(value))))
-    by = Window.partitionBy("stratum")
-    rank = F.row_number().over(by.orderBy(order, key))
-    return placed.select(key, "stratum", F.when(rank <= F.ceil(test_share * F.count(F.lit(1)).over(by)), "test").otherwise("train").alias("split"))
+    placed = known.join(F.broadcast(quantile_cuts(known, value, classes))).select(key, F.size(F.filter("_cuts", lambda c: c < F.col(value))).alias("stratum"), order.alias("_order"))
+    placed = written(numbered(placed, ["stratum", "_order", key]))
+    sizes = placed.groupBy("stratum").agg(F.min("i").alias("_first"), F.count(F.lit(1)).alias("_n"))  # a row for each class
+    test = F.col("i") - F.col("_first") < F.ceil(test_share * F.col("_n"))
+    return placed.join(F.broadcast(sizes), "stratum").select(key, "stratum", F.when(test, "test").otherwise("train").alias("split"))
 
 
 def dyad_split(panel: DataFrame, units: DataFrame, key: str) -> DataFrame:
@@ -54,8 +62,7 @@ def flow_metrics(df: DataFrame, y: str, p: str, *by: str) -> DataFrame:
 def quantile_bins(df: DataFrame, x: str, y: str, bins: int | None = None) -> DataFrame:
     """Means of x and y in quantile bins of x, closed on the right; a fifth of the rows, but 2 to 20, where no number is given."""
     bins = bins or min(20, max(2, df.where(F.col(x).isNotNull()).count() // 5))
-    cuts = df.agg(F.array_distinct(F.percentile(x, [i / bins for i in range(1, bins)])).alias("_cuts"))
-    placed = df.join(F.broadcast(cuts)).withColumn("bin", F.size(F.filter("_cuts", lambda c: c < F.col(x))))
+    placed = df.join(F.broadcast(quantile_cuts(df, x, bins))).withColumn("bin", F.size(F.filter("_cuts", lambda c: c < F.col(x))))
     return placed.groupBy("bin").agg(F.avg(x).alias("mean_x"), F.avg(y).alias("mean_y"), F.count(F.lit(1)).alias("n"))
 
 
@@ -112,15 +119,44 @@ def duplicate_negatives(rows: DataFrame, y: str, order: list[str], rate: float =
     return rows.unionByName(zero.select(rows.columns))
 
 
-def unseen_pair_negatives(known: DataFrame, units: DataFrame, n: int, edge_features: list[str], y: str, key: str = "code", seed: int = 7) -> DataFrame:
-    """n ordered pairs of different units that are not in known, with y and the edge features 0, drawn by a hash of their number."""
-    placed = numbered(units.select(key).distinct(), [key])
+def absent_pairs_by_origin(known: DataFrame, units: DataFrame, key: str = "code", block: int = 4096) -> tuple[DataFrame, DataFrame]:
+    """((a, orig, first, absent, shifts), numbered units (i, key)), written: pairs of different units that known lacks, counted and ranked by origin, then destination.
+
+    shifts has, for each number of the origin's own or a known destination in order, that number less its place: the r-th absent destination is r plus
+    how many shifts are at most r.
+    """
+    placed = written(numbered(units.select(key).where(F.col(key).isNotNull()).distinct(), [key]))
+    a = placed.select(F.col("i").alias("a"), F.col(key).alias("orig"))
+    pairs = known.select("orig", "dest").where("orig <> dest").distinct().join(a, "orig").join(placed.select(F.col("i").alias("b"), F.col(key).alias("dest")), "dest")
+    taken = pairs.groupBy("a").agg(F.collect_set("b").alias("b"))  # at most the number of units
+    own = a.join(taken, "a", "left").withColumn("b", F.array_sort(F.array_union(F.array("a"), F.coalesce("b", F.array().cast("array<long>")))))
     m = placed.count()
-    draws = known.sparkSession.range(2 * n + 50).select("id", *[F.pmod(F.xxhash64("id", F.lit(seed), F.lit(role)), F.lit(max(1, m))).alias(role) for role in ("a", "b")]).where("a <> b")
-    first = draws.groupBy("a", "b").agg(F.min("id").alias("id"))
-    named = first.join(placed.select(F.col("i").alias("a"), F.col(key).alias("orig")), "a").join(placed.select(F.col("i").alias("b"), F.col(key).alias("dest")), "b")
-    free = named.join(known.select("orig", "dest"), ["orig", "dest"], "left_anti")
-    return free.orderBy("id").limit(n).select("orig", "dest", F.lit(0.0).alias(y), *[F.lit(0.0).alias(e) for e in edge_features])
+    counted = own.select("a", "orig", (F.lit(m) - F.size("b")).cast("long").alias("absent"), F.transform("b", lambda x, i: x - i).alias("shifts"), F.floor(F.col("a") / block).alias("_block"))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    totals = counted.groupBy("_block").agg(F.sum("absent").alias("_n")).select("_block", F.coalesce(F.sum("_n").over(before(Window.orderBy("_block"))), F.lit(0)).alias("_first"))  # a row for each block
+    first = F.col("_first") + F.coalesce(F.sum("absent").over(before(Window.partitionBy("_block").orderBy("a"))), F.lit(0))
+    return written(counted.join(F.broadcast(totals), "_block").select("a", "orig", first.alias("first"), "absent", "shifts")), placed
+
+
+def unseen_pair_negatives(known: DataFrame, units: DataFrame, n: int, edge_features: list[str], y: str, key: str = "code", seed: int = 7) -> DataFrame:
+    """n different ordered pairs of different units that are not in known, with y and the edge features 0; fewer absent pairs than n raise.
+
+    The absent pairs are ranked by origin and destination and cut into n stretches that differ by one at most; each gives one pair, whose place in the stretch follows from the stretch's number and the seed.
+    """
+    spark = known.sparkSession
+    origins, placed = absent_pairs_by_origin(known, units, key)
+    total = origins.agg(F.coalesce(F.sum("absent"), F.lit(0))).head()[0]
+    if total < n:
+        raise PipelineError(f"{n} pairs are wanted, but {total} are absent")
+    start, end = (F.expr(f"CAST((CAST(id AS DECIMAL(20, 0)) + {d}) * {total} DIV {max(1, n)} AS BIGINT)") for d in (0, 1))
+    drawn = spark.range(n).select((start + F.pmod(F.col("id") * 7919 + seed * 104729, end - start)).alias("rank"))
+    # an origin's ranks are a range: both sides are dealt to cells about as wide as the ranges are on average
+    width = max(1, total // max(1, placed.count()))
+    ranges = origins.where("absent > 0").withColumn("cell", F.explode(F.sequence(F.floor(F.col("first") / width), F.floor((F.col("first") + F.col("absent") - 1) / width))))
+    met = drawn.withColumn("cell", F.floor(F.col("rank") / width)).join(ranges, "cell").where("rank >= first AND rank < first + absent")
+    r = F.col("rank") - F.col("first")
+    found = met.select("orig", (r + F.size(F.filter("shifts", lambda x: x <= r))).alias("i")).join(placed, "i")
+    return found.select("orig", F.col(key).alias("dest"), F.lit(0.0).alias(y), *[F.lit(0.0).alias(e) for e in edge_features])
 
 
 def anti_known_pairs(pairs: DataFrame, known: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dyadflow.errors import DecisionRequired, PipelineError
+from dyadflow.operators.order import quantiles_by
+from dyadflow.sources.tables import written
 
 
 def missingness(df: DataFrame) -> DataFrame:
@@ -21,14 +23,13 @@ def typed_missingness(df: DataFrame) -> DataFrame:
     return missingness(df).withColumn("type", types[F.col("column")]).orderBy(F.desc("pct"), "column")
 
 
-def value_positions(df: DataFrame, value: str, ranges: int = 256) -> DataFrame:
+def value_positions(df: DataFrame, value: str) -> DataFrame:
     """(value, n, below): each different value with its number of rows and that of the rows below it.
 
-    Values are dealt into ranges by approximate quantiles; a range's first position comes from the ranges' totals, which are few.
+    Values are dealt into ranges, as many as shuffles have partitions; a range's first position comes from the ranges' totals, which are few.
     """
     counted = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    cuts = sorted(set(counted.approxQuantile("value", [i / ranges for i in range(1, ranges)], 1 / (4 * ranges))))
-    placed = counted.withColumn("_range", F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<double>"), lambda c: c < F.col("value"))) if cuts else F.lit(0))
+    placed = written(counted.repartitionByRange("value").withColumn("_range", F.spark_partition_id()))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
     totals = placed.groupBy("_range").agg(F.sum("n").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
     inside = Window.partitionBy("_range").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
@@ -36,16 +37,8 @@ def value_positions(df: DataFrame, value: str, ranges: int = 256) -> DataFrame:
 
 
 def exact_quantiles(df: DataFrame, value: str, shares: list[float]) -> DataFrame:
-    """(share, quantile), interpolated between neighbours, without a buffer of all values in one task."""
-    positions = value_positions(df, value)
-    n = positions.agg(F.sum("n")).head()[0] or 0
-    asked = [(s, s * (n - 1)) for s in shares]
-    wanted = F.array(*[F.struct(F.lit(float(s)).alias("share"), F.lit(float(at)).alias("at")) for s, at in asked])
-    near = positions.withColumn("q", F.explode(F.filter(wanted, lambda q: (q["at"] > F.col("below") - 1) & (q["at"] < F.col("below") + F.col("n")))))
-    low = (F.floor("q.at") >= F.col("below")) & (F.floor("q.at") < F.col("below") + F.col("n"))
-    high = (F.ceil("q.at") >= F.col("below")) & (F.ceil("q.at") < F.col("below") + F.col("n"))
-    found = near.groupBy("q.share", "q.at").agg(F.max(F.when(low, F.col("value"))).alias("a"), F.max(F.when(high, F.col("value"))).alias("b"))
-    return found.select("share", (F.col("a") + (F.col("b") - F.col("a")) * (F.col("at") - F.floor("at"))).alias("quantile"))
+    """(share, quantile), interpolated between neighbours; see order.py."""
+    return quantiles_by(df, value, shares)
 
 
 def summary(df: DataFrame, value: str) -> DataFrame:
@@ -68,11 +61,11 @@ def average_ranks(df: DataFrame, key: str, value: str) -> DataFrame:
 
 def source_agreement(df: DataFrame, key: str, a: str, b: str, least: int = 30) -> DataFrame:
     """How two sources of a value agree where both are positive: n, correlations, median ratio."""
-    both = df.where((F.col(a) > 0) & (F.col(b) > 0)).select(key, a, b)
+    both = written(df.where((F.col(a) > 0) & (F.col(b) > 0)).select(key, a, b))
     ranks = average_ranks(both, key, a).withColumnRenamed("rank", "_ra").join(average_ranks(both, key, b).withColumnRenamed("rank", "_rb"), key)
-    found = both.join(ranks, key).agg(
-        F.count(F.lit(1)).alias("n"), F.corr(F.ln(a), F.ln(b)).alias("r_log"), F.corr(a, b).alias("r_level"), F.corr("_ra", "_rb").alias("spearman"), F.median(F.col(a) / F.col(b)).alias("median_ratio")
-    )
+    found = both.join(ranks, key).agg(F.count(F.lit(1)).alias("n"), F.corr(F.ln(a), F.ln(b)).alias("r_log"), F.corr(a, b).alias("r_level"), F.corr("_ra", "_rb").alias("spearman"))
+    median = exact_quantiles(both.select((F.col(a) / F.col(b)).alias("ratio")), "ratio", [0.5]).agg(F.max("quantile").alias("median_ratio"))
+    found = found.join(F.broadcast(median))
     return found.withColumn("n", F.when(F.col("n") < least, F.raise_error(F.lit(f"fewer than {least} units in both sources")).cast("long")).otherwise(F.col("n")))
 
 

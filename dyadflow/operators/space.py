@@ -6,13 +6,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def zonal_mean(cells: DataFrame, zone: str, value: str = "value", weight: str = "weight") -> DataFrame:
-    """Weighted mean over cells with a value and a positive weight; the plain mean, so labelled, where no weight is positive."""
+def zonal_mean(cells: DataFrame, zone: str, value: str = "value", weight: str = "weight", zones: DataFrame | None = None) -> DataFrame:
+    """(zone, mean, plain_mean, low, high, weight_sum, n_cells, method): weighted mean over cells with a value and a positive weight; the plain mean, so labelled, where no weight is positive.
+
+    low, high and n_cells are those of the cells that were averaged. A mean outside them (weights or values went wrong) raises. With zones (zone), those
+    without a cell have a row too, labelled no_overlap.
+    """
     live = F.col(value).isNotNull() & (F.col(weight) > 0)
-    w = F.when(live, F.col(weight))
-    mean = F.sum(F.when(live, F.col(value) * F.col(weight))) / F.nullif(F.sum(w), F.lit(0.0))
-    label = F.when(F.sum(w) > 0, "population_weighted").when(F.count(value) > 0, "unweighted_fallback").otherwise("no_valid_cells")
-    return cells.groupBy(zone).agg(F.coalesce(mean, F.avg(value)).alias("mean"), F.avg(value).alias("plain_mean"), F.coalesce(F.sum(w), F.lit(0.0)).alias("weight_sum"), F.count(w).alias("n_cells"), label.alias("method"))
+    w, v = F.when(live, F.col(weight)), F.when(live, F.col(value))
+    weighted = F.sum(w) > 0
+    mean = F.coalesce(F.sum(v * w) / F.nullif(F.sum(w), F.lit(0.0)), F.avg(value))
+    low, high = (F.when(weighted, f(v)).otherwise(f(value)) for f in (F.min, F.max))
+    outside = (mean < low - 1e-9 * (1 + F.abs(low))) | (mean > high + 1e-9 * (1 + F.abs(high)))
+    checked = F.when(outside, F.raise_error(F.lit("a weighted mean is outside the range of its cells")).cast("double")).otherwise(mean)
+    label = F.when(weighted, "population_weighted").when(F.count(value) > 0, "unweighted_fallback").otherwise("no_valid_cells")
+    n = F.when(weighted, F.count(w)).otherwise(F.count(value))
+    out = cells.groupBy(zone).agg(checked.alias("mean"), F.avg(value).alias("plain_mean"), low.alias("low"), high.alias("high"), F.coalesce(F.sum(w), F.lit(0.0)).alias("weight_sum"), n.alias("n_cells"), label.alias("method"))
+    if zones is None:
+        return out
+    return zones.select(zone).distinct().join(out, zone, "left").fillna({"weight_sum": 0.0, "n_cells": 0, "method": "no_overlap"})
 
 
 def regrid_sum(cells: DataFrame, factor: int, weight: str = "weight") -> DataFrame:
@@ -32,8 +44,10 @@ def knn_weights(pairs: DataFrame, k: int, distance: str) -> DataFrame:
 
 
 def spatial_lag(weights: DataFrame, units: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, lag): the weighted sum of the neighbours' values; 0 for a unit that has no neighbour."""
     there = weights.join(units.select(F.col(key).alias("dest"), F.col(value).alias("_v")), "dest")
-    return there.groupBy(F.col("orig").alias(key)).agg(F.sum(F.col("weight") * F.col("_v")).alias("lag"))
+    lags = there.groupBy(F.col("orig").alias(key)).agg(F.sum(F.col("weight") * F.col("_v")).alias("lag"))
+    return units.select(key).distinct().join(lags, key, "full_outer").fillna(0.0, ["lag"])
 
 
 def morans_i(weights: DataFrame, units: DataFrame, key: str, value: str) -> DataFrame:

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dyadflow.functions.distance import distance_gap, internal_distance_km, pair_distances
+from dyadflow.functions.keys import safe_ratio
+from dyadflow.operators import assemble as assembly
 from dyadflow.operators import geometry, models, panel, quality, space
+from dyadflow.operators import neighbours as near
 from dyadflow.plans import standins as s
 from dyadflow.plans.catalog import flows, query, r
 
@@ -119,3 +122,71 @@ FROM t LEFT JOIN points a ON a.code = orig LEFT JOIN points b ON b.code = dest""
 def edges_to_draw(spark, sf):
     found = models.top_edges(flows(spark, sf), s.points(spark, sf), 40)
     return found.select("orig", "dest", "migrants", *[r(c, 6) for c in ("weight", "lat_orig", "lon_orig", "lat_dest", "lon_dest")])
+
+
+#: The covariates of the assembled panel, in SQL: two sources of income, weather of a window in F and m, ages of the records' destinations.
+WEATHER = f"weather AS (SELECT {s.Z.format('l_partkey')} AS code, 50 + 400 * (sum(l_discount) / count(*)) AS temp, 10 * (sum(l_tax) / count(*)) AS precip FROM lineitem GROUP BY 1)"
+AGES = "ages AS (SELECT dest AS code, CAST(sum(CASE WHEN age BETWEEN 15 AND 29 THEN w END) AS DOUBLE) AS youth, CAST(sum(CASE WHEN age BETWEEN 15 AND 64 THEN w END) AS DOUBLE) AS working FROM records GROUP BY 1)"
+ENDS = """o.pop_1 AS src_pop, d.pop_2 AS dst_pop, round(o.income_1, 4) AS src_gdppc, round(d.income_1, 4) AS dst_gdppc, round(o.income_2, 4) AS src_income, round(d.income_2, 4) AS dst_income,
+  round(o.temp, 4) AS src_temp, round(d.temp, 4) AS dst_temp, round(o.precip, 4) AS src_precip, round(d.precip, 4) AS dst_precip, o.period AS climate_period, round(o.youth / o.working, 6) AS src_dempres, round(d.youth / d.working, 6) AS dst_dempres"""
+
+
+def covariates(spark, sf):
+    a, b = s.vintages(spark, sf)
+    of_part = s.zone("l_partkey").alias("code")
+    weather = s.table(spark, sf, "lineitem").groupBy(of_part).agg((50 + 400 * F.avg("l_discount")).alias("temp"), (10 * F.avg("l_tax")).alias("precip"))
+    climate, _ = assembly.climate_provider("era5_gee", {"climate_gee": weather}, (2016, 2020))
+    age = F.col("age")
+    ages = s.records(spark, sf).groupBy(F.col("dest").alias("code")).agg(F.sum(F.when(age.between(15, 29), F.col("w"))).cast("double").alias("youth"), F.sum(F.when(age.between(15, 64), F.col("w"))).cast("double").alias("working"))
+    return [
+        assembly.UnitTable("population", a.select("code", "pop_1").join(b.select("code", "pop_2"), "code", "full_outer"), {"pop_1": "pop_orig"}, {"pop_2": "pop_dest"}, required=True),
+        assembly.UnitTable("gdp", a.select("code", F.round("income_1", 4).alias("gdppc")), {"gdppc": "gdppc_orig"}, {"gdppc": "gdppc_dest"}),
+        assembly.UnitTable("income", b.select("code", F.round("income_2", 4).alias("income")), {"income": "income_orig"}, {"income": "income_dest"}),
+        assembly.UnitTable("climate", climate.withColumns({c: F.round(c, 4) for c in ("temp_c", "precip_mm")}), {"temp_c": "temp_orig", "precip_mm": "precip_orig", "climate_period": "climate_period"}, {"temp_c": "temp_dest", "precip_mm": "precip_dest"}),
+        assembly.UnitTable("demography", ages.select("code", F.round(safe_ratio(F.col("youth"), F.col("working")), 6).alias("dempres")), {"dempres": "dempres_orig"}, {"dempres": "dempres_dest"}),
+    ]
+
+
+PANEL_NAMES = {"orig": "src_code", "dest": "dst_code"} | {f"{c}_{end}": f"{prefix}_{c}" for c in ("pop", "gdppc", "income", "temp", "precip", "dempres") for end, prefix in (("orig", "src"), ("dest", "dst"))}
+PANEL_SPEC = [(c, c.replace("_", " "), "", "given tables", "", "") for c in [*PANEL_NAMES.values(), "migrants", "migrants_unweighted", "flow_observed", "zero_class", "dist_km", "climate_period"]]
+
+
+@query(f"""WITH {s.RECORDS}, {s.UNITS}, {s.FLOWS.replace(' AS (', ' AS MATERIALIZED (', 1)}, {s.VINTAGES}, {s.POINTS}, {s.DISTANCES.replace(' AS (', ' AS MATERIALIZED (', 1)}, {s.PANEL.replace(' AS (', ' AS MATERIALIZED (', 1)}, {WEATHER}, {AGES},
+u AS MATERIALIZED (SELECT units.code, pop_1, pop_2, income_1, income_2, (temp - 32) / 1.8 AS temp, precip * 1000 AS precip, CASE WHEN temp IS NOT NULL THEN '2016-2020' END AS period, youth, working
+  FROM units LEFT JOIN v1 USING (code) LEFT JOIN v2 USING (code) LEFT JOIN weather USING (code) LEFT JOIN ages USING (code))
+SELECT panel.orig AS src_code, panel.dest AS dst_code, migrants, n AS migrants_unweighted, n > 0 AS flow_observed, CASE WHEN n > 0 THEN 'observed_positive'
+  WHEN panel.orig IN (SELECT orig FROM flows WHERE orig <> dest) AND panel.dest IN (SELECT dest FROM flows WHERE orig <> dest) THEN 'sampling_zero_plausible' ELSE 'structural_zero_likely' END AS zero_class, round(km, 4) AS dist_km, {ENDS}
+FROM panel JOIN u o ON o.code = panel.orig JOIN u d ON d.code = panel.dest JOIN dist ON dist.orig = panel.orig AND dist.dest = panel.dest""")
+def assembled_panel(spark, sf):
+    """The whole panel with population, two sources of income, climate and demography of both ends, all gates passed."""
+    pairs = s.distances(spark, sf).select("orig", "dest", r("km").alias("dist_km"))
+    sparse = flows(spark, sf).where("orig <> dest")
+    return assembly.assemble(sparse, s.units(spark, sf), covariates(spark, sf), None, PANEL_SPEC, PANEL_NAMES, pairs, ["dist_km"]).panel
+
+
+#: Customers as points: longitude by balance, latitude by its last digits.
+CUSTOMERS = """cust AS MATERIALIZED (SELECT c_custkey AS code, -118 + 31 * ((c_acctbal + 1000) / 11000) AS lon, 14 + 19 * ((CAST(round(c_acctbal * 100) AS BIGINT) + 100000) * 7919 % 10007 / 10007.0::DOUBLE) AS lat,
+  CASE WHEN c_custkey % 7 <> 0 THEN c_acctbal END AS balance FROM customer)"""
+SPHERE = "2 * 6371.0088 * asin(sqrt(least(1.0, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))))"
+
+
+def customers(spark, sf):
+    cents = F.round(F.col("c_acctbal") * 100).cast("long") + 100_000
+    lon, lat = -118 + 31 * ((F.col("c_acctbal") + 1000) / 11000), 14 + 19 * (cents * 7919 % 10007 / F.lit(10007.0))
+    return s.table(spark, sf, "customer").select(F.col("c_custkey").alias("code"), lon.alias("lon"), lat.alias("lat"), F.when(F.col("c_custkey") % 7 != 0, F.col("c_acctbal")).alias("balance"))
+
+
+@query(f"""WITH {CUSTOMERS}, near AS (SELECT a.code AS orig, b.code AS dest, sqrt(pow(a.lon - b.lon, 2) + pow(a.lat - b.lat, 2)) AS distance FROM cust a JOIN cust b ON a.code <> b.code)
+SELECT orig, dest, round(distance, 6) AS distance, CAST(row_number() OVER (PARTITION BY orig ORDER BY distance, dest) AS INTEGER) AS rank FROM near QUALIFY rank <= 5""")
+def nearest_customers(spark, sf):
+    """The five nearest of every customer in plain degrees, by a grid and growing rings."""
+    points = customers(spark, sf)
+    return near.nearest(points, points, 5, near.Degrees()).withColumn("distance", F.round("distance", 6))
+
+
+@query(f"""WITH {CUSTOMERS}, near AS (SELECT a.code, b.balance, {SPHERE} AS km FROM cust a JOIN cust b ON a.balance IS NULL AND b.balance IS NOT NULL QUALIFY row_number() OVER (PARTITION BY a.code ORDER BY km, b.code) <= 8),
+made AS (SELECT code, sum(balance / (km * km)) / sum(1 / (km * km)) AS x FROM near GROUP BY 1)
+SELECT cust.code, round(coalesce(balance, x), 2) AS balance, CASE WHEN balance IS NOT NULL THEN 'given' ELSE 'idw_knn_fill' END AS method FROM cust LEFT JOIN made USING (code)""")
+def balances_filled_nearby(spark, sf):
+    """Missing balances from the eight nearest customers on the sphere."""
+    return near.idw_points(customers(spark, sf), "balance").select("code", r("balance", 2), "method")
