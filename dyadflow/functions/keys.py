@@ -19,9 +19,9 @@ def compose_code(state: Column, unit: Column) -> Column:
 
 
 def canonical_state(state: Column) -> Column:
-    """A wider numeric state field ("007", "7.0") as two digits; what is no number is null, a number that is not a whole one of 1 to 99 raises."""
+    """A wider numeric state field ("007", "7.0") as two digits; what is no number is null, a number that is not a whole one of 0 to 99 raises."""
     number = F.trim(state).try_cast("double")
-    whole = (number == F.floor(number)) & number.between(1, 99)
+    whole = (number == F.floor(number)) & number.between(0, 99)
     return F.when(number.isNotNull() & ~F.isnan(number), F.when(whole, F.lpad(number.cast("int").cast("string"), 2, "0")).otherwise(F.raise_error(F.concat(F.lit("not a state: "), state)).cast("string")))
 
 
