@@ -261,3 +261,40 @@ def test_rows_that_take_no_part_and_large_numbers(spark):
 
 def test_registered():
     assert {"op11_hard_negatives", "op12_periodic_runs", "op13_private_data"} <= set(registry.queries())
+
+
+# Mining of url rules (its other tests are in test_brute_force.py)
+
+
+def mined(spark, rows, *bounds, **more):
+    from dyadflow.llm import urls
+
+    return {tuple(r.antecedent): (round(r.confidence, 9), round(r.support, 9)) for r in urls.mine_rules(spark.createDataFrame(rows, "tokens array<string>, bad boolean"), *bounds, **more).collect()}
+
+
+def test_deep_shared_paths_are_one_item(spark):
+    """Forty pages of thirty shared segments: every subset of the segments is frequent, and says the same."""
+    deep = [f"p:segment{i}" for i in range(30)]
+    rows = [([*deep, f"q:{i % 7}"], i % 10 != 0) for i in range(40)] + [(["h:other", f"q:{i % 7}"], False) for i in range(60)]
+    assert mined(spark, rows, 0.01, 0.7, 10) == {(s,): (0.9, 0.36) for s in deep}
+    # all rows share the path: it tells nothing
+    assert mined(spark, [(deep, i % 2 == 0) for i in range(40)], 0.01, 0.4, 5) == {}
+    assert mined(spark, [], 0.01, 0.4, 5) == {}
+
+
+def test_wide_rows_are_mined_up_to_pairs(spark):
+    """Each row lacks one of forty segments, so no two segments are in the same rows: pairs are as far as it goes."""
+    segments = [f"p:{i:02d}" for i in range(40)]
+    rows = [([x for j, x in enumerate(segments) if j != i % 40], i % 3 != 0) for i in range(160)] + [(["h:bad", "h:pair", *segments[:3]], True)] * 20 + [(["h:pair", "h:odd"], False)] * 20
+    got = mined(spark, rows, 0.01, 0.9, 10, widest=14)
+    sets = [(frozenset(t), bad) for t, bad in rows]
+    n, bad_share = len(rows), sum(b for _, b in sets) / len(rows)
+    want = {}
+    for a in range(len(segments) + 3):
+        for pair in {("h:bad", "h:pair", "h:odd", *segments)[a]} and [(("h:bad", "h:pair", "h:odd", *segments)[a],)] + [tuple(sorted((("h:bad", "h:pair", "h:odd", *segments)[a], x))) for x in segments]:
+            own = [b for t, b in sets if set(pair) <= t]
+            if len(set(pair)) == len(pair) and sum(own) >= 10 and sum(own) / len(own) >= 0.9 and sum(own) / len(own) / bad_share >= 1.2:
+                want[pair] = (round(sum(own) / len(own), 9), round(sum(own) / n, 9))
+    general = {r for r in want if not any(set(o) < set(r) for o in want)}
+    assert {r: v for r, v in got.items() if "h:pair" not in r or len(r) == 1} == {r: want[r] for r in general if "h:pair" not in r or len(r) == 1}
+    assert ("h:bad",) in got
