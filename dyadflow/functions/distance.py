@@ -32,19 +32,42 @@ def _reduced(lat: np.ndarray) -> np.ndarray:
     return np.arctan((1 - FLATTENING) * np.tan(lat))
 
 
-def _meridian_km(lat: np.ndarray) -> np.ndarray:
-    """Length of the meridian from the equator, by Simpson's rule on the ellipse's arc."""
-    b = EQUATOR * (1 - FLATTENING)
-    t = np.linspace(0, 1, 201)
-    angle = _reduced(lat)[:, None] * t
-    arc = np.sqrt((EQUATOR * np.sin(angle)) ** 2 + (b * np.cos(angle)) ** 2)
-    weight = np.where(np.arange(201) % 2, 4.0, 2.0)
-    weight[[0, -1]] = 1.0
-    return (arc * weight).sum(axis=1) * _reduced(lat) / 600
+def _antipodal_km(lat1: np.ndarray, lat2: np.ndarray, lon: np.ndarray) -> np.ndarray:
+    """The shortest way between nearly antipodal points (radians; lon: difference in longitude), by the azimuth of departure.
+
+    On the auxiliary sphere the difference in longitude grows with the azimuth, from 0 to half a turn, once the point farther from the
+    equator comes first and lies south: halving the azimuth's range finds the way, whatever the start. Longitude and length are integrals along the arc (Gauss-Legendre).
+    """
+    swap = np.abs(lat1) < np.abs(lat2)
+    lat1, lat2 = np.where(swap, lat2, lat1), np.where(swap, lat1, lat2)
+    north = lat1 > 0
+    u1, u2 = _reduced(np.where(north, -lat1, lat1)), _reduced(np.where(north, -lat2, lat2))
+    # a point on the equator counts as a hair's breadth south of it, so that ways over either pole exist
+    s1, c1, s2, c2 = np.minimum(np.sin(u1), -1e-20), np.cos(u1), np.sin(u2), np.maximum(np.cos(u2), 1e-300)
+    nodes, weights = np.polynomial.legendre.leggauss(48)
+    lon, second = np.abs(lon), FLATTENING * (2 - FLATTENING) / (1 - FLATTENING) ** 2
+
+    def way(a1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(difference in longitude, length in km) of the way that departs by the azimuth a1."""
+        sin0 = np.sin(a1) * c1
+        cos2 = np.sqrt(np.maximum(0.0, (np.cos(a1) * c1) ** 2 + (c2**2 - c1**2))) / c2
+        from_, to = np.arctan2(s1, np.cos(a1) * c1), np.arctan2(s2, cos2 * c2)
+        w1, w2 = np.arctan2(sin0 * np.sin(from_), np.cos(from_)), np.arctan2(sin0 * np.sin(to), np.cos(to))
+        half = (to - from_) / 2
+        root = np.sqrt(1 + second * (1 - sin0**2)[:, None] * np.sin((to + from_)[:, None] / 2 + half[:, None] * nodes) ** 2)
+        turned = FLATTENING * sin0 * half * (((2 - FLATTENING) / (1 + (1 - FLATTENING) * root)) @ weights)
+        return w2 - w1 - turned, EQUATOR * (1 - FLATTENING) * half * (root @ weights)
+
+    low, high = np.zeros(len(lon)), np.full(len(lon), np.pi)
+    for _ in range(56):
+        middle = (low + high) / 2
+        short = way(middle)[0] < lon
+        low, high = np.where(short, middle, low), np.where(short, high, middle)
+    return way((low + high) / 2)[1]
 
 
 def inverse_km(lat1: np.ndarray, lon1: np.ndarray, lat2: np.ndarray, lon2: np.ndarray, steps: int = 40) -> np.ndarray:
-    """Vincenty's inverse solution on the ellipsoid, in degrees; pairs on which it does not settle, nearly antipodal ones, go over the nearer pole."""
+    """Vincenty's inverse solution on the ellipsoid, in degrees; pairs on which it does not settle, nearly antipodal ones, are solved by their azimuth."""
     p1, p2, lon = np.radians(lat1), np.radians(lat2), np.radians((lon2 - lon1 + 180) % 360 - 180)
     u1, u2 = _reduced(p1), _reduced(p2)
     s1, c1, s2, c2 = np.sin(u1), np.cos(u1), np.sin(u2), np.cos(u2)
@@ -68,9 +91,7 @@ def inverse_km(lat1: np.ndarray, lon1: np.ndarray, lat2: np.ndarray, lon2: np.nd
         km = np.where(sin_sigma > 0, b * big_a * (sigma - turn), 0.0)
     wild = (moved > 1e-10) | (np.abs(lam) > np.pi)
     if wild.any():
-        pole = _meridian_km(np.full(1, np.pi / 2))[0]
-        over = 2 * pole - np.abs(_meridian_km(p1[wild]) + _meridian_km(p2[wild]))
-        km[wild] = over
+        km[wild] = _antipodal_km(p1[wild], p2[wild], lon[wild])
     return km
 
 
