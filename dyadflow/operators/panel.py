@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from dyadflow.errors import PipelineError
@@ -41,6 +41,39 @@ def join_audit(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     return marked.agg(F.count_if(l).alias("n_left"), F.count_if(both).alias("n_matched"), F.count_if(l & ~r).alias("n_unmatched"), F.count_if(r & ~l).alias("n_right_unused"))
 
 
+def observed_left_join(left: DataFrame, right: DataFrame, on: list[str], name: str = "join") -> tuple[DataFrame, Observation]:
+    """(left join, what it found): n_left, n_matched and n_unmatched are counted while the join is computed, and are there after its first action.
+
+    A key that the right side repeats raises when its row is computed, so the row count cannot change; neither costs a job of its own.
+    """
+    values = [c for c in right.columns if c not in on]
+    once = right.groupBy(*on).agg(F.count(F.lit(1)).alias("_copies"), F.first(F.struct(F.lit(1).alias("_one"), *values)).alias("_v"))
+    text = F.concat_ws(", ", *[F.col(c).cast("string") for c in on])
+    guarded = once.withColumn("_copies", F.when(F.col("_copies") > 1, F.raise_error(F.concat(F.lit(f"{name}: repeated key "), text)).cast("long")).otherwise(F.col("_copies")))
+    seen = Observation(name)
+    matched = F.col("_copies").isNotNull()
+    joined = left.join(guarded, on, "left").observe(seen, F.count(F.lit(1)).alias("n_left"), F.count_if(matched).alias("n_matched"), F.count_if(~matched).alias("n_unmatched"))
+    return joined.select(*left.columns, *[F.col(f"_v.{c}").alias(c) for c in values]), seen
+
+
+class RowCounts:
+    """Rows of the steps of a build, counted while they are computed: watch() each step, act, then report()."""
+
+    def __init__(self):
+        self.steps: list[tuple[str, Observation]] = []
+
+    def watch(self, step: str, df: DataFrame) -> DataFrame:
+        self.steps.append((step, seen := Observation(f"{len(self.steps)} {step}")))
+        return df.observe(seen, F.count(F.lit(1)).alias("n"))
+
+    def report(self, spark: SparkSession) -> DataFrame:
+        """(step, rows_in, rows_out, delta), in the order of the steps; it waits for steps that no action has reached."""
+        out = [(step, seen.get["n"]) for step, seen in self.steps]
+        before = [None, *[n for _, n in out]]
+        rows = [(step, b, n, None if b is None else n - b) for (step, n), b in zip(out, before, strict=False)]
+        return spark.createDataFrame(rows, "step string, rows_in long, rows_out long, delta long")
+
+
 def attach_flows(spine: DataFrame, flows: DataFrame) -> DataFrame:
     return audited_left_join(spine, flows, ["orig", "dest"]).fillna(0, ["migrants", "migrants_unweighted"])
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import warnings
 from collections.abc import Callable
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -57,18 +58,41 @@ def write_positive_only(panel: DataFrame, path: str, compression: str | None = "
     seen.write.mode("overwrite").option("header", True).option("compression", compression or "none").csv(path)
 
 
+def lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(file, start, value): the lines of text files of any size, as the bytes they are, and where the split that holds each begins."""
+    return spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value")
+
+
 def files_by_encoding(spark: SparkSession, paths: str | list[str]) -> dict[str, list[str]]:
-    """Files by what their bytes are: UTF-8 if they are valid UTF-8, else ISO-8859-1. Each file is read whole by one task."""
-    content = spark.read.format("binaryFile").load(paths).select("path", F.is_valid_utf8(F.col("content").cast("string")).alias("utf8"))
+    """Files by what their bytes are: UTF-8 if all their lines are valid UTF-8, else ISO-8859-1. Lines are judged where they are read; empty files have none."""
+    judged = lines(spark, paths).groupBy("file").agg(F.bool_and(F.is_valid_utf8("value")).alias("utf8"))
     found: dict[str, list[str]] = {}
-    for row in content.collect():  # one row for each file
-        found.setdefault("UTF-8" if row["utf8"] else "ISO-8859-1", []).append(row["path"])
+    for row in judged.collect():  # one row for each file
+        found.setdefault("UTF-8" if row["utf8"] else "ISO-8859-1", []).append(unquote(row["file"]))
     return {encoding: sorted(files) for encoding, files in found.items()}
 
 
+def headers(spark: SparkSession, paths: str | list[str]) -> dict[str, str]:
+    """The first line of each file: the first of the split at its beginning."""
+    # ids grow within a task, and a split is read by one task
+    numbered = lines(spark, paths).where("start = 0").withColumn("at", F.monotonically_increasing_id())
+    first = numbered.groupBy("file").agg(F.min_by("value", "at").alias("header"))
+    return {unquote(r["file"]): r["header"] for r in first.collect()}  # one row for each file
+
+
+def by_layout(spark: SparkSession, paths: str | list[str], encoding: str = "UTF-8") -> list[DataFrame]:
+    """CSV files as text, a table for each layout of columns: the files of one layout are one scan, however many there are."""
+    layouts: dict[str, list[str]] = {}
+    for file, header in headers(spark, paths).items():
+        layouts.setdefault(header.strip().lstrip("\ufeff"), []).append(file)
+    return [read_csv_strings(spark, sorted(files), encoding) for _, files in sorted(layouts.items())]
+
+
 def read_csv_smart(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """CSV files of either encoding as one table of text, by column name."""
-    parts = [read_csv_strings(spark, files, encoding) for encoding, files in sorted(files_by_encoding(spark, paths).items())]
+    parts = [part for encoding, files in sorted(files_by_encoding(spark, paths).items()) for part in by_layout(spark, files, encoding)]
+    if not parts:
+        raise PipelineError(f"no line in {paths}")
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part, allowMissingColumns=True)
@@ -84,12 +108,13 @@ def read_sharded(spark: SparkSession, paths: list[str], required: list[str], mar
     own = [p for p in paths if (marker in name(p)) == marked]
     if not own:
         raise PipelineError(f"no file {'with' if marked else 'without'} {marker} in its name")
-    first = spark.read.text(own).select(F.input_file_name().alias("file"), "value").groupBy("file").agg(F.first("value").alias("header"))
-    headers = {r["file"]: [h.strip().strip('"').lstrip("\ufeff") for h in r["header"].split(",")] for r in first.collect()}  # one row for each file
-    for file, header in headers.items():
-        if lacking := [c for c in required if c not in header]:
-            raise PipelineError(f"{file} lacks {', '.join(lacking)}; its header is {', '.join(header)}")
-    shards = [read_csv_strings(spark, p).select(*required) for p in own]
+    for file, header in headers(spark, own).items():
+        names = [h.strip().strip('"').lstrip("\ufeff") for h in header.split(",")]
+        if lacking := [c for c in required if c not in names]:
+            raise PipelineError(f"{file} lacks {', '.join(lacking)}; its header is {', '.join(names)}")
+    shards = [part.select(*required) for part in by_layout(spark, own)]
+    if not shards:
+        raise PipelineError(f"no line in {own}")
     out = shards[0]
     for shard in shards[1:]:
         out = out.unionByName(shard)
@@ -170,12 +195,18 @@ def write_report_csv(df: DataFrame, path: str, order: list[str]) -> None:
 
 
 def checkpointed_by_year(spark: SparkSession, path: str, years: list[int], make: Callable[[int], DataFrame]) -> DataFrame:
-    """make(year) for all years, each written once: a year that is there already is not made again."""
+    """make(year) for all years, each written once: a year whose mark is there is not made again.
+
+    A year replaces its own partition alone, and its mark, in `path`.done, is written last: what a run that broke off has left is made anew.
+    """
+    marks = f"{path}.done"
     try:
-        there = {r[0] for r in spark.read.parquet(path).select("year").distinct().collect()}  # one row for each year
+        done = {r[0] for r in spark.read.schema("year int").json(marks).distinct().collect()}  # one row for each year
     except AnalysisException:
-        there = set()
+        done = set()
     for year in years:
-        if year not in there:
-            make(year).drop("year").write.mode("overwrite").parquet(f"{path}/year={year}")
+        if year not in done:
+            made = make(year).drop("year").withColumn("year", F.lit(year))
+            made.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(path)
+            spark.createDataFrame([(year,)], "year int").coalesce(1).write.mode("append").json(marks)
     return spark.read.parquet(path).where(F.col("year").isin(years))

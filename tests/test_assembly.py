@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from dyadflow.errors import PipelineError
 from dyadflow.functions.keys import canonical_state
 from dyadflow.operators import assemble as a
-from dyadflow.operators import fold, geometry, models, neighbours, space
+from dyadflow.operators import fold, geometry, models, neighbours, panel, space
 from dyadflow.operators.order import order_statistics, quantiles_by
+from dyadflow.sources import tables
 
 CODES = ["00001", "00002", "00003", "00004"]
 NAMES = {"orig": "src_code", "dest": "dst_code", "pop_orig": "src_pop", "pop_dest": "dst_pop"}
@@ -209,3 +210,73 @@ def test_small_semantics(spark):
     cells = spark.createDataFrame([("z", 1.0, 2.0), ("z", 4.0, 1.0), ("z", 9.0, 0.0), ("w", 5.0, 0.0), ("v", None, 1.0)], "zone string, value double, weight double")
     got = {r.zone: (r.mean, r.low, r.high, r.n_cells, r.method) for r in space.zonal_mean(cells, "zone", zones=spark.createDataFrame([(z,) for z in "zwvu"], "zone string")).collect()}
     assert got == {"z": (2.0, 1.0, 4.0, 2, "population_weighted"), "w": (5.0, 5.0, 5.0, 1, "unweighted_fallback"), "v": (None, None, None, 0, "no_valid_cells"), "u": (None, None, None, 0, "no_overlap")}
+
+
+def jobs(spark):
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup("counted"))
+
+
+def test_audits_cost_no_job(spark):
+    left = spark.createDataFrame([(1,), (2,), (2,), (None,)], "k int")
+    right = spark.createDataFrame([(1, "a"), (2, "b"), (7, "c")], "k int, v string")
+    spark.sparkContext.setJobGroup("counted", "")
+    joined, seen = panel.observed_left_join(left, right, ["k"])
+    steps = panel.RowCounts()
+    kept = steps.watch("kept", steps.watch("joined", joined).where("v = 'b'"))
+    assert jobs(spark) == 0
+    assert kept.count() == 2
+    after = jobs(spark)
+    assert seen.get == {"n_left": 4, "n_matched": 3, "n_unmatched": 1} and jobs(spark) == after
+    spark.sparkContext.setJobGroup("", "")
+    assert [tuple(r) for r in steps.report(spark).collect()] == [("joined", None, 4, None), ("kept", 4, 2, -2)]
+    assert {tuple(r) for r in joined.collect()} == {(1, "a"), (2, "b"), (None, None)}
+    with pytest.raises(Exception, match="repeated key 1"):
+        panel.observed_left_join(left, right.unionByName(right.limit(1)), ["k"])[0].collect()
+
+
+def test_readers_of_split_files(spark, tmp_path):
+    """A file cut into many splits keeps its header and its encoding; a thousand shards are one scan a layout."""
+    folder = tmp_path / "with blank"
+    folder.mkdir()
+    body = "".join(f"{i:05d},x{i}\n" for i in range(20_000))
+    (folder / "utf.csv").write_text("﻿code,name\n" + body + "99999,señal\n", encoding="utf-8")
+    (folder / "latin.csv").write_bytes(("name,code\n" + "".join(f"y{i},{i:05d}\n" for i in range(5000)) + "señal,88888\n").encode("latin-1"))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        assert {k: [p.rsplit("/", 1)[1] for p in v] for k, v in tables.files_by_encoding(spark, str(folder)).items()} == {"UTF-8": ["utf.csv"], "ISO-8859-1": ["latin.csv"]}
+        read = tables.read_csv_smart(spark, str(folder))
+        assert read.count() == 25_002 and read.where("name = 'señal'").count() == 2 and read.where("code = '00007'").count() == 2
+        assert {h.lstrip("﻿") for h in tables.headers(spark, str(folder)).values()} == {"code,name", "name,code"}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    shards = tmp_path / "shards"
+    shards.mkdir()
+    for i in range(300):
+        (shards / f"s{i}_CA.csv").write_text(("a,b\n1,2\n" if i % 2 else "b,a\n2,1\n"))
+    (shards / "other.csv").write_text("c\n1\n")
+    paths = [str(p) for p in sorted(shards.iterdir())]
+    own, rest = tables.read_sharded(spark, paths, ["a", "b"], "_CA", True)
+    assert own.distinct().collect() == [("1", "2")] and own.count() == 300 and rest == [str(shards / "other.csv")]
+    assert own._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 2
+    with pytest.raises(PipelineError, match="lacks z; its header is"):
+        tables.read_sharded(spark, paths, ["z"], "_CA", True)
+
+
+def test_years_resume_after_a_break(spark, tmp_path):
+    path, made, broken = str(tmp_path / "years"), [], {2017}
+
+    def make(year):
+        made.append(year)
+        rows = spark.range(3).select((F.col("id") + year).alias("v"))
+        return rows.withColumn("v", F.when(F.col("v") == 2019, F.raise_error(F.lit("lost")).cast("long")).otherwise(F.col("v"))) if year in broken else rows
+
+    with pytest.raises(Exception, match="lost"):
+        tables.checkpointed_by_year(spark, path, [2016, 2017, 2018], make)
+    # what a broken run may leave: rows without a mark
+    spark.range(99).select(F.col("id").alias("v")).write.parquet(f"{path}/year=2018")
+    broken.clear()
+    got = tables.checkpointed_by_year(spark, path, [2016, 2017, 2018], make)
+    assert made == [2016, 2017, 2017, 2018]
+    assert {(r.year, r.v) for r in got.collect()} == {(y, y + i) for y in (2016, 2017, 2018) for i in range(3)} and got.count() == 9
+    assert tables.checkpointed_by_year(spark, path, [2016, 2018], make).count() == 6 and len(made) == 4
