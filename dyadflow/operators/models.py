@@ -23,8 +23,9 @@ def quantile_cuts(df: DataFrame, value: str, classes: int) -> DataFrame:
 def unit_split(units: DataFrame, key: str, value: str, order: Column, test_share: float = 0.2, classes: int = 3) -> DataFrame:
     """(key, stratum, split): within each quantile class of the value, the first share of the units by `order` is the test set."""
     known = units.where(F.col(value).isNotNull())
+    # written, as the numbering reads it more than once
     placed = known.join(F.broadcast(quantile_cuts(known, value, classes))).select(key, F.size(F.filter("_cuts", lambda c: c < F.col(value))).alias("stratum"), order.alias("_order"))
-    placed = written(numbered(placed, ["stratum", "_order", key]))
+    placed = written(numbered(written(placed), ["stratum", "_order", key]))
     sizes = placed.groupBy("stratum").agg(F.min("i").alias("_first"), F.count(F.lit(1)).alias("_n"))  # a row for each class
     test = F.col("i") - F.col("_first") < F.ceil(test_share * F.col("_n"))
     return placed.join(F.broadcast(sizes), "stratum").select(key, "stratum", F.when(test, "test").otherwise("train").alias("split"))

@@ -6,7 +6,7 @@ magnitude in the first pass, as values may span many of them, then evenly. Count
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from dyadflow.operators.panel import BROADCAST_CODES
@@ -19,34 +19,47 @@ def order_statistics(df: DataFrame, value: str, ranks: DataFrame, by: list[str]
     Groups with a null key have none.
     """
     by = by or []
-    rows = written(df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v")))
-    keys = [F.col(b) for b in by]
-    ends = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("low"), F.max("_v").alias("high"), F.min(F.when(F.col("_v") != 0, F.abs("_v"))).alias("unit"))
+    rows = written(values(df, value, by))
     wanted = ranks.groupBy(*by).agg(F.array_sort(F.collect_set(F.col("rank").cast("long"))).alias("ranks"))
-    live = (ends.join(wanted, by) if by else ends.crossJoin(wanted)).select(*by, "low", "high", "unit", "n", F.lit(0).cast("long").alias("below"), F.filter("ranks", lambda x: (x >= 0) & (x < F.col("n"))).alias("ranks"))
+    ends = extent(rows, by)
+    return refined(rows, (ends.join(wanted, by) if by else ends.crossJoin(wanted)), value, by, cells, few)
+
+
+def values(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+    return df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
+
+
+def extent(rows: DataFrame, by: list[str]) -> DataFrame:
+    """(by, n, low, high, unit): unit is the least magnitude that is not 0."""
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("low"), F.max("_v").alias("high"), F.min(F.when(F.col("_v") != 0, F.abs("_v"))).alias("unit"))
+
+
+def refined(rows: DataFrame, live: DataFrame, value: str, by: list[str], cells: int, few: int) -> DataFrame:
+    """The ranks of live (by, n, low, high, unit, ranks), pass by pass."""
+    keys = [F.col(b) for b in by]
+    live = live.select(*by, "low", "high", "unit", "n", F.lit(0).cast("long").alias("below"), F.filter("ranks", lambda x: (x >= 0) & (x < F.col("n"))).alias("ranks"))
     magnitude = lambda c: F.signum(c) * F.when(F.col(c) != 0, 1 + F.ln(F.abs(c)) - F.ln("unit")).otherwise(0.0)
     out, first = None, True
     while True:
-        live = written(live.where(F.size("ranks") > 0))
+        sizes = Observation()
+        counted = F.count_if(F.expr(f"low < high AND n <= {few}")).alias("small"), F.count_if(F.expr(f"low < high AND n > {few}")).alias("large")
+        live = written(live.where(F.size("ranks") > 0).observe(sizes, *counted))
         even = live.where("low = high").select(*by, F.explode("ranks").alias("rank"), F.col("low").alias(value))
         out = even if out is None else out.unionByName(even)
-        small = live.where(f"low < high AND n <= {few}")
-        large = live.where(f"low < high AND n > {few}")
-        sizes = live.agg(F.count_if(F.expr(f"low < high AND n <= {few}")).alias("small"), F.count_if(F.expr(f"low < high AND n > {few}")).alias("large")).head()
-        if sizes["small"]:
-            gathered = within(rows, small, by).groupBy(*by, "low").agg(F.first(F.struct("below", "ranks")).alias("c"), F.array_sort(F.collect_list("_v")).alias("v"))
+        if sizes.get["small"]:
+            gathered = within(rows, live.where(f"low < high AND n <= {few}"), by).groupBy(*by, "low").agg(F.first(F.struct("below", "ranks")).alias("c"), F.array_sort(F.collect_list("_v")).alias("v"))
             out = out.unionByName(gathered.select(*keys, F.explode("c.ranks").alias("rank"), "c.below", "v").select(*keys, "rank", F.element_at("v", (F.col("rank") - F.col("below") + 1).cast("int")).alias(value)))
-        if not sizes["large"]:
+        if not sizes.get["large"]:
             return out
         # halves first, as the difference of two large numbers may overflow
         part = (F.col("_v") / 2 - F.col("low") / 2) / (F.col("high") / 2 - F.col("low") / 2)
         if first:
             span = magnitude("high") - magnitude("low")
             part, first = F.when(span > 0, (magnitude("_v") - magnitude("low")) / span).otherwise(part), False
-        placed = within(rows, large, by).withColumn("cell", F.least(F.floor(part * cells), F.lit(cells - 1)))
-        counted = placed.groupBy(*by, "low", "cell").agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("least"), F.max("_v").alias("most"), F.first(F.struct("below", "ranks", "unit")).alias("c"))
+        placed = within(rows, live.where(f"low < high AND n > {few}"), by).withColumn("cell", F.least(F.floor(part * cells), F.lit(cells - 1)))
+        counts = placed.groupBy(*by, "low", "cell").agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("least"), F.max("_v").alias("most"), F.first(F.struct("below", "ranks", "unit")).alias("c"))
         before = F.coalesce(F.sum("n").over(Window.partitionBy(*by, "low").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # at most `cells` rows
-        at = counted.withColumn("below", F.col("c.below") + before)
+        at = counts.withColumn("below", F.col("c.below") + before)
         live = at.select(*by, F.col("least").alias("low"), F.col("most").alias("high"), F.col("c.unit").alias("unit"), "n", "below", F.filter("c.ranks", lambda x: (x >= F.col("below")) & (x < F.col("below") + F.col("n"))).alias("ranks"))
 
 
@@ -61,14 +74,15 @@ def within(rows: DataFrame, live: DataFrame, by: list[str]) -> DataFrame:
     return met.select(*by, "_v", F.explode(own).alias("_c")).select(*by, "_v", "_c.*")
 
 
-def quantiles_by(df: DataFrame, value: str, shares: list[float], by: list[str] | None = None) -> DataFrame:
+def quantiles_by(df: DataFrame, value: str, shares: list[float], by: list[str] | None = None, cells: int = 256, few: int = 10_000) -> DataFrame:
     """(by, share, quantile) of each group, interpolated between neighbours; a group without a value has none."""
     by = by or []
-    sizes = written(df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where("_n > 0"))
-    asked = sizes.withColumn("share", F.explode(F.array(*[F.lit(float(x)) for x in shares]))).withColumn("_at", F.col("share") * (F.col("_n") - 1))
-    ends = asked.select(*by, "share", "_at", F.floor("_at").alias("_a"), F.ceil("_at").alias("_b"))
-    ranks = ends.select(*by, F.explode(F.array("_a", "_b")).alias("rank"))
-    found = written(order_statistics(df, value, ranks, by))
-    for end in ("_a", "_b"):
-        ends = ends.join(found.select(*by, F.col("rank").alias(end), F.col(value).alias(f"{end}v")), [*by, end])
-    return ends.select(*by, "share", (F.col("_av") + (F.col("_bv") - F.col("_av")) * (F.col("_at") - F.col("_a"))).alias("quantile"))
+    rows = written(values(df, value, by))
+    ends = written(extent(rows, by).where("n > 0"))
+    at = lambda f: F.array(*[f(F.lit(float(x)) * (F.col("n") - 1)).cast("long") for x in shares])
+    found = refined(rows, ends.withColumn("ranks", F.array_sort(F.array_union(at(F.floor), at(F.ceil)))), value, by, cells, few)
+    # each share takes one value or two, by its place between them
+    asked = ends.select(*by, "n", F.explode(F.array(*[F.lit(float(x)) for x in shares])).alias("share")).withColumn("_at", F.col("share") * (F.col("n") - 1))
+    needed = asked.select(*by, "share", "_at", F.explode(F.array_distinct(F.array(F.floor("_at"), F.ceil("_at")))).alias("rank"))
+    low, high = (f(F.struct("rank", F.col(value).alias("v")))["v"] for f in (F.min, F.max))
+    return needed.join(found, [*by, "rank"]).groupBy(*by, "share", "_at").agg(low.alias("_a"), high.alias("_b")).select(*by, "share", (F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_at") - F.floor("_at"))).alias("quantile"))
