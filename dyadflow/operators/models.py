@@ -87,6 +87,16 @@ def coefficient_table(model: GeneralizedLinearRegressionModel, features: list[st
     return s.predictions.sparkSession.createDataFrame([tuple(r) for r in rows], "term string, coefficient double, se double, z double, p double")
 
 
+def fit_table(model: GeneralizedLinearRegressionModel) -> DataFrame:
+    """(measure, value) of a fitted gravity model: n, degrees of freedom, deviance, that of the constant alone, the share explained, Pearson's chi-squared and AIC."""
+    s = model.summary
+    residual, null = float(s.deviance), float(s.nullDeviance)
+    pearson = s.residuals("pearson").agg(F.sum(F.pow(F.col("pearsonResiduals"), 2))).head()[0]
+    rows = [("n", float(s.numInstances)), ("df_model", float(s.rank - 1)), ("df_residual", float(s.residualDegreeOfFreedom)), ("deviance", residual), ("null_deviance", null)]
+    rows += [("explained_deviance", 1 - residual / null if null else None), ("pearson_chi2", float(pearson)), ("aic", float(s.aic))]
+    return s.predictions.sparkSession.createDataFrame(rows, "measure string, value double")
+
+
 def assert_split(panel: DataFrame, split: DataFrame, units: DataFrame, key: str = "code") -> DataFrame:
     """split, if it has the panel's rows, no unit of one set in a dyad of the other, and the same features for both ends."""
     if panel.count() != split.count():
@@ -271,6 +281,23 @@ def permuted(units: DataFrame, key: str, column: str, seed: int) -> DataFrame:
     return units.drop(column).join(taken, key)
 
 
+def permuted_edges(pairs: DataFrame, column: str, seed: int) -> DataFrame:
+    """pairs (orig, dest, ...) with the values of one column dealt out anew among the pairs, each once."""
+    pair = F.concat_ws("\u0001", "orig", "dest")
+    return permuted(pairs.withColumn("_pair", pair), "_pair", column, seed).select(pairs.columns)
+
+
+def edge_permutation_importance(score: Callable[[DataFrame], DataFrame], pairs: DataFrame, columns: list[str], seed: int = 7) -> DataFrame:
+    """(feature, importance): how far the common part of commuters falls when a feature of pairs is permuted among the pairs; score takes the pairs to rows (y, p)."""
+    cpc = lambda rows: flow_metrics(rows, "y", "p").select("cpc")
+    base = cpc(score(pairs)).withColumnRenamed("cpc", "_base")
+    rows = [cpc(score(permuted_edges(pairs, c, seed))).join(F.broadcast(base)).select(F.lit(c).alias("feature"), (F.col("_base") - F.col("cpc")).alias("importance")) for c in columns]
+    out = rows[0]
+    for row in rows[1:]:
+        out = out.unionByName(row)
+    return out.orderBy(F.desc("importance"), "feature")
+
+
 def permutation_importance(score: Callable[[DataFrame], DataFrame], units: DataFrame, key: str, columns: list[str], by: list[str] | None = None, seed: int = 7) -> DataFrame:
     """(by, feature, importance): how far the common part of commuters falls when a unit feature is permuted among the units.
 

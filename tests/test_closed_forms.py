@@ -1,10 +1,13 @@
 """Spatial statistics against dense matrices on 60 units, and geodesics against published lengths."""
 
+import math
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from dyadflow.functions.distance import inverse_km
-from dyadflow.operators import statistics
+from dyadflow.operators import models, statistics
 
 N, FEATURES = 60, ["x", "z"]
 
@@ -109,3 +112,30 @@ def test_permutations(spark, dense, tables):
 def test_nearly_antipodal(lat1, lon1, lat2, lon2, metres):
     """Published lengths, to the millimetre."""
     assert 1000 * inverse_km(*(np.array([float(x)]) for x in (lat1, lon1, lat2, lon2)))[0] == pytest.approx(metres, abs=1e-3)
+
+
+def test_fit_table_of_a_poisson_model(spark):
+    rnd = np.random.default_rng(3)
+    x = rnd.normal(size=200)
+    y = rnd.poisson(np.exp(0.5 + 0.8 * x)).astype(float)
+    model = models.ppml_gravity(spark.createDataFrame([(float(a), float(b)) for a, b in zip(y, x, strict=True)], "y double, x double"), "y", ["x"])
+    mu = np.exp(model.intercept + model.coefficients[0] * x)
+    log = lambda a, b: np.where(a > 0, a * np.log(np.where(a > 0, a, 1) / b), 0)
+    got = {r.measure: r.value for r in models.fit_table(model).collect()}
+    deviance, null = 2 * (log(y, mu) - (y - mu)).sum(), 2 * log(y, y.mean()).sum()
+    likelihood = (y * np.log(mu) - mu - np.array([math.lgamma(v + 1) for v in y])).sum()
+    want = {"n": 200, "df_model": 1, "df_residual": 198, "deviance": deviance, "null_deviance": null, "explained_deviance": 1 - deviance / null, "pearson_chi2": ((y - mu) ** 2 / mu).sum(), "aic": -2 * likelihood + 4}
+    assert got == pytest.approx(want, rel=1e-6)
+
+
+def test_importance_of_edge_features(spark):
+    """The feature that makes the flow matters, the other does not; a permutation keeps a column's values."""
+    rows = [(f"{i:02d}", f"{j:02d}", float((i * 7 + j * 3) % 11 + 1), float(i % 4)) for i in range(12) for j in range(12) if i != j]
+    pairs = spark.createDataFrame(rows, "orig string, dest string, km double, other double")
+    truth = pairs.select("orig", "dest", F.col("km").alias("y"))
+    score = lambda p: p.join(truth, ["orig", "dest"]).select("y", (F.col("km") + 0 * F.col("other")).alias("p"))
+    got = {r.feature: r.importance for r in models.edge_permutation_importance(score, pairs, ["km", "other"]).collect()}
+    assert got["km"] > 0.1 and got["other"] == pytest.approx(0, abs=1e-12)
+    dealt = models.permuted_edges(pairs, "km", 7)
+    assert dealt.columns == pairs.columns and sorted(r.km for r in dealt.collect()) == sorted(r[2] for r in rows)
+    assert dealt.join(pairs, ["orig", "dest", "km"]).count() < len(rows) / 2
