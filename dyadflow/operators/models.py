@@ -1,11 +1,11 @@
-"""Splits by unit, features, negatives, metrics, the gravity model, forests and importances."""
+"""Splits by unit, features, negatives, metrics, the gravity model and importances."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GeneralizedLinearRegression, GeneralizedLinearRegressionModel, RandomForestRegressor
+from pyspark.ml.regression import GeneralizedLinearRegression, GeneralizedLinearRegressionModel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -247,32 +247,6 @@ def top_edges(flows: DataFrame, points: DataFrame, n: int, flow: str = "migrants
     return out
 
 
-def forest_regression(rows: DataFrame, features: list[str], y: str, validation: Column, leaves: list[int], trees: list[int], seed: int = 7):
-    """(model, importances, table of trials): a forest on log(1 + y), a third of the features at a split.
-
-    The smallest leaf is chosen first, then the number of trees, by the error on the rows that `validation` marks: Spark keeps no
-    out-of-bag scores, so a set of units apart stands in for them.
-    """
-    made = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep").transform(null_sentinel_fill(rows, features)).select("features", F.log1p(y).alias("_y"), F.coalesce(validation, F.lit(False)).alias("_v")).persist()
-    tried: dict[tuple[int, int], float] = {}
-
-    def fitted(leaf: int, n: int):
-        return RandomForestRegressor(labelCol="_y", featureSubsetStrategy="onethird", minInstancesPerNode=leaf, numTrees=n, seed=seed).fit(made.where("not _v"))
-
-    def error(leaf: int, n: int) -> float:
-        if (leaf, n) not in tried:
-            gap = F.col("prediction") - F.col("_y")
-            tried[leaf, n] = fitted(leaf, n).transform(made.where("_v")).agg(F.avg(gap * gap)).head()[0]
-        return tried[leaf, n]
-
-    leaf = min(leaves, key=lambda k: error(k, trees[0]))
-    n = min(trees, key=lambda t: error(leaf, t))
-    model = fitted(leaf, n)
-    made.unpersist()
-    trials = rows.sparkSession.createDataFrame([(a, b, float(e)) for (a, b), e in tried.items()], "min_leaf int, trees int, mse double")
-    return model, dict(zip(features, map(float, model.featureImportances.toArray()), strict=True)), trials
-
-
 def permuted(units: DataFrame, key: str, column: str, seed: int) -> DataFrame:
     """units with the values of one column dealt out anew, each once, in an order that a hash of code and seed gives."""
     named = units.select(key, column).withColumn("_h", F.xxhash64(F.col(key).cast("string"), F.lit(seed)))

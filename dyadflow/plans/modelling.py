@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dyadflow.functions.keys import film_gate, from_log1p, non_negative
-from dyadflow.operators import models, panel, quality, space, statistics
+from dyadflow.operators import forests, models, panel, quality, space, statistics
 from dyadflow.plans import standins as s
 from dyadflow.plans.catalog import KNN, SPLIT, dense, flows, neighbours, query, r, splits
 
@@ -227,17 +227,26 @@ def gravity_coefficients(spark, sf):
 
 def forest_rows(spark, sf):
     out = models.map_to_node_idx(flows(spark, sf), models.node_index(s.units(spark, sf))).join(s.distances(spark, sf), ["orig", "dest"])
-    return panel.attach_both_roles(out, s.vintages(spark, sf)[1]).withColumn("held", F.col("orig").cast("int") % 5 == 0)
+    return panel.attach_both_roles(out, s.vintages(spark, sf)[1])
 
 
 FOREST = ["pop_2_orig", "pop_2_dest", "income_2_orig", "income_2_dest", "km"]
 
 
+def forest(spark, sf):
+    return forests.forest_regression(forest_rows(spark, sf), FOREST, "migrants", ["orig", "dest"], leaves=[20, 50], trees=[10, 20])
+
+
 @query()
 def forest_importances(spark, sf):
-    """Importances of a forest on log flows, tuned on origins apart."""
-    _, importances, _ = models.forest_regression(forest_rows(spark, sf), FOREST, "migrants", F.col("held"), leaves=[20, 50], trees=[10, 20])
-    return quality.rank_importance(importances, spark)
+    """Importances of a forest on log flows, tuned by out-of-bag errors."""
+    return quality.rank_importance(forest(spark, sf)[1], spark)
+
+
+@query()
+def forest_trials(spark, sf):
+    """The out-of-bag error of every forest that was tried."""
+    return forest(spark, sf)[2]
 
 
 @query()
