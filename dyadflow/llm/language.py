@@ -10,7 +10,8 @@ Bounds: the weights are fitted on a sample of about `per_language` documents of
 the id); the model has `buckets` times the number of languages weights, whatever the corpus.
 
 Defined results: null text, or text without a letter, is "und" with score 0; with no labelled document every text is "und";
-rows are judged one by one, so repeated rows get equal results; null ids stay null; extra columns are ignored.
+rows are judged one by one, so repeated rows get equal results; null ids stay null and are never learned from; extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -200,8 +201,8 @@ def held_out(id_col: str, folds: int = 3, held_fold: int = 1) -> Column:
 
 
 def trained(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **training) -> bytes | None:
-    """The model, learned from the documents that are not held out."""
-    learned = docs.where(~held_out(id_col))
+    """The model, learned from the documents that have an id and are not held out."""
+    learned = docs.where(F.col(id_col).isNotNull() & ~held_out(id_col))
     return train(learned.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(id_col).cast("string").alias("order")), **training)
 
 

@@ -8,7 +8,7 @@ counted beside the exact ones and decide nothing.
 
 How rare a term is is counted over all documents. Common words are stored only for a phrase that holds nothing rarer,
 so the index stays far smaller than the corpus. Everything is DataFrame work; the phrases' terms are broadcast only up to
-`BROADCAST_TERMS`, beyond that Spark joins them by shuffle.
+`BROADCAST_TERMS`, beyond that Spark joins them to bare places by shuffle, and the words around a place are fetched by document.
 
 Words are maximal runs of digits, lower-case letters and characters beyond ASCII, after A-Z are lower-cased.
 
@@ -75,9 +75,15 @@ def build_index(docs: DataFrame, id_col: str, text_col: str, terms: DataFrame, n
     """Postings (k, term, pos, near_from, near): near holds the words from near_from on, `reach` - 1 to either side."""
     text = F.col(text_col)
     words = docs.select(row_key(id_col, text).alias("k"), raw_words(text).alias("words"))
-    placed = words.select("k", "words", F.posexplode("words").alias("pos", "term"))
+    if n_terms <= BROADCAST_TERMS:
+        placed = words.select("k", "words", F.posexplode("words").alias("pos", "term")).join(F.broadcast(terms), "term")
+    else:
+        # no words travel with a word: the places are found first, and a document's places meet its words once
+        found = words.select("k", F.posexplode("words").alias("pos", "term")).join(terms, "term")
+        places = found.groupBy("k").agg(F.collect_set(F.struct("pos", "term")).alias("places"))
+        placed = words.dropDuplicates(["k"]).join(places, "k").select("k", "words", F.inline("places"))
     first = F.greatest(F.col("pos") - (reach - 1), F.lit(0))
-    return placed.join(small(terms, n_terms), "term").select("k", "term", "pos", first.alias("near_from"), F.slice("words", first + 1, 2 * reach - 1).alias("near"))
+    return placed.select("k", "term", "pos", first.alias("near_from"), F.slice("words", first + 1, 2 * reach - 1).alias("near"))
 
 
 def phrase_matches(index: DataFrame, rarest: DataFrame, n_rarest: int) -> DataFrame:
