@@ -34,7 +34,7 @@ def times_in_bag(keys: list[str], tree: int, seed: int) -> Column:
     return times
 
 
-def bagged_trees(rows: DataFrame, keys: list[str], numbers: range, min_leaf: int, depth: int = 5, subset: str = "onethird", bins: int = 32, seed: int = 7, at_once: int = 4) -> list[DecisionTreeRegressionModel]:
+def bagged_trees(rows: DataFrame, keys: list[str], numbers: range, min_leaf: int, depth: int = 5, subset: str = "onethird", bins: int = 32, seed: int = 7, at_once: int = 8) -> list[DecisionTreeRegressionModel]:
     """The trees with the numbers given on rows (keys, features, _y); `at_once` of them are grown at a time.
 
     A leaf holds at least min_leaf different rows, however often each is in the bag.
