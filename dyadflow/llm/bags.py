@@ -39,6 +39,8 @@ STEP, FIRST, SECOND = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB
 AT_ONCE = 1_000_000
 #: Rows of two digests that one task takes.
 FEW_ROWS = 250_000
+#: Ratio of the sizes that bound a cell of sizes.
+CELL = 1.02
 
 
 def scramble(x: np.ndarray) -> np.ndarray:
@@ -182,25 +184,20 @@ def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return both / (int(a[1].sum()) + int(b[1].sum()) - both)
 
 
-def outside(a: tuple[np.ndarray, np.ndarray], rest: np.ndarray, both: int, similarity: float) -> np.ndarray:
-    """The first of a's shingles that its partner lacks, in the order of their hashes, as many as `met` says; copies count as different ones."""
+def outside(a: tuple[np.ndarray, np.ndarray], rest: np.ndarray) -> np.ndarray:
+    """All of a's shingles that its partner lacks; copies count as different ones."""
     own = np.flatnonzero(rest)
     copies = np.repeat(a[0][own], rest[own])
     again = np.arange(len(copies)) - np.repeat(np.cumsum(rest[own]) - rest[own], rest[own])
-    copies = np.sort(np.where(again > 0, scramble(copies + again.astype(U) * STEP), copies))
-    least = max(1, math.ceil(similarity * int(a[1].sum()) - both - 1e-9))
-    return copies[: max(0, len(copies) - least + 1)].view(np.int64)
+    return np.where(again > 0, scramble(copies + again.astype(U) * STEP), copies).view(np.int64)
 
 
 MET = "a binary, b binary, n_a long, n_b long, both long, same boolean, rest array<long>"
 
 
-def met(similarity: float):
-    """mapInPandas: bags of pairs (a, b) to MET: sizes, the common part, whether the two are similar, and shingles of a outside b.
-
-    If y is similar to a, both have to share s * n_a - both shingles outside b, or more (see next_buckets); so of a's
-    shingles outside b, in any fixed order, all but the last s * n_a - both - 1 are enough to find one that y has too.
-    """
+def met(similarity: float, with_rest: bool = False):
+    """mapInPandas: bags of pairs (a, b) to MET: sizes, the common part, whether the two are similar; with_rest, a's shingles outside b."""
+    nothing = np.empty(0, np.int64)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -211,7 +208,7 @@ def met(similarity: float):
                 one = unpacked(*packed[:2])
                 both, rest = common(one, bag)
                 n_a, n_b = int(one[1].sum()), int(bag[1].sum())
-                rows.append((a, b, n_a, n_b, both, both >= similarity * (n_a + n_b - both), outside(one, rest, both, similarity)))
+                rows.append((a, b, n_a, n_b, both, both >= similarity * (n_a + n_b - both), outside(one, rest) if with_rest else nothing))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in MET.split(", ")])
 
     return run
@@ -295,22 +292,40 @@ def leaders(buckets: DataFrame, n: int) -> DataFrame:
 def next_buckets(stars: DataFrame, similarity: float) -> DataFrame:
     """Buckets (key, node) in which nodes of a star can still meet a similar one of another component.
 
-    Let x and y have met the leader l. What x and y share lies in l, at most min(x & l, y & l) of it, or outside l. They are
-    similar only if they share s / (1 + s) * (x + y), which is no less than s * x and s * y. So either they share a shingle
-    outside l, and meet in the bucket of that shingle; or x + y is so small that what they have of l is enough, which no pair
-    is whose sizes are not below l's, and they meet in the leader's bucket of small ones. A bucket never holds l itself.
+    Let x and y have met the leader l, x the smaller one. They are similar only if they share s / (1 + s) * (x + y), which
+    needs x to be of s * y or more. What they share lies in l, at most min(x & l, y & l) of it, or outside l. So either
+    that much of both lies in l, and they meet in the bucket of small ones; or they share what lacks outside l, their need.
+    Then, in an order of shingles that is the same for all nodes, the first that they share outside l is followed by
+    need - 1 more, and they meet in the bucket of that shingle. Shingles that one component alone holds link nobody and do
+    not count; the rarest in the star come first, so that a passage that many hold does not bring them together once more.
+
+    The need follows from both sizes, so buckets are cut by the size of the smaller one, in cells of 2 %: x stands in the
+    cell of its own size, y in all from s * y to y that some node of the star has. A bucket without a node that can be the
+    smaller one is left out, and a bucket never holds l itself.
     """
     # a node's shingles are many rows: its stars are dealt out evenly before that
     parts = int(stars.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     stars = stars.repartition(parts, "a", "b")
-    shared = stars.select("b", F.explode("rest").alias("one"), F.col("a").alias("node"), F.col("label_a").alias("label")).select(F.xxhash64("b", "one").alias("key"), "node", "label")
-    up_to = (1 + similarity) / similarity * F.col("both") - F.col("n_a") + 1e-6
-    could = stars.withColumn("up_to", up_to).where(up_to >= similarity * F.col("n_a"))
-    limits = could.where("label_a <> label_b").groupBy("b").agg(F.max("up_to").alias("most"), F.min("n_a").alias("least"))
-    small = could.join(limits, "b").where("n_a <= most AND up_to >= least").select(F.xxhash64("b", F.lit("small")).alias("key"), F.col("a").alias("node"), F.col("label_a").alias("label"))
+    cell_of = lambda size: F.floor(F.log(size) / math.log(CELL)).cast("int")
+    share = similarity / (1 + similarity)
+    nodes = stars.select("b", F.col("a").alias("node"), F.col("label_a").alias("label"), "n_a", "both", cell_of(F.col("n_a")).alias("own"))
+    sizes = nodes.select("b", F.col("own").alias("cell")).distinct()
+    low = F.greatest(F.pow(F.lit(CELL), F.col("cell")), similarity * F.col("n_a")) - 1e-6
+    need = lambda partner: F.greatest(F.lit(1), F.ceil(share * (F.col("n_a") + partner) - F.col("both") - 1e-6)).cast("int")
+    placed = nodes.withColumn("cell", F.explode(F.sequence(cell_of(similarity * F.col("n_a") - 1e-6), F.col("own")))).join(sizes, ["b", "cell"])
+    placed = placed.select("b", "node", "label", "n_a", "both", "cell", low.alias("low"), need(low).alias("need"), F.when(F.col("cell") == F.col("own"), need(F.col("n_a"))).alias("own_need"))
+
+    held = stars.select("b", F.col("a").alias("node"), F.col("label_a").alias("label"), F.explode("rest").alias("one"))
+    useful = held.groupBy("b", "one").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("b", "one", "n")
+    ordered = held.drop("label").join(useful, ["b", "one"]).groupBy("b", "node").agg(F.sort_array(F.collect_list(F.struct("n", "one"))).alias("ones"))
+    first = F.posexplode(F.slice("ones", F.lit(1), F.size("ones") - F.col("need") + 1)).alias("at", "found")
+    shared = placed.join(ordered, ["b", "node"]).where(F.size("ones") >= F.col("need")).select("b", "cell", "node", "label", (F.size("ones") - F.col("own_need")).alias("upto"), first)
+    shared = shared.select(F.xxhash64("b", "cell", "found.one").alias("key"), "node", "label", F.expr("coalesce(at <= upto, false)").alias("smaller"))
+    up_to = F.col("both") / share - F.col("n_a") + 1e-6
+    small = placed.where(up_to >= F.col("low")).select(F.xxhash64("b", "cell", F.lit("small")).alias("key"), "node", "label", (F.col("own_need").isNotNull() & (up_to >= F.col("n_a"))).alias("smaller"))
     every = shared.unionByName(small)
     sets = [F.count(F.lit(1)).alias("n"), *[F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"x{i}") for i in range(2)]]
-    mixed = every.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), *sets).where("low <> high")
+    mixed = every.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.max("smaller").alias("any_smaller"), *sets).where("least <> most AND any_smaller")
     # nodes that share one shingle outside l mostly share more: of buckets with the same nodes one is enough
     different = mixed.groupBy("n", "x0", "x1").agg(F.min("key").alias("key")).select("key")
     return every.select("key", "node").join(different, "key")
@@ -325,7 +340,7 @@ def near_links(buckets: DataFrame, bag_of: DataFrame, similarity: float, few: in
     each round, so that the rounds end. No link is lost: see next_buckets.
     """
 
-    def meet(pairs: DataFrame) -> DataFrame:
+    def meet(pairs: DataFrame, with_rest: bool = False) -> DataFrame:
         # pairs that are few are no work for many tasks, and only their bags have to move
         pairs, n = pairs.select("a", "b"), pairs.count()
         nodes = pairs.select(F.col("a").alias("digest")).unionByName(pairs.select(F.col("b").alias("digest"))).distinct()
@@ -335,7 +350,7 @@ def near_links(buckets: DataFrame, bag_of: DataFrame, similarity: float, few: in
         two = used.select(F.col("digest").alias("b"), F.col("hashes").alias("hashes_b"), F.col("weights").alias("weights_b"))
         made = one.join(near(pairs), "a").join(two, "b").coalesce(n // 1000 + 1)
         with small_batches(bag_of.sparkSession):
-            return written(made.mapInPandas(met(similarity), MET))
+            return written(made.mapInPandas(met(similarity, with_rest), MET))
 
     def similar(seen: DataFrame) -> DataFrame:
         return seen.where("same").select("a", "b")
@@ -349,13 +364,10 @@ def near_links(buckets: DataFrame, bag_of: DataFrame, similarity: float, few: in
             pairs = written(rays.groupBy("a").agg(F.min(F.struct("order", "b")).alias("first")).select("a", "first.b"))
         else:
             pairs = written(differing(rays, labels).unionByName(waiting).distinct())
-        seen = meet(pairs)
-        labels = linked(labels, similar(seen))
+        labels = linked(labels, similar(meet(pairs)))
         # and the others only while it is in another component than they
         if waiting is None and not (others := written(differing(rays.join(pairs, ["a", "b"], "left_anti"), labels))).isEmpty():
-            more = meet(others)
-            labels = linked(labels, similar(more))
-            seen = seen.unionByName(more)
+            labels = linked(labels, similar(meet(others)))
         stars = gathered(written(with_label(with_label(rays, labels, "a", "label_a"), labels, "b", "label_b").drop("order")), n)
         apart = written(stars.where("label_a <> label_b").groupBy("b").agg(F.count(F.lit(1)).alias("n_apart")))
         size = bag_of.select(F.col("digest").alias("a"), F.col("n").alias("n_a"))
@@ -366,8 +378,8 @@ def near_links(buckets: DataFrame, bag_of: DataFrame, similarity: float, few: in
         waiting = written(one.join(two, "b").where((F.col("label_a") != F.col("label_y")) & close).select(F.least("a", "y").alias("a"), F.greatest("a", "y").alias("b")).distinct())
         crowded = gathered(written(stars.join(apart.where(F.col("n_apart") > few), "b", "left_semi").select("a", "b")), n)
         if not crowded.isEmpty():
-            known = seen.join(crowded, ["a", "b"], "left_semi")
-            profiles = known.unionByName(meet(crowded.join(seen, ["a", "b"], "left_anti")))
+            # what lies outside the leader is kept for these pairs alone
+            profiles = meet(crowded, with_rest=True)
             buckets = written(next_buckets(with_label(with_label(profiles, labels, "a", "label_a"), labels, "b", "label_b"), similarity).distinct())
         if crowded.isEmpty() or buckets.isEmpty():
             return linked(labels, similar(meet(waiting)))
