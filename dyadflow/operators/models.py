@@ -149,18 +149,20 @@ def absent_pairs_by_origin(known: DataFrame, units: DataFrame, key: str = "code"
     return written(counted.join(F.broadcast(totals), "_block").select("a", "orig", first.alias("first"), "absent", "shifts")), placed
 
 
-def unseen_pair_negatives(known: DataFrame, units: DataFrame, n: int, edge_features: list[str], y: str, key: str = "code", seed: int = 7) -> DataFrame:
-    """n different ordered pairs of different units that are not in known, with y and the edge features 0; fewer absent pairs than n raise.
+def unseen_pair_negatives(known: DataFrame, units: DataFrame, n: int, edge_features: list[str], y: str, key: str = "code", seed: int = 7, at_most: bool = False) -> DataFrame:
+    """n different ordered pairs of different units that are not in known, with y and the edge features 0; fewer absent pairs than n raise, or with at_most are all given.
 
     The absent pairs are ranked by origin and destination and cut into n stretches that differ by one at most; each gives one pair, whose place in the stretch follows from the stretch's number and the seed.
+    An empty stretch gives none.
     """
     spark = known.sparkSession
     origins, placed = absent_pairs_by_origin(known, units, key)
     total = origins.agg(F.coalesce(F.sum("absent"), F.lit(0))).head()[0]
-    if total < n:
+    if total < n and not at_most:
         raise PipelineError(f"{n} pairs are wanted, but {total} are absent")
     start, end = (F.expr(f"CAST((CAST(id AS DECIMAL(20, 0)) + {d}) * {total} DIV {max(1, n)} AS BIGINT)") for d in (0, 1))
-    drawn = spark.range(n).select((start + F.pmod(F.col("id") * 7919 + seed * 104729, end - start)).alias("rank"))
+    # the remainder by an empty stretch is null, and so no rank
+    drawn = spark.range(n).select((start + F.pmod(F.col("id") * 7919 + seed * 104729, F.nullif(end - start, F.lit(0)))).alias("rank")).where("rank IS NOT NULL")
     # an origin's ranks are a range: both sides are dealt to cells about as wide as the ranges are on average
     width = max(1, total // max(1, placed.count()))
     ranges = origins.where("absent > 0").withColumn("cell", F.explode(F.sequence(F.floor(F.col("first") / width), F.floor((F.col("first") + F.col("absent") - 1) / width))))

@@ -100,7 +100,7 @@ def duplicated_negatives(spark, sf):
     return counted.join(F.broadcast(strange))
 
 
-#: A tenth of the records, so that pairs are absent at every size.
+#: A tenth of the records, so that pairs are absent; many records leave few or none.
 FEW = "few AS (SELECT DISTINCT orig, dest FROM records WHERE sentinel = 0)"
 
 
@@ -109,9 +109,9 @@ FEW = "few AS (SELECT DISTINCT orig, dest FROM records WHERE sentinel = 0)"
 cuts AS (SELECT k, k * t // 500 AS lo, (k + 1) * t // 500 AS hi FROM range(500) r(k), t)
 SELECT orig, dest, 0.0::DOUBLE AS dist_km, 0.0::DOUBLE AS y FROM cuts JOIN absent ON rank = lo + (k * 7919 + 7 * 104729) % (hi - lo)""")
 def unseen_negatives(spark, sf):
-    """500 pairs without a flow among a tenth of the records."""
+    """500 pairs without a flow among a tenth of the records, or all where fewer are left."""
     known = s.records(spark, sf).where("sentinel = 0").select("orig", "dest")
-    return models.unseen_pair_negatives(known, s.units(spark, sf), 500, ["dist_km"], "y")
+    return models.unseen_pair_negatives(known, s.units(spark, sf), 500, ["dist_km"], "y", at_most=True)
 
 
 @query(f"WITH {s.RECORDS}, {s.FLOWS}, {s.VINTAGES}, {SPLIT} SELECT CASE WHEN a.split = b.split THEN a.split ELSE 'inference' END AS split, count(*) AS dyads, round(sum(ln(1 + migrants)), 4) AS log_flow FROM flows LEFT JOIN sp a ON a.code = orig LEFT JOIN sp b ON b.code = dest GROUP BY 1")

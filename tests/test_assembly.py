@@ -172,6 +172,15 @@ def test_negatives_by_rank(spark):
         models.unseen_pair_negatives(table, units, len(absent) + 1, [], "y")
 
 
+@pytest.mark.parametrize("left", [3, 0])
+def test_few_absent_pairs_are_all_given(spark, left):
+    units = spark.createDataFrame([(c,) for c in "abcdefg"], "code string")
+    every = [(x, y) for x in "abcdefg" for y in "abcdefg" if x != y]
+    known = spark.createDataFrame(every[left:], "orig string, dest string")
+    got = models.unseen_pair_negatives(known, units, 20, ["km"], "y", at_most=True)
+    assert sorted((r.orig, r.dest, r.y, r.km) for r in got.collect()) == [(*p, 0.0, 0.0) for p in every[:left]]
+
+
 @pytest.mark.parametrize("few", [10_000, 20])
 def test_order_statistics(spark, few):
     rnd = np.random.default_rng(5)
