@@ -2,6 +2,7 @@
 
 import math
 import random
+import tempfile
 
 import numpy as np
 import pytest
@@ -172,6 +173,27 @@ def test_negatives_by_rank(spark):
         models.unseen_pair_negatives(table, units, len(absent) + 1, [], "y")
 
 
+def test_crowded_places_ask_once(spark, monkeypatch):
+    """Many points at few places: the lists are those of all pairs, and no round meets more than the first k + 1 of a place."""
+    k, met = 3, []
+    rnd = np.random.default_rng(3)
+    spots = rnd.integers(0, 8, (12, 2)) * 1.5 - 4
+    xy = spots[np.arange(600) % 12]
+    points = spark.createDataFrame([(int(i), float(x), float(y)) for i, (x, y) in enumerate(xy)] + [(None, 0.0, 0.0)], "code long, lon double, lat double")
+    apart = np.hypot(xy[:, None, 0] - xy[:, 0], xy[:, None, 1] - xy[:, 1])
+    monkeypatch.setattr(neighbours, "written", lambda df: met.append((w := df.checkpoint()).count()) or w)
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    for targets, own in ((points, range(600)), (points.where("code >= 300"), range(300, 600))):
+        got = {}
+        for r in neighbours.nearest(points, targets, k, neighbours.Degrees()).collect():
+            got.setdefault(r.orig, []).append((r.distance, r.dest, r.rank))
+        assert got.keys() == set(range(600))
+        for i in range(600):
+            want = sorted((apart[i, j], j) for j in own if j != i)[:k]
+            assert [(d, r) for _, d, r in sorted(got[i], key=lambda x: x[2])] == [(j, n + 1) for n, (_, j) in enumerate(want)]
+    assert max(met) <= (k + 1) * 12
+
+
 @pytest.mark.parametrize("left", [3, 0])
 def test_few_absent_pairs_are_all_given(spark, left):
     units = spark.createDataFrame([(c,) for c in "abcdefg"], "code string")
