@@ -25,7 +25,8 @@ def query(sql: str | None = None):
 
 
 def flows(spark, sf):
-    return route.aggregate_od(s.records(spark, sf))
+    """The flows of all pairs, written: they are few, and their readers would join and group all records again each time."""
+    return written(route.aggregate_od(s.records(spark, sf)))
 
 
 def dense(spark, sf):
@@ -40,7 +41,7 @@ def r(name: str, digits: int = 4):
 SELECT orig, dest, migrants, n AS migrants_unweighted, n > 0 AS flow_observed, CASE WHEN n > 0 THEN 'observed_positive'
   WHEN orig IN (SELECT orig FROM panel WHERE n > 0) AND dest IN (SELECT dest FROM panel WHERE n > 0) THEN 'sampling_zero_plausible' ELSE 'structural_zero_likely' END AS zero_class FROM panel""")
 def panel_classified_zeros(spark, sf):
-    seen = panel.assert_unique(written(flows(spark, sf)), "orig", "dest")
+    seen = panel.assert_unique(flows(spark, sf), "orig", "dest")
     full = panel.attach_flows(panel.build_spine(s.units(spark, sf)), seen)
     return panel.classify_zeros(full, seen).select("orig", "dest", "migrants", "migrants_unweighted", "flow_observed", "zero_class")
 

@@ -144,3 +144,11 @@ def test_sources(spark, tmp_path):
     assert tables.read_projected(spark, str(tmp_path / "t"), ["code"]).head()[0] == "01"
     with pytest.raises(PipelineError, match="positive"):
         tables.write_positive_only(spark.createDataFrame([(0.0,)], "migrants double"), str(tmp_path / "p"))
+
+
+def test_flows_are_joined_once(spark):
+    """Readers of the flows read a written table, not the join of orders and line items."""
+    from dyadflow.plans import catalog
+
+    plan = catalog.flows(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
