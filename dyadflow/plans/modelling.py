@@ -8,6 +8,7 @@ from dyadflow.functions.keys import film_gate, from_log1p, non_negative
 from dyadflow.operators import forests, models, panel, quality, space, statistics
 from dyadflow.plans import standins as s
 from dyadflow.plans.catalog import KNN, SPLIT, dense, flows, neighbours, query, r, splits
+from dyadflow.sources.tables import written
 
 
 @query("SELECT share, round(quantile_cont(o_totalprice, share), 4) AS quantile FROM orders, (SELECT unnest([0.1, 0.25, 0.5, 0.9, 1.0])::DOUBLE AS share) GROUP BY share".replace("quantile_cont(o_totalprice, share)", "CASE share " + " ".join(f"WHEN {q} THEN quantile_cont(o_totalprice, {q})" for q in (0.1, 0.25, 0.5, 0.9, 1.0)) + " END"))
@@ -212,9 +213,13 @@ def clipped_predictions(spark, sf):
     return flows(spark, sf).select("orig", "dest", F.round(non_negative(F.col("migrants") - 100), 4).alias("clipped"), F.round(from_log1p(F.log1p("migrants")), 4).alias("back"))
 
 
-def gravity_rows(spark, sf):
+def measured_pairs(spark, sf):
+    return written(dense(spark, sf).join(s.distances(spark, sf), ["orig", "dest"]))
+
+
+def gravity_rows(spark, sf, pairs=None):
     b = s.vintages(spark, sf)[1].select("code", "pop_2")
-    full = panel.attach_both_roles(dense(spark, sf), b).join(s.distances(spark, sf), ["orig", "dest"])
+    full = panel.attach_both_roles(pairs or measured_pairs(spark, sf), b)
     return models.gravity_design(full.withColumn("orig_zone", F.col("orig")), "migrants", "pop_2_orig", "pop_2_dest", "km")
 
 
@@ -253,8 +258,8 @@ def forest_trials(spark, sf):
 def permutation_importances(spark, sf):
     """How far the common part of commuters falls for each class of origins when a unit feature is permuted."""
     names = ["log_pop_orig", "log_pop_dest", "log_km"]
-    model = models.ppml_gravity(gravity_rows(spark, sf), "migrants", names)
-    pairs, classes = dense(spark, sf).join(s.distances(spark, sf), ["orig", "dest"]), splits(spark, sf).select(F.col("code").alias("orig"), "stratum")
+    pairs, classes = measured_pairs(spark, sf), splits(spark, sf).select(F.col("code").alias("orig"), "stratum")
+    model = models.ppml_gravity(gravity_rows(spark, sf, pairs), "migrants", names)
 
     def score(units):
         rows = panel.attach_both_roles(pairs, units).join(classes, "orig")
