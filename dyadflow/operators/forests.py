@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dyadflow.operators.models import null_sentinel_fill
+from dyadflow.sources.tables import written
 
 #: Draws are whole numbers below this; a double holds each of them.
 DRAWS = 1 << 52
@@ -73,6 +74,12 @@ def out_of_bag_errors(rows: DataFrame, keys: list[str], trees: list[DecisionTree
     return {n: found[str(n)] for n in counts}
 
 
+def dealt(rows: DataFrame, keys: list[str], few: int = 20_000) -> DataFrame:
+    """rows, computed once, in as many partitions as their number asks for: a tree is a job for each level, and each of them has a task for each partition."""
+    rows = written(rows)
+    return rows.repartitionByRange(rows.count() // few + 1, *keys).sortWithinPartitions(*keys)
+
+
 def forest_regression(rows: DataFrame, features: list[str], y: str, keys: list[str], leaves: list[int], trees: list[int], depth: int = 5, seed: int = 7):
     """(model, importances, table of trials): a forest on log(1 + y), a third of the features at a split.
 
@@ -81,7 +88,7 @@ def forest_regression(rows: DataFrame, features: list[str], y: str, keys: list[s
     makes of them; rows with a null y are left out.
     """
     filled = null_sentinel_fill(rows.where(F.col(y).isNotNull()), features)
-    made = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep").transform(filled).select(*keys, "features", F.log1p(y).alias("_y")).persist()
+    made = dealt(VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep").transform(filled).select(*keys, "features", F.log1p(y).alias("_y")), keys).persist()
     tried: dict[tuple[int, int], float | None] = {}
     worst = lambda error: math.inf if error is None else error
 

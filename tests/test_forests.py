@@ -82,3 +82,10 @@ def test_rows_in_every_bag_count_in_no_error(spark):
     rows = made(spark, [(1.0, 2.0), (2.0, 5.0), (3.0, 1.0)])
     trees = forests.bagged_trees(rows, ["id"], range(1), 1)
     assert forests.out_of_bag_errors(rows.where(forests.times_in_bag(["id"], 0, 7) > 0), ["id"], trees, [1]) == {1: None}
+
+
+def test_partitions_follow_the_rows(spark):
+    rows = spark.range(0, 1000, 1, 64).select(F.col("id").alias("orig"), F.col("id").alias("dest"), (F.col("id") * 2.0).alias("_y"))
+    kept = forests.dealt(rows, ["orig", "dest"])
+    assert kept.rdd.getNumPartitions() == 1 and kept.collect() == rows.orderBy("orig").collect()
+    assert forests.dealt(rows, ["orig", "dest"], few=300).rdd.getNumPartitions() == 4
