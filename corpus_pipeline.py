@@ -37,7 +37,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def kept_rows(spark: SparkSession, docs: DataFrame, groups: Callable[..., DataFrame]) -> DataFrame:
     """The rows of docs that groups() keeps; the numbers that tell rows apart are written once, so that every reader sees the same."""
     numbered = written(docs.select(whole(docs), F.monotonically_increasing_id().alias("row")))
-    dropped = groups(numbered.select("row", "doc.doc_id", "doc.text"), row_col="row").where("not kept").select("row")
+    # written, so that their size is known before the join: while they are few, the documents are not shuffled
+    dropped = written(groups(numbered.select("row", "doc.doc_id", "doc.text"), row_col="row").where("not kept").select("row"))
     return numbered.join(dropped, "row", "left_anti").select("doc.*")
 
 

@@ -401,7 +401,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     buckets = written(placed.join(shared, "key"))
     # one row stands for all of equal words; its text is read from the documents again, and its bag kept
     needed = buckets.select(F.col("node").alias("digest")).distinct()
-    chosen = signed.join(needed, "digest", "left_semi").groupBy("digest").agg(F.min(F.struct("id", "h")).alias("row")).select("digest", "row.id", "row.h")
+    # written, so that their number is known before the join: while they are few, the other texts are not shuffled
+    chosen = written(signed.join(needed, "digest", "left_semi").groupBy("digest").agg(F.min(F.struct("id", "h")).alias("row")).select("digest", "row.id", "row.h"))
     texts = base.drop("row").join(chosen, ["id", "h"]).groupBy("digest").agg(F.first("text").alias("text"))
     with small_batches(docs.sparkSession, 1000):
         bag_of = written(texts.mapInPandas(stored(shingle), "digest binary, n long, hashes binary, weights binary"))

@@ -114,3 +114,11 @@ def test_language_stage_keeps_unlabelled_documents(spark):
     got = corpus_pipeline.known_language(spark, docs, "")
     assert got.columns == docs.columns
     assert Counter(map(tuple, got.collect())) == Counter(tuple(r) for r in docs.collect() if any(c.isalpha() for c in r[1] or ""))
+
+
+def test_dedup_stages_do_not_shuffle_the_documents(spark):
+    """Few rows are dropped, and their number is known before they are joined away: the documents are not shuffled for it."""
+    docs = spark.createDataFrame([(i, f"text number {i // 2} of many", None) for i in range(200)], DOCS)
+    for stage in (corpus_pipeline.one_of_equal, corpus_pipeline.one_of_near):
+        plan = stage(spark, docs, "")._jdf.queryExecution().sparkPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
