@@ -36,8 +36,8 @@ _RANDOM = np.random.default_rng(20240521)
 TABLE = _RANDOM.integers(0, 2**64, size=(3, 256), dtype=U)
 ODD = _RANDOM.integers(0, 2**64, size=(3, 8), dtype=U) | U(1)
 WORD_POWERS = _RANDOM.integers(0, 2**64, size=3, dtype=U) | U(1)
-#: Units that are hashed at a time; bounds the memory for a very long text.
-STRETCH = 1 << 19
+#: Units that are hashed at a time: a processor's cache holds their hashes, and a very long text needs no more memory.
+STRETCH = 1 << 15
 #: Different stretches of one anchor beyond which its windows are dealt out singly.
 CROWD = 2000
 ASK = "shard int, bucket long, single boolean, which binary, ids binary, lens binary, multi binary, text binary"
@@ -136,7 +136,7 @@ class Units:
         long = self.last - self.first >= self.rule.length
         np.add.at(valid, self.first[long], 1)
         np.add.at(valid, self.last[long] - self.rule.length + 1, -1)
-        return np.cumsum(valid[:-1]).astype(bool)
+        return np.cumsum(valid[:-1], dtype=np.int8).view(bool)
 
     def fingerprints(self, which: int) -> np.ndarray:
         """Fingerprints of all runs of a window's length, also across texts (see window_starts)."""
@@ -154,14 +154,14 @@ class Units:
             h = joined(self.hashes(0, a, min(self.n, a + STRETCH + rule.length - 1)), rule.anchor, 0)
             place = np.arange(len(h), dtype=U)
             best = sliding_min((h & ~U(0xFFFFFFFF)) | place, width) & U(0xFFFFFFFF)
-            s = np.flatnonzero(valid[a : a + len(best)])
-            if not len(s):
-                continue
-            p = best[s].astype(np.int64)
-            new = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (s[1:] != s[:-1] + 1)]))
-            hashes.append(h[p[new]])
-            firsts.append(a + s[new])
-            lasts.append(a + s[np.append(new[1:] - 1, len(s) - 1)])
+            own = valid[a : a + len(best)]
+            # an anchor's windows are consecutive: its first comes after another anchor's, or after no window, and so on
+            differs = best[1:] != best[:-1]
+            first = np.flatnonzero(own & np.concatenate([[True], differs | ~own[:-1]]))
+            last = np.flatnonzero(own & np.concatenate([differs | ~own[1:], [True]]))
+            hashes.append(h[best[first].astype(np.int64)])
+            firsts.append(a + first)
+            lasts.append(a + last)
         if not hashes:
             return np.empty(0, U), np.empty(0, np.int64), np.empty(0, np.int64)
         return np.concatenate(hashes), np.concatenate(firsts), np.concatenate(lasts)
@@ -206,14 +206,13 @@ def by_shard(shard: np.ndarray) -> list[tuple[int, slice]]:
 HASH_BITS, TWICE, COUNT = U(17), U(1 << 16), U(0xFFFF)
 
 
-def different_stretches(bucket: Bucket, different: np.ndarray, n: np.ndarray) -> np.ndarray:
+def different_stretches(bucket: Bucket, place: np.ndarray, n: np.ndarray) -> np.ndarray:
     """For each different anchor hash, the number of different stretches of the bucket's texts around it."""
-    count = np.ones(len(different), np.int64)
-    place = np.searchsorted(different, bucket.hash)
+    count = np.ones(len(n), np.int64)
     again = np.flatnonzero(n[place] > 1)
     if len(again):
         pairs = set(zip(place[again].tolist(), bucket.stretches(again), strict=True))
-        many = np.bincount([at for at, _ in pairs], minlength=len(different))
+        many = np.bincount([at for at, _ in pairs], minlength=len(n))
         count = np.maximum(count, many)
     return count
 
@@ -223,8 +222,8 @@ def send_anchors(rule: Windows, shards: int):
 
     def run(key, docs: pd.DataFrame) -> pd.DataFrame:
         bucket = Bucket(docs, rule)
-        different, n = np.unique(bucket.hash, return_counts=True)
-        count = np.minimum(different_stretches(bucket, different, n), int(COUNT)).astype(U)
+        different, place, n = np.unique(bucket.hash, return_inverse=True, return_counts=True)
+        count = np.minimum(different_stretches(bucket, place, n), int(COUNT)).astype(U)
         sent = ((different >> HASH_BITS) << HASH_BITS) | np.where(n > 1, TWICE, U(0)) | count
         shard = shard_of(different, shards)
         order = np.argsort(shard, kind="stable")
@@ -287,10 +286,10 @@ def send_stretches(rule: Windows, shards: int):
         bucket = Bucket(docs, rule) if len(docs) else None
         if bucket is None or not len(bucket.hash):
             return pd.DataFrame([], columns=names)
-        different = np.unique(bucket.hash)
+        different, place = np.unique(bucket.hash, return_inverse=True)
         dealt = shard_of(different, shards)
         turn = np.argsort(dealt, kind="stable")
-        cuts, place = by_shard(dealt[turn]), np.searchsorted(different, bucket.hash)
+        cuts = by_shard(dealt[turn])
 
         def told(column: str) -> np.ndarray:
             bits = dict(zip(answers["shard"], answers[column], strict=True))
@@ -372,27 +371,31 @@ def marked_windows(bucket: Bucket, answers: pd.DataFrame, first_stays: bool) ->
 def _mark_stretches(bucket: Bucket, answers: pd.DataFrame, first_stays: bool, marked: np.ndarray) -> None:
     if not len(answers):
         return
-    n_windows = bucket.end - bucket.begin + 1
-    firsts, verdicts = [], []
-    for which, bits in zip(answers["which"], answers["bits"], strict=True):
-        own = np.frombuffer(which, "<u4").astype(np.int64)
-        n = n_windows[own]
-        firsts.append(own)
-        verdicts += np.split(np.unpackbits(np.frombuffer(bits, np.uint8))[: int(n.sum())].astype(bool), np.cumsum(n)[:-1])
-    which = np.concatenate(firsts)
-    known = dict(zip(bucket.stretches(which), zip(which.tolist(), verdicts, strict=True), strict=True))
-    also = np.flatnonzero(np.isin(bucket.hash, bucket.hash[which]))
-    places: dict[int, list[int]] = {}
+    which = [np.frombuffer(w, "<u4").astype(np.int64) for w in answers["which"]]
+    begin, n = bucket.begin, bucket.end - bucket.begin + 1
+    bits = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8))[: int(n[own].sum())] for own, b in zip(which, answers["bits"], strict=True)]).view(bool)
+    first = np.concatenate(which)
+    sizes = n[first]
+    marked[np.repeat(begin[first] - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(bits))] = bits
+    # further stretches of the same anchors, which can be copies of those sent
+    sent = np.sort(bucket.hash[first])
+    at = np.minimum(np.searchsorted(sent, bucket.hash), len(sent) - 1)
+    further = sent[at] == bucket.hash
+    further[first] = False
+    also = np.flatnonzero(further)
+    if not len(also):
+        return
+    source = first[np.isin(bucket.hash[first], bucket.hash[also])]
+    known = dict(zip(bucket.stretches(source), source.tolist(), strict=True))
+    ids = bucket.ids[bucket.doc]
     for i, text in zip(also.tolist(), bucket.stretches(also), strict=True):
-        if text in known:
-            places.setdefault(known[text][0], []).append(i)
-    verdict = dict(known.values())
-    begin, end, ids = bucket.begin, bucket.end, bucket.ids[bucket.doc]
-    for first, own in places.items():
-        bits = verdict[first]
-        for i in own:
-            again = ids[i] != ids[first] if first_stays else len(own) > 1
-            marked[begin[i] : end[i] + 1] = True if again else bits
+        if (of := known.get(text)) is None:
+            continue
+        a, b, size = begin[i], begin[of], n[i]
+        if not first_stays:
+            marked[a : a + size] = marked[b : b + size] = True
+        else:
+            marked[a : a + size] = True if ids[i] != ids[of] else marked[b : b + size]
 
 
 def _mark_singly(bucket: Bucket, answers: pd.DataFrame, first_stays: bool, marked: np.ndarray) -> None:
@@ -416,11 +419,12 @@ def _mark_singly(bucket: Bucket, answers: pd.DataFrame, first_stays: bool, marke
 
 def covered(units: Units, marked: np.ndarray) -> np.ndarray:
     """Units that lie in a marked window."""
-    s = np.flatnonzero(marked)
-    change = np.zeros(units.n + 1, np.int32)
-    np.add.at(change, s, 1)
-    np.add.at(change, s + units.rule.length, -1)
-    return np.cumsum(change[:-1]) > 0
+    out, reach = marked.copy(), 1
+    while reach < units.rule.length:
+        step = min(reach, units.rule.length - reach)
+        out[step:] |= out[:-step].copy()
+        reach += step
+    return out
 
 
 def repeated_windows(docs: DataFrame, id_col: str, text_col: str, rule: Windows, decide: Callable[[Stretches], np.ndarray], finish: Callable[[Bucket, pd.DataFrame], pd.DataFrame], result: str, bucket_bytes: int = 4_000_000, crowd: int = CROWD) -> DataFrame:
