@@ -64,15 +64,16 @@ def term_counts(docs: DataFrame, text_col: str, terms: DataFrame, n_terms: int)
 
 
 def rarest_terms(windows: DataFrame, freqs: DataFrame, k: int = 2) -> DataFrame:
-    """The k rarest places of each window: (window, len, rank, term, offset); windows with a term that occurs nowhere are left out."""
-    places = windows.select("window", F.size("terms").alias("len"), F.posexplode("terms").alias("offset", "term")).join(freqs, "term", "left")
-    by = Window.partitionBy("window")
+    """The k rarest places of each window: (w, window, len, rank, term, offset), w the window's number; windows with a term that occurs nowhere are left out."""
+    places = windows.select("w", "window", F.size("terms").alias("len"), F.posexplode("terms").alias("offset", "term")).join(freqs, "term", "left")
+    by = Window.partitionBy("w")
     ranked = places.withColumn("least", F.min(F.coalesce("freq", F.lit(0))).over(by)).where(F.col("least") > 0)
-    return ranked.withColumn("rank", F.row_number().over(by.orderBy("freq", "term", "offset"))).where(F.col("rank") <= k).select("window", "len", "rank", "term", "offset")
+    return ranked.withColumn("rank", F.row_number().over(by.orderBy("freq", "term", "offset"))).where(F.col("rank") <= k).select("w", "window", "len", "rank", "term", "offset")
 
 
 def build_index(docs: DataFrame, id_col: str, text_col: str, terms: DataFrame, n_terms: int, reach: int) -> DataFrame:
-    """Postings (k, term, pos, near_from, near): near holds the words from near_from on, `reach` - 1 to either side."""
+    """Postings (k, term, pos, near_from, near) of terms (term, and leads if not all do): near holds the words from near_from on, `reach` - 1 to either side, of a term that leads a phrase."""
+    terms = terms if "leads" in terms.columns else terms.withColumn("leads", F.lit(True))
     text = F.col(text_col)
     words = docs.select(row_key(id_col, text).alias("k"), raw_words(text).alias("words"))
     if n_terms <= BROADCAST_TERMS:
@@ -80,55 +81,60 @@ def build_index(docs: DataFrame, id_col: str, text_col: str, terms: DataFrame, n
     else:
         # no words travel with a word: the places are found first, and a document's places meet its words once
         found = words.select("k", F.posexplode("words").alias("pos", "term")).join(terms, "term")
-        places = found.groupBy("k").agg(F.collect_set(F.struct("pos", "term")).alias("places"))
+        places = found.groupBy("k").agg(F.collect_set(F.struct("pos", "term", "leads")).alias("places"))
         placed = words.dropDuplicates(["k"]).join(places, "k").select("k", "words", F.inline("places"))
     first = F.greatest(F.col("pos") - (reach - 1), F.lit(0))
-    return placed.select("k", "term", "pos", first.alias("near_from"), F.slice("words", first + 1, 2 * reach - 1).alias("near"))
+    return placed.select("k", "term", "pos", first.alias("near_from"), F.when(F.col("leads"), F.slice("words", first + 1, 2 * reach - 1)).alias("near"))
 
 
 def phrase_matches(index: DataFrame, rarest: DataFrame, n_rarest: int) -> DataFrame:
-    """Exact occurrences (k, window, start, len), by intersection of the offset-adjusted lists of the two rarest terms."""
+    """Exact occurrences (k, w, start, len), by intersection of the offset-adjusted lists of the two rarest terms."""
     at = (F.col("pos") - F.col("offset")).alias("start")
-    lead = index.join(small(rarest.where("rank = 1"), n_rarest), "term").select("k", "window", "len", at, "near_from", "near").where("start >= 0")
-    second = index.select("k", "term", "pos").join(small(rarest.where("rank = 2"), n_rarest), "term").select("k", "window", at).where("start >= 0")
-    both = lead.where("len > 1").join(second, ["k", "window", "start"], "left_semi")
+    lead = index.join(small(rarest.where("rank = 1"), n_rarest), "term").select("k", "w", "window", "len", at, "near_from", "near").where("start >= 0")
     # Spark may slice before it has dropped the starts below zero
     cut = F.array_join(F.slice("near", F.greatest(F.col("start") - F.col("near_from") + 1, F.lit(1)), F.col("len")), " ")
-    return both.unionByName(lead.where("len = 1")).where(cut == F.col("window")).select("k", "window", "start", "len").distinct()
+    lead = lead.where(cut == F.col("window")).select("k", "w", "start", "len")
+    second = index.select("k", "term", "pos").join(small(rarest.where("rank = 2"), n_rarest), "term").select("k", "w", at).where("start >= 0")
+    both = lead.where("len > 1").join(second, ["k", "w", "start"], "left_semi")
+    return both.unionByName(lead.where("len = 1")).distinct()
 
 
 def proximity_matches(index: DataFrame, rarest: DataFrame, n_rarest: int, slack: int) -> DataFrame:
-    """Windows (k, window) of which a document holds the two rarest terms about in their places: their starts differ by at most `slack` words.
+    """Windows (k, w) of which a document holds the two rarest terms about in their places: their starts differ by at most `slack` words.
 
     A window of one word is near wherever it occurs.
     """
     at = (F.col("pos") - F.col("offset")).alias("start")
-    lead = index.select("k", "term", "pos").join(small(rarest.where("rank = 1"), n_rarest), "term").select("k", "window", "len", at)
-    second = index.select("k", "term", "pos").join(small(rarest.where("rank = 2"), n_rarest), "term").select("k", "window", at)
+    lead = index.select("k", "term", "pos").join(small(rarest.where("rank = 1"), n_rarest), "term").select("k", "w", "len", at)
+    second = index.select("k", "term", "pos").join(small(rarest.where("rank = 2"), n_rarest), "term").select("k", "w", at)
     width = slack + 1
-    cell = F.floor(F.col("start") / width)
-    near = second.select("k", "window", F.col("start").alias("other"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
-    close = lead.where("len > 1").withColumn("cell", cell).join(near, ["k", "window", "cell"]).where(F.abs(F.col("start") - F.col("other")) <= slack)
-    return close.select("k", "window").unionByName(lead.where("len = 1").select("k", "window")).distinct()
+    cell = F.floor(F.col("start") / width).cast("int")
+    # the rarest term's list is the shorter one: its places stand in three cells, those of the second in their own
+    around = lead.where("len > 1").select("k", "w", "start", F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
+    near = second.select("k", "w", F.col("start").alias("other"), cell.alias("cell"))
+    close = around.join(near, ["k", "w", "cell"]).where(F.abs(F.col("start") - F.col("other")) <= slack)
+    return close.select("k", "w").unionByName(lead.where("len = 1").select("k", "w")).distinct()
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", n: int = 13, one_in: int = 20, slack: int = 2) -> DataFrame:
-    """One row per document: id, n_words, n_hit, n_items, items_sha256, contaminated (n_hit > 0 and one_in * n_hit >= n_words), n_near (windows by proximity)."""
+def keyed_verdicts(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", n: int = 13, one_in: int = 20, slack: int = 2) -> DataFrame:
+    """The rows of decontaminate, with `k`, what tells documents apart: struct(id, h), h the hash of the text."""
     shared_dir(docs.sparkSession)
     listed = windows_of(benchmark, item_col, item_text, n).checkpoint()
-    windows = listed.select("window", "terms").distinct()
+    # windows go by a number from here on: their texts would be most of what is shuffled
+    windows = listed.select("window", "terms").distinct().withColumn("w", F.monotonically_increasing_id()).checkpoint()
     terms = windows.select(F.explode("terms").alias("term")).distinct()
     rarest = rarest_terms(windows, term_counts(docs, text_col, terms, terms.count())).checkpoint()
     n_rarest = rarest.count()
     # the stored index: read twice below, and kept whatever executors go
-    index = build_index(docs, id_col, text_col, rarest.select("term").distinct(), n_rarest, n).checkpoint()
+    index = build_index(docs, id_col, text_col, rarest.groupBy("term").agg(F.max(F.col("rank") == 1).alias("leads")), n_rarest, n).checkpoint()
     found = phrase_matches(index, rarest, n_rarest).checkpoint()
 
     end = F.col("start") + F.col("len")
     before = F.max(end).over(Window.partitionBy("k").orderBy("start", "len").rowsBetween(Window.unboundedPreceding, -1))
     covered = found.select("k", F.greatest(F.lit(0), end - F.greatest(F.col("start"), F.coalesce(before, F.lit(0)))).alias("new"))
     hits = covered.groupBy("k").agg(F.sum("new").cast("long").alias("n_hit"))
-    items = found.select("k", "window").distinct().join(listed.where("item IS NOT NULL").select("window", "item"), "window").select("k", "item").distinct()
+    holding = listed.where("item IS NOT NULL").select("window", "item").join(windows.select("window", "w"), "window").select("w", "item")
+    items = found.select("k", "w").distinct().join(holding, "w").select("k", "item").distinct()
     named = items.groupBy("k").agg(F.sort_array(F.collect_list("item")).alias("items"))
     nearby = proximity_matches(index, rarest, n_rarest, slack).groupBy("k").agg(F.count(F.lit(1)).alias("n_near"))
 
@@ -137,6 +143,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     n_hit, names = F.coalesce("n_hit", F.lit(0).cast("long")), F.coalesce("items", F.array().cast("array<string>"))
     told = nearby.join(hits.join(named, "k", "left"), "k", "full_outer")
     return counted.join(told, "k", "left").select(
+        "k",
         F.col(id_col),
         "n_words",
         n_hit.alias("n_hit"),
@@ -145,3 +152,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         ((n_hit > 0) & (one_in * n_hit >= F.col("n_words"))).alias("contaminated"),
         F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"),
     )
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """One row per document: id, n_words, n_hit, n_items, items_sha256, contaminated (n_hit > 0 and one_in * n_hit >= n_words), n_near (windows by proximity)."""
+    return keyed_verdicts(docs, benchmark, **options).drop("k")
