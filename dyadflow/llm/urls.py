@@ -71,7 +71,7 @@ def fixed_rule(host: Column, path: Column, rules: tuple[FixedRule, ...] = FIXED_
 
 
 def token_classes(labelled: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
-    """(labelled (tokens, bad) as (items, bad), classes (item, members)): of tokens that are in the same rows one stands for all; those in fewer than `least` rows, or in all, go.
+    """(labelled (tokens, bad) as (items, bad), classes (item, members)): of tokens that are in the same rows one stands for all; those in fewer than `least` bad rows, or in all rows, go.
 
     Two sets of rows count as the same if their sizes and two sums of 64-bit
     hashes of their rows agree.
@@ -79,8 +79,8 @@ def token_classes(labelled: DataFrame, least: int) -> tuple[DataFrame, DataFrame
     rows = written(labelled.select("tokens", "bad", F.monotonically_increasing_id().alias("row")))
     n = rows.count()
     mark = lambda salt: F.sum(F.xxhash64("row", F.lit(salt)).cast("decimal(38,0)"))
-    tokens = rows.select("row", F.explode(F.array_distinct("tokens")).alias("token"))
-    sets = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"), mark(1).alias("one"), mark(2).alias("two")).where((F.col("n") >= least) & (F.col("n") < n))
+    tokens = rows.select("row", "bad", F.explode(F.array_distinct("tokens")).alias("token"))
+    sets = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"), mark(1).alias("one"), mark(2).alias("two"), F.count_if("bad").alias("n_bad")).where((F.col("n_bad") >= least) & (F.col("n") < n))
     classes = written(sets.groupBy("n", "one", "two").agg(F.array_sort(F.collect_list("token")).alias("members")).select(F.element_at("members", 1).alias("item"), "members"))
     items = tokens.join(classes.select(F.col("item").alias("token")), "token").groupBy("row").agg(F.collect_list("token").alias("items"))
     return rows.join(items, "row", "left").select(F.coalesce("items", F.array().cast("array<string>")).alias("items"), "bad"), classes
@@ -103,14 +103,15 @@ def short_rules(baskets: DataFrame, n: int, least: int) -> DataFrame:
     return ordered.select(F.explode(sets).alias("antecedent"), "bad").groupBy("antecedent").agg(F.count(F.lit(1)).alias("n_all"), F.count_if("bad").alias("n_bad")).where(F.col("n_bad") >= least)
 
 
-def mine_rules(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.7, min_count: int = 10, min_lift: float = 1.2, widest: int = 14) -> DataFrame:
+def mine_rules(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.7, min_count: int = 10, min_lift: float = 1.2, widest: int | None = None) -> DataFrame:
     """Rules (antecedent, confidence, support, lift) from rows (tokens array<string>, bad boolean); a rule that a more general one covers is pruned.
 
     Lift is a rule's confidence over the share of bad rows: where nearly all is bad, a combination as bad as the rest tells nothing.
 
-    A combination has to be in the share min_support of the rows and in min_count rows. Before mining, tokens that are in the same rows become one item, so that a
-    long shared path is one, and those of all rows, whose lift is 1, go; a rule then holds for each token that an item stands for. min_lift is above 1. FP-growth lists all frequent combinations, up to 2^items of a row; where a row keeps
-    more than `widest` items, antecedents are counted up to two items instead, which a row has the square of.
+    A combination has to be in the share min_support of the rows, as bad ones, and in min_count rows. Before mining, tokens that are in the same rows become one item, so that a
+    long shared path is one, and those of all rows, whose lift is 1, go; a rule then holds for each token that an item stands for. min_lift is above 1. Items that are a rule
+    alone cover all that holds them and are not mined further. FP-growth then lists all frequent combinations of the rest, of any length, whatever the widest row has. Only a caller
+    that names `widest` has antecedents of up to two items counted instead, where a row keeps more items than that.
     """
     n = labelled.count()
     none = labelled.sparkSession.createDataFrame([], "antecedent array<string>, confidence double, support double, lift double")
@@ -122,14 +123,20 @@ def mine_rules(labelled: DataFrame, min_support: float = 0.002, min_confidence:
     seen = baskets.agg(F.max(F.size("items")).alias("widest"), F.count_if("bad").alias("bad")).head()
     if least > n or not seen["bad"] or not seen["widest"]:
         return none
-    if seen["widest"] > widest:
-        share = F.col("n_bad") / F.col("n_all")
-        found = short_rules(baskets, n, least).select("antecedent", share.alias("confidence"), (F.col("n_bad") / n).alias("support"), (share / (seen["bad"] / n)).alias("lift"))
-        rules = found.where((F.col("confidence") >= min_confidence) & (F.col("lift") >= min_lift))
+    share = F.col("n_bad") / F.col("n_all")
+    measures = share.alias("confidence"), (F.col("n_bad") / n).alias("support"), (share / (seen["bad"] / n)).alias("lift")
+    strong = (F.col("confidence") >= min_confidence) & (F.col("lift") >= min_lift)
+    single = baskets.select(F.explode("items").alias("item"), "bad").groupBy("item").agg(F.count(F.lit(1)).alias("n_all"), F.count_if("bad").alias("n_bad"))
+    alone = written(single.select(F.array("item").alias("antecedent"), *measures).where(strong))
+    known = alone.agg(F.collect_list(F.element_at("antecedent", 1)).alias("known"))
+    rest = written(baskets.crossJoin(F.broadcast(known)).select(F.array_except("items", "known").alias("items"), "bad"))
+    if widest is not None and seen["widest"] > widest:
+        found = short_rules(rest, n, least).select("antecedent", *measures).where(strong)
     else:
-        items = baskets.select(F.when(F.col("bad"), F.array_append("items", F.lit(BAD))).otherwise(F.col("items")).alias("items"))
+        items = rest.select(F.when(F.col("bad"), F.array_append("items", F.lit(BAD))).otherwise(F.col("items")).alias("items"))
         model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / n, minConfidence=min_confidence).fit(items)
-        rules = model.associationRules.where((F.col("consequent") == F.array(F.lit(BAD))) & (F.col("lift") >= min_lift)).select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support", "lift")
+        found = model.associationRules.where((F.col("consequent") == F.array(F.lit(BAD))) & (F.col("lift") >= min_lift)).select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support", "lift")
+    rules = written(alone.unionByName(found))
     general = rules.select(F.col("antecedent").alias("wider"))
     covered = (F.size("wider") < F.size("antecedent")) & (F.size(F.array_except("wider", "antecedent")) == 0)
     # every wider rule holds the first token of its own antecedent
