@@ -41,6 +41,8 @@ AT_ONCE = 1_000_000
 FEW_ROWS = 250_000
 #: Ratio of the sizes that bound a cell of sizes.
 CELL = 1.02
+#: Bits of the filter that rows pass before they are shuffled to a chosen few (4 MB), and bits of one of its rows, which Spark fixes.
+FILTER_BITS, BITMAP_BITS = 1 << 25, 1 << 15
 
 
 def scramble(x: np.ndarray) -> np.ndarray:
@@ -231,6 +233,16 @@ def gathered(df: DataFrame, n: int) -> DataFrame:
     return df.coalesce(n // FEW_ROWS + 1)
 
 
+def perhaps_in(df: DataFrame, chosen: DataFrame, hash_col: str) -> DataFrame:
+    """The rows of df whose 64-bit hash can be one of chosen's, by a bitmap of a fixed size: few others are left, and none of chosen's is lost."""
+    at = lambda df: F.pmod(F.col(hash_col), F.lit(FILTER_BITS))
+    placed = chosen.select(at(chosen).alias("at"))
+    bits = placed.groupBy(F.floor(F.col("at") / BITMAP_BITS).alias("part")).agg(F.bitmap_construct_agg(F.col("at") % BITMAP_BITS).alias("bits"))
+    asked = df.withColumn("_at", at(df)).join(F.broadcast(bits), F.floor(F.col("_at") / BITMAP_BITS) == F.col("part"))
+    byte = F.conv(F.hex(F.substring("bits", ((F.col("_at") % BITMAP_BITS) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return asked.where(F.getbit(byte, (F.col("_at") % 8).cast("int")) == 1).select(df.columns)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of all nodes of edges (a, b): the smallest node of the component, by smallest neighbours and jumps."""
     n = edges.count()
@@ -309,10 +321,14 @@ def next_buckets(stars: DataFrame, similarity: float) -> DataFrame:
     cell_of = lambda size: F.floor(F.log(size) / math.log(CELL)).cast("int")
     share = similarity / (1 + similarity)
     nodes = stars.select("b", F.col("a").alias("node"), F.col("label_a").alias("label"), "n_a", "both", cell_of(F.col("n_a")).alias("own"))
-    sizes = nodes.select("b", F.col("own").alias("cell")).distinct()
+    sizes = written(nodes.select("b", "own").distinct())
+    # the cells of a star below each of its cells, once for all nodes there: a node becomes one row for each cell that some node has
+    below = sizes.withColumn("cell", F.explode(F.sequence(cell_of(similarity * F.pow(F.lit(CELL), F.col("own"))) - 1, F.col("own"))))
+    reached = written(below.join(sizes.withColumnRenamed("own", "cell"), ["b", "cell"]).groupBy("b", "own").agg(F.collect_list("cell").alias("cells")))
     low = F.greatest(F.pow(F.lit(CELL), F.col("cell")), similarity * F.col("n_a")) - 1e-6
     need = lambda partner: F.greatest(F.lit(1), F.ceil(share * (F.col("n_a") + partner) - F.col("both") - 1e-6)).cast("int")
-    placed = nodes.withColumn("cell", F.explode(F.sequence(cell_of(similarity * F.col("n_a") - 1e-6), F.col("own")))).join(sizes, ["b", "cell"])
+    least = cell_of(similarity * F.col("n_a") - 1e-6)
+    placed = nodes.join(reached, ["b", "own"]).withColumn("cell", F.explode(F.filter("cells", lambda c: c >= least)))
     placed = placed.select("b", "node", "label", "n_a", "both", "cell", low.alias("low"), need(low).alias("need"), F.when(F.col("cell") == F.col("own"), need(F.col("n_a"))).alias("own_need"))
 
     held = stars.select("b", F.col("a").alias("node"), F.col("label_a").alias("label"), F.explode("rest").alias("one"))
@@ -401,9 +417,9 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     buckets = written(placed.join(shared, "key"))
     # one row stands for all of equal words; its text is read from the documents again, and its bag kept
     needed = buckets.select(F.col("node").alias("digest")).distinct()
-    # written, so that their number is known before the join: while they are few, the other texts are not shuffled
+    # written, so that their size is known before the join; the other texts are not shuffled, but for a few that a bitmap lets pass
     chosen = written(signed.join(needed, "digest", "left_semi").groupBy("digest").agg(F.min(F.struct("id", "h")).alias("row")).select("digest", "row.id", "row.h"))
-    texts = base.drop("row").join(chosen, ["id", "h"]).groupBy("digest").agg(F.first("text").alias("text"))
+    texts = perhaps_in(base.drop("row"), chosen, "h").join(chosen, ["id", "h"]).groupBy("digest").agg(F.first("text").alias("text"))
     with small_batches(docs.sparkSession, 1000):
         bag_of = written(texts.mapInPandas(stored(shingle), "digest binary, n long, hashes binary, weights binary"))
     labels = near_links(buckets, bag_of, similarity, few)
