@@ -41,6 +41,8 @@ AT_ONCE = 1_000_000
 FEW_ROWS = 250_000
 #: Ratio of the sizes that bound a cell of sizes.
 CELL = 1.02
+#: Shingles outside leaders whose places are marked at a time.
+MARKED = 1_000_000
 #: Bits of the filter that rows pass before they are shuffled to a chosen few (4 MB), and bits of one of its rows, which Spark fixes.
 FILTER_BITS, BITMAP_BITS = 1 << 25, 1 << 15
 
@@ -243,6 +245,83 @@ def perhaps_in(df: DataFrame, chosen: DataFrame, hash_col: str) -> DataFrame:
     return asked.where(F.getbit(byte, (F.col("_at") % 8).cast("int")) == 1).select(df.columns)
 
 
+def places(leaders: Iterable[bytes], rest: list[np.ndarray]) -> np.ndarray:
+    """The filter's bits for all shingles in rest, each under its star's leader."""
+    star = scramble(np.frombuffer(b"".join((bytes(b) + bytes(8))[:8] for b in leaders), "<u8") + STEP)
+    return (scramble(np.concatenate(rest).view(U) ^ np.repeat(star, [len(r) for r in rest])) % U(FILTER_BITS)).astype(np.int64)
+
+
+def bits_of(at: np.ndarray, parts: np.ndarray) -> list[bytes]:
+    """The rows `parts` of a filter in which the bits `at` are set."""
+    out = np.zeros((len(parts), BITMAP_BITS), bool)
+    out[np.searchsorted(parts, at // BITMAP_BITS), at % BITMAP_BITS] = True
+    return [row.tobytes() for row in np.packbits(out, axis=1, bitorder="little")]
+
+
+MARKS = "part long, once binary, twice binary, linked binary"
+
+
+def marks(most: int):
+    """mapInPandas: (b, label_a, label_b, rest) to MARKS: bits of shingles that one component beside the leader's holds, that several hold, and that the leader's holds."""
+
+    def made(at: list, labels: list, linked: list) -> pd.DataFrame:
+        at, label, linked = (np.concatenate(x) for x in (at, labels, linked))
+        parts = np.unique(at // BITMAP_BITS)
+        apart = np.unique(np.stack([at[~linked], label[~linked]]), axis=1)[0]
+        once, n = np.unique(apart, return_counts=True)
+        return pd.DataFrame({"part": parts, "once": bits_of(once, parts), "twice": bits_of(once[n > 1], parts), "linked": bits_of(at[linked], parts)})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, size, number = [], 0, {}
+        for batch in batches:
+            rest, n = batch["rest"].tolist(), batch["rest"].map(len)
+            label = [number.setdefault(bytes(x), len(number)) for x in batch["label_a"]]
+            own.append((places(batch["b"], rest), np.repeat(label, n), np.repeat((batch["label_a"] == batch["label_b"]).to_numpy(), n)))
+            size += int(n.sum())
+            if size > most:
+                yield made(*zip(*own, strict=True))
+                own, size, number = [], 0, {}
+        if size:
+            yield made(*zip(*own, strict=True))
+
+    return run
+
+
+def merged(rows: pd.DataFrame) -> pd.DataFrame:
+    """applyInPandas: the MARKS of a part to (part, bits), the bits that shingles of two components have set."""
+    once, shared, linked = (np.zeros(BITMAP_BITS // 8, np.uint8) for _ in range(3))
+    for row in rows.itertuples(index=False):
+        own = np.frombuffer(row.once, np.uint8)
+        shared |= np.frombuffer(row.twice, np.uint8) | (once & own)
+        once |= own
+        linked |= np.frombuffer(row.linked, np.uint8)
+    return pd.DataFrame({"part": rows["part"].iloc[:1], "bits": [(shared | (once & linked)).tobytes()]})
+
+
+def perhaps_shared(stars: DataFrame, most: int = MARKED) -> DataFrame:
+    """Stars with those shingles of `rest` alone that two components of the star can hold, by a bitmap of a fixed size: none that two hold is lost.
+
+    Most shingles outside a leader are one text's own. They are marked and left out while they still are arrays: as rows, they
+    would be shuffled twice only to be found alone.
+    """
+    spark = stars.sparkSession
+    bits = np.zeros((FILTER_BITS // BITMAP_BITS, BITMAP_BITS // 8), np.uint8)
+    for part, own in stars.select("b", "label_a", "label_b", "rest").mapInPandas(marks(most), MARKS).groupBy("part").applyInPandas(merged, "part long, bits binary").collect():
+        bits[part] = np.frombuffer(own, np.uint8)
+    sent = spark.sparkContext.broadcast(bits.ravel())
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rest = batch["rest"].tolist()
+            at = places(batch["b"], rest)
+            stay = np.split(sent.value[at >> 3] >> (at & 7) & 1 == 1, np.cumsum([len(r) for r in rest])[:-1])
+            yield batch.assign(rest=[r[s] for r, s in zip(rest, stay, strict=True)])
+
+    out = written(stars.mapInPandas(run, stars.schema))
+    sent.destroy()
+    return out
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of all nodes of edges (a, b): the smallest node of the component, by smallest neighbours and jumps."""
     n = edges.count()
@@ -315,9 +394,9 @@ def next_buckets(stars: DataFrame, similarity: float) -> DataFrame:
     cell of its own size, y in all from s * y to y that some node of the star has. A bucket without a node that can be the
     smaller one is left out, and a bucket never holds l itself.
     """
-    # a node's shingles are many rows: its stars are dealt out evenly before that
+    # a node's shingles are many rows: those that one component alone holds are left out, and its stars dealt out evenly, before that
     parts = int(stars.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    stars = stars.repartition(parts, "a", "b")
+    stars = perhaps_shared(stars).repartition(parts, "a", "b")
     cell_of = lambda size: F.floor(F.log(size) / math.log(CELL)).cast("int")
     share = similarity / (1 + similarity)
     nodes = stars.select("b", F.col("a").alias("node"), F.col("label_a").alias("label"), "n_a", "both", cell_of(F.col("n_a")).alias("own"))

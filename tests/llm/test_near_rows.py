@@ -1,5 +1,6 @@
 """Rows that near-duplicate search makes and shuffles."""
 
+import random
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -23,3 +24,23 @@ def test_nodes_become_a_row_for_each_cell_of_their_star(spark):
     assert "explode(sequence(" not in buckets._jdf.queryExecution().optimizedPlan().toString()
     sizes = Counter(r.n for r in buckets.groupBy("key").agg(F.count("*").alias("n")).collect())
     assert sizes == {8: 1, 4: 2}
+
+
+def test_shingles_of_one_component_do_not_become_rows(spark):
+    """What two components of a star hold stays, wherever its holders are dealt; of all else hardly anything does."""
+    rng, rows = random.Random(3), []  # about 31,500 shingles
+    for i in range(300):
+        star, label = rng.choice((b"l", b"m")), rng.choice((0, i + 1))
+        own = [i * 1000 + j for j in range(60)]
+        rows.append((bytes([i // 256, i % 256]), star, [*own, *rng.sample(range(-500, 0), 5), *range(-2000 - 40 * label, -1960 - 40 * label)], b"%d" % label if label else star, star))
+    stars = spark.createDataFrame(rows, "a binary, b binary, rest array<long>, label_a binary, label_b binary").repartition(5)
+    holders = {}
+    for _, star, rest, label, _ in rows:
+        for one in rest:
+            holders.setdefault((bytes(star), one), set()).add(label)
+    want = {(a, s): {x for x in rest if len(holders[s, x]) > 1} for a, s, rest, *_ in rows}
+    for most in (10, 10**6):
+        got = {(bytes(r.a), bytes(r.b)): set(r.rest) for r in bags.perhaps_shared(stars, most).collect()}
+        assert got.keys() == want.keys() and all(want[k] <= got[k] for k in want)
+        assert sum(map(len, got.values())) < sum(map(len, want.values())) + 100
+    assert bags.perhaps_shared(stars.limit(0)).count() == 0
